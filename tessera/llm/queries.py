@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tessera.llm.language import op3_language_id
 from tessera.llm.sharding import op1_sharding
+from tessera.llm.url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_language_id": op3_language_id,
+    "op8_url_filters": op8_url_filters,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filters": OP8_SQL,
+}
