@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tessera.llm.language import op3_language_id
 from tessera.llm.sharding import op1_sharding
+from tessera.llm.simhash import op7_simhash
 from tessera.llm.url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_language_id": op3_language_id,
+    "op7_simhash": op7_simhash,
     "op8_url_filters": op8_url_filters,
 }
 
