@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontamination import OP5_SQL, op5_decontamination
 from tessera.llm.language import op3_language_id
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op7_simhash
@@ -10,10 +11,12 @@ from tessera.llm.url_filter import OP8_SQL, op8_url_filters
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_language_id": op3_language_id,
+    "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op8_url_filters": op8_url_filters,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_decontamination": OP5_SQL,
     "op8_url_filters": OP8_SQL,
 }
