@@ -6,10 +6,12 @@ from tessera.llm.decontamination import OP5_SQL, op5_decontamination
 from tessera.llm.language import op3_language_id
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op7_simhash
+from tessera.llm.toxicity import op2_toxicity
 from tessera.llm.url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
