@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.decontamination import OP5_SQL, op5_decontamination
 from tessera.llm.html_text import op6_html_text
 from tessera.llm.language import op3_language_id
+from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op7_simhash
 from tessera.llm.toxicity import op2_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
