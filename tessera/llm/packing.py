@@ -115,8 +115,8 @@ class Bins:
                 room[left].append(place)
 
     def fewest(self) -> int:
-        """No packing has fewer bins."""
-        return math.ceil(int(self.lengths.sum()) / self.capacity)
+        """No packing has fewer bins: the tokens need so many, and no two of the longer pieces share one."""
+        return max(math.ceil(int(self.lengths.sum()) / self.capacity), int((2 * self.lengths > self.capacity).sum()))
 
     def trade(self, source: int, given: list[int], target: int, taken: list[int]) -> None:
         """Exchange items of two bins."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.decontamination import OP5_SQL, op5_decontamination
 from tessera.llm.html_text import op6_html_text
 from tessera.llm.language import op3_language_id
+from tessera.llm.neighbours import op10_neighbours
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op7_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_url_filters": op8_url_filters,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {
