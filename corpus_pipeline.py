@@ -1,16 +1,70 @@
-"""The corpus pipeline: stages that each keep, clean or pack what the one before has kept."""
+"""The corpus pipeline: each stage keeps, cleans or packs what the one before has kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. Each learns from, and decides on, all the rows that it is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, language, packing, simhash, toxicity
+from tessera.llm.tables import fold, quoted, table
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Rows as one column ``row`` beside their text, so that a result's columns cannot clash with theirs."""
+    return docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), F.col("text"))
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: those without text, or without a letter in it."""
+    model = language.fit(docs.where(fold("doc_id", 4) != 2))
+    found = language.identify(_carried(docs), model)
+    # a model that learned no language tells nothing about a document
+    return (found.where(F.col("lang_pred") != language.UNKNOWN) if model.languages else found).select("row.*")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose toxicity reaches the calibrated threshold."""
+    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(_carried(docs), model).where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that with the smallest id."""
+    return simhash.keep_representatives(docs)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts benchmark passages out of texts; n_chars follows where a text has changed."""
+    cleaned = decontamination.decontaminate(docs.withColumn("__before", F.col("text")), table(spark, sf_dir, "benchmark"))
+    counted = F.when(F.col("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(counted)).drop("__before")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences; a row for each piece."""
+    packed = packing.pack_documents(docs)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language", keep_languages),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", remove_benchmarks),
+    ("packing", pack),
+]
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+#: Tokens, fitted classifiers and 64-bit hashes of this kind are beyond DuckDB's SQL.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.brown_lm import op9_brown_lm
 from tessera.llm.decontamination import OP5_SQL, op5_decontamination
 from tessera.llm.html_text import op6_html_text
 from tessera.llm.language import op3_language_id
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_url_filters": op8_url_filters,
+    "op9_brown_lm": op9_brown_lm,
     "op10_neighbours": op10_neighbours,
 }
 
