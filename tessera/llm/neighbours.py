@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.tables import quoted, table
@@ -35,8 +35,6 @@ TREES, LEAF_ROWS, FEWEST_LEAVES, MOST_LEAVES = 4, 512, 8, 128
 SAMPLE, TRIALS, RECALL, SEED = 8192, 256, 0.965, 42
 #: Rows and queries of a leaf that meet in one task at most, on average.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
-#: Rows of the sample from which a query's search takes a bound of its worst result.
-FLOOR_ROWS = 2048
 
 
 @dataclass
@@ -50,6 +48,7 @@ class Forest:
     leaves: int
     visits: int
     sample: np.ndarray
+    sample_homes: np.ndarray | None = None
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Signed distances of vectors from all hyperplanes."""
@@ -86,8 +85,7 @@ class Forest:
 
     def floors(self, x: np.ndarray, visits: list[list[int]], k: int) -> np.ndarray:
         """Scores that each vector's k-th best candidate is known to reach, from sampled rows in the leaves that it visits."""
-        some = self.sample[:FLOOR_ROWS]
-        homes, scores = self.leaves_of(some), x @ some.T
+        homes, scores = self.sample_homes, x @ self.sample.T
         out = np.full(len(x), -np.inf)
         for q, leaves in enumerate(visits):
             seen = np.zeros(self.leaves, bool)
@@ -128,12 +126,13 @@ def plant(sample: np.ndarray, leaves: int, trees: int = TREES, k: int = NEIGHBOU
     roots = [split(np.arange(len(sample)), depth) for _ in range(trees)]
     width = sample.shape[1]
     forest = Forest(np.array(normals).reshape(-1, width), np.array(offsets), below, roots, count, count, sample)
+    forest.sample_homes = forest.leaves_of(sample)
     if len(sample) > k:
         trial = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)
         scores = sample[trial] @ sample.T
         scores[np.arange(len(trial)), trial] = -np.inf
         best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        homes, margins = forest.leaves_of(sample), forest.margins(sample[trial])
+        homes, margins = forest.sample_homes, forest.margins(sample[trial])
         found = []
         for row, near in zip(margins, best):
             turn = np.empty(count, np.int64)
@@ -157,8 +156,8 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1)
 
 
-def ranked(queries: np.ndarray, floors: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, scores, ids) of the k best ids among rows that reach the query's floor; of equal scores the smaller ids."""
+def ranked(queries: np.ndarray, floors: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int, skipped: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, scores, ids) of the k best ids among rows that reach the query's floor; of equal scores the smaller ids; rows that are ``skipped`` come from elsewhere."""
     counts = np.array([len(x) for x in ids])
     flat, starts = np.array([i for x in ids for i in x], np.int64), np.cumsum(counts) - counts
     for at in range(0, len(queries), 256):
@@ -171,6 +170,7 @@ def ranked(queries: np.ndarray, floors: np.ndarray, rows: np.ndarray, ids: list[
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bound), bound, 0)))
         for q, (row, least) in enumerate(zip(scores, bound - slack)):
             near = np.flatnonzero(row >= least)
+            near = near[~skipped(at + q, near)]
             if not len(near):
                 continue
             value = exact(queries[at + q], rows[near])
@@ -215,7 +215,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = NEIGHBOURS, vec_id: str =
     query_blocks = max(1, math.ceil(n_asked * forest.visits / forest.leaves / BLOCK_QUERIES))
     shared = df.sparkSession.sparkContext.broadcast(forest)
     vector_type = ArrayType(kind)
-    cells = StructType([StructField("leaf", IntegerType()), StructField("row_block", IntegerType()), StructField("query_block", IntegerType()), StructField("a", LongType()), StructField("b", LongType()), StructField("v", vector_type), StructField("ids", ArrayType(LongType())), StructField("floor", DoubleType())])
+    cells = StructType([StructField("leaf", IntegerType()), StructField("row_block", IntegerType()), StructField("query_block", IntegerType()), StructField("a", LongType()), StructField("b", LongType()), StructField("v", vector_type), StructField("ids", ArrayType(LongType())), StructField("homes", ArrayType(IntegerType())), StructField("floor", DoubleType()), StructField("visits", BinaryType())])
     dealt = different.select("a", "b", "v", "ids", F.col("asked").isNotNull().alias("asked")).mapInArrow(_deal(shared, width, k + 1, row_blocks, query_blocks), cells)
     hits = dealt.groupBy("leaf", "row_block", "query_block").applyInArrow(_meet(width, k + 1), "a long, b long, vec_id long, score double")
     best = hits.groupBy("a", "b", "vec_id").agg(F.max("score").alias("score"))
@@ -240,24 +240,31 @@ def _deal(shared, width: int, k: int, row_blocks: int, query_blocks: int) -> Cal
                 asked = np.flatnonzero(batch.column("asked").to_numpy(zero_copy_only=False))
                 a = batch.column("a").to_numpy()
                 homes = forest.leaves_of(x)
-                yield cells(batch, np.repeat(np.arange(len(x)), homes.shape[1]), homes.ravel(), a, None, None)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(homes.ravel().astype(np.int32)), homes.shape[1]).cast(pa.list_(pa.int32()))
+                yield cells(batch, np.repeat(np.arange(len(x)), homes.shape[1]), homes.ravel(), a, lists, None, None, None)
                 visits = [forest.visited(m, forest.visits) for m in forest.margins(x[asked])]
                 if visits:
                     floors = forest.floors(x[asked], visits, k)
                     many = [len(v) for v in visits]
-                    yield cells(batch, np.repeat(asked, many), np.concatenate(visits), a, floors, np.repeat(np.arange(len(asked)), many))
+                    seen = np.zeros((len(visits), forest.leaves), bool)
+                    owner = np.repeat(np.arange(len(asked)), many)
+                    seen[owner, np.concatenate(visits)] = True
+                    maps = pa.array([row.tobytes() for row in np.packbits(seen, axis=1)], pa.binary())
+                    yield cells(batch, np.repeat(asked, many), np.concatenate(visits), a, None, maps, floors, owner)
 
-    def cells(batch: pa.RecordBatch, source: np.ndarray, leaf: np.ndarray, a: np.ndarray, floors: np.ndarray | None, owner: np.ndarray | None) -> pa.RecordBatch:
+    def cells(batch: pa.RecordBatch, source: np.ndarray, leaf: np.ndarray, a: np.ndarray, homes: pa.Array | None, maps: pa.Array | None, floors: np.ndarray | None, owner: np.ndarray | None) -> pa.RecordBatch:
         queries = floors is not None
         own, copies = (query_blocks, row_blocks) if queries else (row_blocks, query_blocks)
         block = np.repeat((a[source] % own).astype(np.int32), copies)
         copy = np.tile(np.arange(copies, dtype=np.int32), len(source))
         source, leaf = np.repeat(source, copies), np.repeat(leaf, copies)
         take = batch.take(pa.array(source))
+        lists = pa.nulls(len(source), pa.list_(pa.int32())) if queries else homes.take(pa.array(source))
+        visits = maps.take(pa.array(np.repeat(owner, copies))) if queries else pa.nulls(len(source), pa.binary())
         floor = pa.array(np.repeat(floors[owner], copies)) if queries else pa.nulls(len(source), pa.float64())
         ids = pa.nulls(len(source), take.column("ids").type) if queries else take.column("ids")
-        arrays = [pa.array(leaf.astype(np.int32)), pa.array(copy if queries else block), pa.array(block if queries else copy), take.column("a"), take.column("b"), take.column("v"), ids, floor]
-        return pa.RecordBatch.from_arrays(arrays, names=["leaf", "row_block", "query_block", "a", "b", "v", "ids", "floor"])
+        arrays = [pa.array(leaf.astype(np.int32)), pa.array(copy if queries else block), pa.array(block if queries else copy), take.column("a"), take.column("b"), take.column("v"), ids, lists, floor, visits]
+        return pa.RecordBatch.from_arrays(arrays, names=["leaf", "row_block", "query_block", "a", "b", "v", "ids", "homes", "floor", "visits"])
 
     return deal
 
@@ -271,7 +278,11 @@ def _meet(width: int, k: int) -> Callable:
         a, b = queries["a"].to_numpy(), queries["b"].to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(rows):
-            for q, score, ids in ranked(matrix(queries["v"], width), queries["floor"].to_numpy(), matrix(rows["v"], width), rows["ids"].to_pylist(), k):
+            # a row that an earlier tree has shown to a query too is left to that tree
+            homes = np.array(rows["homes"].to_pylist(), np.int64)
+            earlier = homes[:, : int(np.flatnonzero(homes[0] == cell["leaf"][0].as_py())[0])]
+            seen = np.unpackbits(np.frombuffer(b"".join(queries["visits"].to_pylist()), np.uint8).reshape(len(queries), -1), axis=1).astype(bool)
+            for q, score, ids in ranked(matrix(queries["v"], width), queries["floor"].to_numpy(), matrix(rows["v"], width), rows["ids"].to_pylist(), k, lambda q, near: seen[q][earlier[near]].any(axis=1)):
                 out.append((np.full(len(ids), a[q]), np.full(len(ids), b[q]), ids, score))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
         return pa.table(dict(zip(("a", "b", "vec_id", "score"), map(pa.array, columns))))
