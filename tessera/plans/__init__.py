@@ -1 +1 @@
-"""Part of tessera."""
+"""Compositions of operators: the read tools, and ingestion."""
