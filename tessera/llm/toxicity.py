@@ -23,7 +23,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.tables import fold, quoted, table
 from tessera.llm.words import lowered, spaced_words
@@ -188,8 +187,8 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, o
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = documents.where(F.octet_length("text") <= LONGEST_DOC).select("doc_id", F.xxhash64("text").alias("h"))
     one = rows.join(marked, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    chosen = one.withColumn("place", place).where((F.col("toxic") == 1) & (F.col("place") <= toxic_docs) | (F.col("toxic") == 0) & (F.col("place") <= ordinary_docs))
+    # a class's texts with the smallest hashes, by a top-k that every task cuts for itself
+    chosen = one.where("toxic = 1").orderBy("h").limit(toxic_docs).unionByName(one.where("toxic = 0").orderBy("h").limit(ordinary_docs))
     picked = F.broadcast(chosen.select("doc_id", "h", "toxic"))
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("h")).join(picked, ["doc_id", "h"]).select("toxic", "h", "text").dropDuplicates(["toxic", "h"]).collect()
     texts.sort(key=lambda r: (r.toxic, r.h))
