@@ -30,7 +30,7 @@ DOCS_PER_LANGUAGE = 1500
 WORDS_PER_LANGUAGE = 20_000
 LONGEST_GRAM = 4
 #: Unseen words that a worker remembers; longer ones than MEMO_LETTERS are never kept.
-MEMO_WORDS, MEMO_LETTERS = 200_000, 40
+MEMO_WORDS, MEMO_LETTERS = 50_000, 40
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,32 +52,29 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def log_table(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of smoothed log frequencies. A key that a language lacks gets half a count there."""
-    keys = sorted(counts)
-    table_ = np.array([counts[k] for k in keys], dtype=float).reshape(len(keys), -1)
-    return {k: i for i, k in enumerate(keys)}, np.log((table_ + 0.5) / (table_.sum(axis=0, keepdims=True) + 0.5 * max(1, len(keys))))
+def log_table(keys: list[str], counts: np.ndarray) -> np.ndarray:
+    """Smoothed log frequencies of keys (rows) in languages (columns). A key that a language lacks gets half a count there."""
+    return np.log((counts + 0.5) / (counts.sum(axis=0, keepdims=True) + 0.5 * max(1, len(keys))))
 
 
 def model_from_counts(rows: list[tuple[str, str, int]]) -> LanguageModel:
     """rows: (language, word, count)."""
     languages = sorted({r[0] for r in rows})
     place = {x: i for i, x in enumerate(languages)}
-    words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for language, word, n in rows:
-        words[word][place[language]] += n
-    grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for word, counts in words.items():
-        for n in range(1, LONGEST_GRAM + 1):
-            for gram in grams_of(word, n):
-                grams[gram] += counts
-    by_length = [log_table({g: c for g, c in grams.items() if len(g) == n}) for n in range(1, LONGEST_GRAM + 1)]
-    gram_rows: dict[str, int] = {}
-    start = 0
-    for rows_, logs in by_length:
-        gram_rows |= {g: start + i for g, i in rows_.items()}
-        start += len(logs)
-    return LanguageModel(languages, *log_table(words), gram_rows, np.concatenate([x[1] for x in by_length]))
+    words: dict[str, int] = {}
+    at = [(words.setdefault(word, len(words)), place[language]) for language, word, _ in rows]
+    counts = np.zeros((len(words), len(languages)))
+    np.add.at(counts, tuple(np.array(at, np.int64).reshape(-1, 2).T), [n for _, _, n in rows])
+    grams: dict[str, int] = {}
+    tables = [np.zeros((0, len(languages)))]
+    for n in range(1, LONGEST_GRAM + 1):
+        # each n-gram's counts are the sum of the counts of the words that it is in, as often as it is
+        start = len(grams)
+        pairs = np.array([(grams.setdefault(g, len(grams)) - start, k) for k, word in enumerate(words) for g in grams_of(word, n)], np.int64).reshape(-1, 2)
+        table_ = np.zeros((len(grams) - start, len(languages)))
+        np.add.at(table_, pairs[:, 0], counts[pairs[:, 1]])
+        tables.append(log_table(list(grams)[start:], table_))
+    return LanguageModel(languages, words, log_table(list(words), counts), grams, np.concatenate(tables))
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,14 +28,14 @@ from tessera.llm.tables import fold, quoted, table
 from tessera.llm.words import lowered, spaced_words
 
 #: Bounds of the training sample: different texts of each class, none of more bytes than this.
-TOXIC_DOCS, ORDINARY_DOCS, LONGEST_DOC = 2000, 5000, 64 << 10
+TOXIC_DOCS, ORDINARY_DOCS, LONGEST_DOC = 1500, 3500, 32 << 10
 #: Bytes of the ordinary dictionary; segments in the toxic one; bytes of a segment, its leading space included.
 ORDINARY_BYTES, SEGMENTS, SHORTEST, LONGEST = 8192, 64, 5, 12
 #: A segment must be this many times as frequent in toxic text, and in this share of toxic documents.
 CONTRAST, SPREAD = 6.0, 0.02
 LEVEL = 9
 #: Words whose difference a worker remembers; longer ones than MEMO_BYTES are never kept.
-MEMO_WORDS, MEMO_BYTES = 200_000, 48
+MEMO_WORDS, MEMO_BYTES = 100_000, 48
 #: Two sample texts that share this many of their SKETCH smallest word hashes count as copies.
 SKETCH, SHARED = 8, 5
 
@@ -143,7 +143,7 @@ def contrast_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 def ordinary_content(texts: list[str]) -> bytes:
     """What zstandard's trainer keeps of windows of about 64 bytes."""
-    samples = [b" ".join(words[i : i + 9]) for text in texts for words in spaced_words(lowered(text)) for i in range(0, len(words), 9)][:200_000]
+    samples = [b" ".join(words[i : i + 9]) for text in texts for words in spaced_words(lowered(text)) for i in range(0, len(words), 9)][:100_000]
     try:
         return zstandard.train_dictionary(2 * ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
     except zstandard.ZstdError:  # the trainer asks for more text than there is
