@@ -38,6 +38,7 @@ LEVEL = 9
 MEMO_WORDS, MEMO_BYTES = 100_000, 48
 #: Two sample texts that share this many of their SKETCH smallest word hashes count as copies.
 SKETCH, SHARED = 8, 5
+ASCII = bytes(range(128))
 
 
 @dataclass
@@ -79,11 +80,19 @@ class Differences:
         return out
 
     def figures(self, text: str | None) -> list[float]:
-        """What a whole text's windows come to; no window is a window without a difference."""
-        parts = [np.fromiter(map(self.of, words), np.int64, len(words)) for words in spaced_words(lowered(text))]
+        """What a whole text's windows come to; no window is a window without a difference.
+
+        How often each difference is reached, as a share and as a count, and the same again times
+        the share of letters beyond ASCII, as a script's ordinary words reach small differences
+        more or less often.
+        """
+        data = lowered(text)
+        parts = [np.fromiter(map(self.of, words), np.int64, len(words)) for words in spaced_words(data)]
         d = np.concatenate(parts) if parts else np.zeros(1, np.int64)
-        two, three = d >= 2, d >= 3
-        return [d.mean(), d.max(), two.mean(), math.log1p(two.sum()), three.mean(), math.log1p(three.sum()), math.log1p(np.maximum(d, 0).sum()), math.log(len(d))]
+        reached = [int((d >= k).sum()) for k in (1, 2, 3, 4)]
+        own = [*(math.sqrt(n / len(d)) for n in reached), *map(math.log1p, reached), math.log(len(d)), min(int(d.max()), 6)]
+        beyond = min(1.0, 20 * len(data.translate(None, ASCII)) / max(1, len(data)))
+        return [*own, beyond, *(beyond * x for x in own)]
 
 
 def without_copies(texts: list[str]) -> list[str]:
