@@ -70,16 +70,16 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Classes of all but the last two of the words whose bigrams are counted; these have classes of their own.
 
-    One word after another moves to the class that makes the class bigrams likeliest, until a
-    round moves none.
+    All words start outside the classes. The first ones open a class each; then one word after
+    another moves to the class that makes the class bigrams likeliest, until a round moves none.
     """
     words = len(counts) - 2
     total = classes + 2
-    place = np.append(np.arange(words) % classes, [classes, classes + 1])
+    place = np.append(np.full(words + 1, classes), classes + 1)
     member = np.eye(total)[place]
     joint = member.T @ counts @ member
     k = np.arange(classes)
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         moved = 0
         for w in range(words):
             old = place[w]
@@ -99,7 +99,9 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarr
             out, into = rows.sum(axis=1), columns.sum(axis=1)
             gain -= _xlogx(out + ahead) - _xlogx(out) + _xlogx(into + behind) - _xlogx(into)
             new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
+            if not turn and w < classes:
+                new = w
+            elif old < classes and gain[new] <= gain[old] + 1e-9:
                 new = old
             moved += new != old
             place[w] = new

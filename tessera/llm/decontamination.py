@@ -287,7 +287,8 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
     """``df`` with the removal spans cut out of its texts, a space left in place of each; other texts are untouched."""
-    found = find_contamination(df.withColumn("__text", quoted(text)), benchmark, "__text", **options)
+    carried = df.select(F.struct(*(quoted(c) for c in df.columns)).alias("__row"), quoted(text).alias("__text"))
+    found = find_contamination(carried, benchmark, "__text", **options)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -300,7 +301,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **opt
         return pa.array(out, pa.string())
 
     changed = F.when(F.col("n_hit") > 0, cut(F.col("__text"), F.col("removal_spans"))).otherwise(F.col("__text"))
-    return found.withColumn(text, changed).select(*(quoted(c) for c in df.columns))
+    return found.select(*((changed if c == text else F.col("__row")[c]).alias(c) for c in df.columns))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

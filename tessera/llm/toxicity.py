@@ -36,7 +36,7 @@ CONTRAST, SPREAD = 6.0, 0.02
 LEVEL = 9
 #: Words whose difference a worker remembers; longer ones than MEMO_BYTES are never kept.
 MEMO_WORDS, MEMO_BYTES = 100_000, 48
-#: Two sample texts that share this many of their SKETCH smallest word hashes count as copies.
+#: Two sample texts that share this many of their SKETCH smallest hashes of three words count as copies.
 SKETCH, SHARED = 8, 5
 ASCII = bytes(range(128))
 
@@ -100,7 +100,10 @@ def without_copies(texts: list[str]) -> list[str]:
     seen: dict[int, list[int]] = {}
     out = []
     for text in texts:
-        sketch = sorted({xxhash.xxh64_intdigest(w) for words in spaced_words(lowered(text)) for w in words})[:SKETCH]
+        hashes = set()
+        for words in spaced_words(lowered(text)):
+            hashes.update(xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+        sketch = sorted(hashes)[:SKETCH]
         shared = Counter(k for h in sketch for k in seen.get(h, ()))
         if sketch and max(shared.values(), default=0) >= min(SHARED, len(sketch)):
             continue
