@@ -229,7 +229,7 @@ def _parts(items: Iterator) -> Iterator[tuple]:
     yield from batched(items, ITEMS_AT_ONCE)
 
 
-RESULT = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+RESULT = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("cleaned", pa.string())])
 
 
 def shards(texts: list[str | None], size: int = SHARD_BYTES) -> Iterator[list[str | None]]:
@@ -245,10 +245,19 @@ def shards(texts: list[str | None], size: int = SHARD_BYTES) -> Iterator[list[st
         yield got
 
 
-def _finder(shared: Broadcast):
-    """Searches texts for one part of the phrases and adds what other parts have found: (text, hits, items)."""
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text with a space in place of each of its spans."""
+    edges = [0, *(x for s in spans for x in s), len(text)]
+    return " ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
-    @F.arrow_udf("struct<n_words: long, items: array<string>, hits: array<long>, spans: array<struct<begin: long, end: long>>>")
+
+def _finder(shared: Broadcast, clean: bool):
+    """Searches texts for one part of the phrases and adds what other parts have found: (text, hits, items).
+
+    One function finds and cleans, as each function in a stage takes a worker of its own.
+    """
+
+    @F.arrow_udf("struct<n_words: long, items: array<string>, hits: array<long>, spans: array<struct<begin: long, end: long>>, cleaned: string>")
     def found(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, hits, items in batches:
             rows = []
@@ -259,48 +268,37 @@ def _finder(shared: Broadcast):
                         hit = np.union1d(hit, np.array(hits[k].as_py(), np.int64))
                         ids = sorted({*ids, *items[k].as_py()})
                     spans = removal_spans(value, hit) if len(hit) else []
-                    rows.append({"n_words": n, "items": ids, "hits": hit.tolist(), "spans": [{"begin": a, "end": b} for a, b in spans]})
+                    rows.append({"n_words": n, "items": ids, "hits": hit.tolist(), "spans": [{"begin": a, "end": b} for a, b in spans], "cleaned": without_spans(value, spans) if clean and spans else None})
             yield pa.array(rows, RESULT)
 
     return found
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, clean: bool = False) -> DataFrame:
     """``df`` with n_words, n_hit, items (ids as strings, sorted, once each) and removal_spans (begin, end: characters).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. Null and
     empty texts have no words; items without words have no windows; a null item_id still hits,
-    but is in no list. Input columns of the result's names are replaced. The phrases are sent to
+    but is in no list. clean: also cleaned_text, null where nothing was hit. Input columns of the result's names are replaced. The phrases are sent to
     the executors in parts of ITEMS_AT_ONCE items at most; each part reads the texts once.
     """
     items = ((r[0], r[1]) for r in benchmark.select(quoted(item_id).cast("string"), quoted(item_text)).toLocalIterator())
-    out = df.select(*(quoted(c) for c in others(df, "n_words", "n_hit", "items", "removal_spans")))
+    out = df.select(*(quoted(c) for c in others(df, "n_words", "n_hit", "items", "removal_spans", *(["cleaned_text"] if clean else []))))
     hits, owners, names = F.lit(None).cast("array<long>"), F.lit(None).cast("array<string>"), []
     for k, part in enumerate(_parts(items)):
         names.append(f"__found_{k}")
-        out = out.withColumn(names[-1], _finder(df.sparkSession.sparkContext.broadcast(Phrases(list(part), window)))(quoted(text), hits, owners))
+        out = out.withColumn(names[-1], _finder(df.sparkSession.sparkContext.broadcast(Phrases(list(part), window)), clean)(quoted(text), hits, owners))
         hits, owners = F.col(names[-1])["hits"], F.col(names[-1])["items"]
     last = F.col(names[-1])
-    made = {"n_words": last["n_words"], "n_hit": F.size(last["hits"]).cast("long"), "items": F.array_sort(last["items"]), "removal_spans": last["spans"]}
+    made = {"n_words": last["n_words"], "n_hit": F.size(last["hits"]).cast("long"), "items": F.array_sort(last["items"]), "removal_spans": last["spans"]} | ({"cleaned_text": last["cleaned"]} if clean else {})
     return out.withColumns(made).drop(*names)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
     """``df`` with the removal spans cut out of its texts, a space left in place of each; other texts are untouched."""
     carried = df.select(F.struct(*(quoted(c) for c in df.columns)).alias("__row"), quoted(text).alias("__text"))
-    found = find_contamination(carried, benchmark, "__text", **options)
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for value, ranges in zip(texts.to_pylist(), spans.to_pylist()):
-            if ranges:
-                edges = [0, *(x for r in ranges for x in (r["begin"], r["end"])), len(value)]
-                value = " ".join(value[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append(value)
-        return pa.array(out, pa.string())
-
-    changed = F.when(F.col("n_hit") > 0, cut(F.col("__text"), F.col("removal_spans"))).otherwise(F.col("__text"))
+    found = find_contamination(carried, benchmark, "__text", clean=True, **options)
+    changed = F.coalesce("cleaned_text", "__text")
     return found.select(*((changed if c == text else F.col("__row")[c]).alias(c) for c in df.columns))
 
 
