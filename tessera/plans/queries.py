@@ -469,9 +469,9 @@ def _(t):
     return graph.neighbours(_graph(t), NATIONS + 6).select("kind", "direction", "other")
 
 
-@query("gr6_partial_names", oracle("SELECT id, name FROM m_entities WHERE contains(lower(name), 'ra') AND lower(name) <> 'ra' AND type IN ('nation', 'region')"))
+@query("gr6_partial_names", oracle("SELECT id, name FROM m_entities WHERE contains(lower(name), 'io') AND lower(name) <> 'io' AND type IN ('nation', 'region')"))
 def _(t):
-    return graph.find_partial(_graph(t), "RA").where("type IN ('nation', 'region')").select("id", "name")
+    return graph.find_partial(_graph(t), "IO").where("type IN ('nation', 'region')").select("id", "name")
 
 
 @query("gr8_gr10_nodes_around_regions", oracle(f"SELECT DISTINCT object_entity_id AS source, subject_entity_id AS node FROM m_facts WHERE predicate = 'belongs_to' AND status = 'approved' AND object_entity_id >= {REGIONS}"))

@@ -6,6 +6,7 @@ modified_at and metadata (map of strings).
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -80,6 +81,9 @@ def path_parts(path: Column) -> Column:
     return F.struct(F.when(F.size(parts) > 1, parts[0]).alias("space"), F.when(F.size(parts) > 2, parts[1]).alias("wiki_type"), F.when((by_type > 0) & (F.size(parts) > by_type + 1), F.get(parts, by_type)).alias("entity_type"))
 
 
+SPACES = re.compile(r"\s+")
+
+
 class _Markdown(HTMLParser):
     """Writes HTML as Markdown."""
 
@@ -124,7 +128,7 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.out.append(" ".join(data.split()) if data.strip() else (" " if data else ""))
+            self.out.append(SPACES.sub(" ", data))
 
 
 def markdown_of(html: str | None) -> str:
