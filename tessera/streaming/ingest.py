@@ -33,15 +33,20 @@ def on_changes(files: DataFrame, ingest: Callable[[DataFrame, int], None], check
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _on_time(rows: DataFrame, late: str) -> DataFrame:
+    """A stream's rows that are not too late; times without a zone are taken in the session's."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if rows.isStreaming else rows
+
+
 def debounced(changes: DataFrame, gap: str, late: str = "1 minute") -> DataFrame:
     """(source, started, ended, paths) of bursts of changes (ts, source, path) between which nothing happened for a while."""
-    rows = changes.withWatermark("ts", late) if changes.isStreaming else changes
+    rows = _on_time(changes, late)
     return rows.groupBy(F.session_window("ts", gap), "source").agg(F.array_sort(F.collect_set("path")).alias("paths")).select("source", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "paths")
 
 
 def windowed(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
     """(started, event_type, n, total) of events (ts, event_type, value) in windows of a width; later ones than ``late`` are dropped from a stream."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _on_time(events, late)
     return rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("started"), "event_type", "n", "total")
 
 
