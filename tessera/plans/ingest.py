@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, quote_window
@@ -67,6 +67,20 @@ def embedded_with_cache(chunks: DataFrame, cache: DataFrame, make: Callable[[],
     return keyed.join(full, "cache_key", "left").drop("cache_key"), full
 
 
+def reembedded(chunks: DataFrame, vectors: DataFrame, make: Callable[[], EmbeddingProvider], width: int) -> DataFrame:
+    """The vectors of all chunks: those stored, if they have the width, else made anew for every chunk."""
+    other = vectors.where(F.size("vector") != width).limit(1)
+    if other.isEmpty():
+        return vectors
+    return embedded(chunks, make).select("chunk_id", "vector")
+
+
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Rows, and how many of them went by when they are written: ``observation.get`` waits for that."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def documents_from(files: DataFrame, first_id: int = 0) -> DataFrame:
     """Documents of read files: an id from the path, the hash of the content, and what the reader found."""
     key = F.pmod(F.xxhash64("source_path"), F.lit(1 << 53)) + first_id

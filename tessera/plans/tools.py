@@ -161,3 +161,18 @@ def get_entity_dossier(t, entity_id: int | None = None, name: str | None = None,
         mine = catalog.merged_link_targets(t.entity_links().where(F.col("subject_entity_id") == start))
         out = out.union(mine.select(F.lit("link"), "target_entity_id", "relations"))
     return out
+
+
+def as_json(result: Result | DataFrame) -> DataFrame:
+    """(response): a result as one JSON text; empty fields are left out. Results are pages, so they are small."""
+    rows = result.rows if isinstance(result, Result) else result
+    listed = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("items"))
+    if isinstance(result, Result):
+        listed = listed.withColumns({"total": F.lit(result.total), "next_cursor": F.lit(result.next_cursor)})
+    return listed.select(F.to_json(F.struct(*listed.columns), {"ignoreNullFields": "true"}).alias("response"))
+
+
+def checked_domain(t, domain: str) -> str | None:
+    """A warning about a domain that no document has."""
+    known = catalog.in_domain(t.plain_documents(), domain).limit(1)
+    return f"no document is in {domain}" if known.isEmpty() else None

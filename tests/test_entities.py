@@ -13,6 +13,7 @@ from tessera.operators import extraction as ex
 from tessera.operators import linking as lk
 from tessera.operators import resolution as rs
 from tessera.operators.components import clusters
+from tessera.plans import providers as pv
 
 ENTITY = "id long, type string, name string, domain string"
 
@@ -125,3 +126,26 @@ def test_deciders_and_relinking(spark):
     none = lk.merged([lk.equal_name_links(people(spark))]).where("false")
     assert lk.relinked(people(spark), none, "2025-01-15 00:00:00").count() == 2
     assert lk.relinked(people(spark), none, "2025-01-15 00:00:00", only_changed=True).count() == 0
+
+
+def test_models_and_their_answers(spark, tmp_path):
+    types = ["person", "team"]
+    answer = 'Sure: {"entities": [{"name": " Ann ", "type": "Person", "confidence": 7}, {"name": "B", "type": "team"}, {"name": "C", "type": "odd"}, {"name": ""}, 5]} ok'
+    assert pv.entities_in(answer, types) == [{"name": "Ann", "type": "person", "confidence": 1.0}, {"name": "B", "type": "team", "confidence": 0.5}]
+    assert pv.entities_in("no", types) == [] and pv.json_in("{bad}") == {} and pv.json_in("[1]") == {}
+    chunks = spark.createDataFrame([(1, "x"), (2, " ")], "chunk_id long, chunk_text string")
+    found = ex.by_model(chunks, pv.recogniser(lambda prompt: answer, types))
+    assert {(r.chunk_id, r.name) for r in found.collect()} == {(1, "Ann"), (1, "B")}
+    decide = pv.decider(lambda prompt: '{"same": true, "confidence": 0.8, "reason": "r"}')
+    assert decide({"name": "a"}, {"name": "b"}) == (True, 0.8, "r") and pv.decider(lambda p: "?")({"name": "a"}, {"name": "b"})[0] is False
+    (tmp_path / "same.txt").write_text("$a/$b")
+    assert pv.Prompts(str(tmp_path)).fill("same", a="1", b="2") == "1/2"
+    with pytest.raises(ValueError):
+        pv.Prompts().fill("odd")
+    tries = []
+    assert pv.with_retries(lambda p: tries.append(p) or (1 / (len(tries) - 1) and "done"), wait=0)("p") == "done" and len(tries) == 2
+    prompts = spark.createDataFrame([("p",), ("p",), ("q",)], "prompt string")
+    out, cache = pv.answered(prompts, spark.createDataFrame([], "cache_key string, answer string"), str.upper)
+    assert sorted(r.answer for r in out.collect()) == ["P", "P", "Q"] and cache.count() == 2
+    again, _ = pv.answered(prompts, cache, lambda p: 1 / 0)
+    assert again.count() == 3

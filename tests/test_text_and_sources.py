@@ -258,3 +258,25 @@ def test_windows_of_a_stream(spark, data, tmp_path):
     q = streams.windowed(stream, "1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.sql("SELECT started, event_type, n FROM w").collect())) == sorted(map(str, streams.windowed(events, "1 hour").select("started", "event_type", "n").collect()))
+
+
+def test_responses_and_widths(spark, data):
+    from tessera.model import Tables
+    from tessera.plans import tools
+
+    t = Tables(spark, data)
+    page = json.loads(tools.as_json(tools.catalog_entities(t, catalog.Page(0, 2), type="nation")).first().response)
+    assert len(page["items"]) == 2 and page["total"] == 25 and page["next_cursor"]
+    assert tools.checked_domain(t, "EN") is None and "odd" in tools.checked_domain(t, "odd")
+    with pytest.raises(ValueError, match="several"):
+        tools.resolve_entity(t, name=t.entities().where("id = 1").first().name)
+    for wrong in ({}, {"entity_id": 1, "name": "x"}, {"entity_id": -5}, {"name": "nobody"}):
+        with pytest.raises(ValueError):
+            tools.resolve_entity(t, **wrong)
+    chunks = spark.createDataFrame([(1, "a"), (2, "b")], "chunk_id long, chunk_text string")
+    old = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, vector array<float>")
+    assert ingest.reembedded(chunks, old, ingest.HashedWords, 2).count() == 1
+    assert {len(r.vector) for r in ingest.reembedded(chunks, old, ingest.HashedWords, 64).collect()} == {64}
+    rows, seen = ingest.observed(chunks, "chunks")
+    rows.collect()
+    assert seen.get["rows"] == 2
