@@ -26,7 +26,7 @@ WINDOW_WORDS = 10
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Every so many words of a shard keep their suffix's position; items sent to the executors at once.
-SAMPLED_EVERY, ITEMS_AT_ONCE = 8, 100_000
+SAMPLED_EVERY, ITEMS_AT_ONCE = 8, 20_000
 #: Turns bytes that no word has into spaces, and A-Z into a-z.
 SPACED = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
