@@ -36,7 +36,7 @@ CORE_WORDS, CLASSES, ROUNDS = 1000, 32, 6
 #: Words of each task's own that may become core words; a word more frequent than one in so many tokens is among them.
 TASK_WORDS = 8192
 #: Bytes of text in a block, and bytes of input whose words share a partition.
-BLOCK_BYTES, PARTITION_BYTES = 12 << 20, 24 << 20
+BLOCK_BYTES, PARTITION_BYTES = 6 << 20, 12 << 20
 #: The base model's addend, and how many transitions the class distribution counts for.
 ADDEND, PRIOR = 0.1, 5.0
 #: What marks a class sequence's words seen once, and unseen ones.
