@@ -266,11 +266,15 @@ def _(t):
     return catalog.counts_by(rows, "gram")
 
 
-@query("sc4_similar_nations", "SELECT a.n_name AS a, b.n_name AS b, round(CASE WHEN a.n_name = b.n_name THEN 1 ELSE jaro_similarity(a.n_name, b.n_name) END, 1) >= 0 AS compared FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+@query(
+    "sc4_similar_parts",
+    "WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT a.name AS a, b.name AS b, jaro_similarity(a.name, b.name) AS j, CASE WHEN a.name[1:4] = b.name[1:4] THEN 4 WHEN a.name[1:3] = b.name[1:3] THEN 3 WHEN a.name[1:2] = b.name[1:2] THEN 2 WHEN a.name[1:1] = b.name[1:1] THEN 1 ELSE 0 END AS p FROM n a JOIN n b ON a.name[1:1] = b.name[1:1] AND a.name < b.name) SELECT a, b, j + p * 0.1e0 * (1 - j) >= 0.9e0 AS similar FROM s",
+)
 def _(t):
-    n = t.raw("nation")
-    pairs = n.alias("a").join(n.alias("b"), F.col("a.n_nationkey") < F.col("b.n_nationkey"))
-    return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), (jaro_winkler_column("a.n_name", "b.n_name") >= 0).alias("compared"))
+    names = t.raw("part").select(F.col("p_name").alias("name")).distinct()
+    names = names.withColumn("initial", F.left("name", F.lit(1)))
+    pairs = names.alias("a").join(names.alias("b"), (F.col("a.initial") == F.col("b.initial")) & (F.col("a.name") < F.col("b.name")))
+    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), (jaro_winkler_column("a.name", "b.name") >= 0.9).alias("similar"))
 
 
 @query("sc5_content_hashes", oracle("SELECT id, content_hash FROM m_documents"))
@@ -308,11 +312,14 @@ def _(t):
     return t.chunks().select("chunk_id", F.col("start_offset").cast("long").alias("start_offset"), F.col("end_offset").cast("long").alias("end_offset"), F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
 
 
-@query("ch3_hybrid_chunks_without_headings", oracle("SELECT document_id, count(*) AS n, sum(length(trim(chunk_text))) AS chars FROM m_chunks GROUP BY document_id HAVING count(*) = 1"))
+@query(
+    "ch3_hybrid_chunks",
+    "SELECT doc_id AS document_id, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((n - 1000) / 900e0) AS BIGINT)) END AS chunks, md5(substr(body, 1, 1000)) AS digest FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents) WHERE n > 0",
+)
 def _(t):
-    d = t.raw("documents").select(F.col("doc_id").alias("document_id"), "text")
-    rows = chunking.hybrid_chunks(d.where(F.length("text") <= 1000), "text", size=1000, overlap=100)
-    return rows.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length(F.trim("chunk_text"))).alias("chars"))
+    # documents have no headings, so each is one section, cut where it is long
+    rows = chunking.hybrid_chunks(t.raw("documents").select(F.col("doc_id").alias("document_id"), "text"), "text", size=1000, overlap=100)
+    return rows.groupBy("document_id").agg(F.count("*").alias("chunks"), F.md5(F.min_by("chunk_text", "window").cast("binary")).alias("digest"))
 
 
 @query("ch4_json_chunks", "SELECT event_id, 0 AS sequence_num, '**k**: ' || json_extract_string(props, '$.k') AS chunk_text FROM events")
