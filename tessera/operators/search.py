@@ -85,7 +85,7 @@ def bm25(chunks: DataFrame, query: str, limit: int = POOL, domain: str | None =
         raise ValueError("a query needs a term that is not negated")
     rows = chunks if domain is None else chunks.where(F.lower(F.trim("domain")) == domain.strip().lower())
     phrases = [p for c in wanted for p in c.phrases]
-    # one scan: lengths and frequencies of every chunk, then sums of them, then scores of those that match
+    # lengths and frequencies of every chunk; sums of them in one pass, scores of those that match in another
     words = tokens(F.col("chunk_text"))
     seen = rows.select("chunk_id", "document_id", "chunk_text", words.alias("w"))
     measured = seen.select("chunk_id", "document_id", "chunk_text", F.size("w").alias("dl"), F.array(*(_times(F.col("w"), p) for p in phrases)).alias("tf"), _fulfils(F.col("w"), clauses).alias("match"))
