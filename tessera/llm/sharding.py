@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from tessera.llm.tables import others, quoted, table
 
-#: Bytes of records that a bucket is to hold on average.
-BUCKET_BYTES = 8 << 20
+#: Bytes of records that a bucket is to hold on average, and a task's share of the exchange.
+BUCKET_BYTES, TASK_BYTES = 16 << 20, 128 << 20
 SHARDS, SEED = 8, 42
 
 
@@ -29,7 +29,7 @@ def scatter_shuffle(df: DataFrame, identity: list[Column], n_shards: int = SHARD
 
     identity: expressions that tell one record from another, as a file's name and the row's place
     there; records that share it land in one bucket. weight: a record's bytes (default: of its
-    string and binary columns). The result depends on identities, seed and bucket_bytes alone.
+    string and binary columns). The result depends on identities, seed, bucket_bytes and the number of tasks.
 
     Null, empty and long values are records like any other; equal records are kept as often as they
     come; an empty table gives an empty result; input columns named shard or slot are replaced.
@@ -46,7 +46,9 @@ def scatter_shuffle(df: DataFrame, identity: list[Column], n_shards: int = SHARD
     counts = df.select(bucket.alias("bucket")).groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    scattered = df.select(bucket.alias("bucket"), record.alias("row")).repartition(n_buckets, "bucket")
+    # a task gets several buckets where there are many, so that the number of tasks stays within what a driver can plan
+    tasks = max(math.ceil(total / TASK_BYTES), min(n_buckets, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    scattered = df.select(bucket.alias("bucket"), record.alias("row")).repartition(tasks, "bucket")
     # the order of a bucket, and of the buckets of a task, is fixed before the seeded shuffle draws its numbers
     loaded = scattered.join(starts, "bucket").groupBy("bucket", "start").agg(F.sort_array(F.collect_list("row")).alias("rows")).sortWithinPartitions("bucket")
     dealt = loaded.select("start", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "row"))
