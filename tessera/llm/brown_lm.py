@@ -35,8 +35,8 @@ from tessera.session import written
 CORE_WORDS, CLASSES, ROUNDS = 1000, 32, 6
 #: Words of each task's own that may become core words; a word more frequent than one in so many tokens is among them.
 TASK_WORDS = 8192
-#: Bytes of text in a block, and bytes of input whose words share a partition.
-BLOCK_BYTES, PARTITION_BYTES = 6 << 20, 12 << 20
+#: Bytes of text in a block, and rows of words that are answered at once, unless they are all of one word.
+BLOCK_BYTES, ROWS_AT_ONCE = 6 << 20, 200_000
 #: The base model's addend, and how many transitions the class distribution counts for.
 ADDEND, PRIOR = 0.1, 5.0
 #: What marks a class sequence's words seen once, and unseen ones.
@@ -230,40 +230,52 @@ def _blocks(shared) -> Callable:
 
 
 def _answer(shared) -> Callable:
-    """For each word of each block, from all blocks' rows of a partition of words: (block, place, c, class, first)."""
+    """For each word of each block, from all blocks' rows of words in order: (block, place, c, class, first)."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Classes = shared.value
-        got = list(batches)
-        if not got:
-            return
-        rows = pa.Table.from_batches(got).combine_chunks()
-        coded = rows["word"].combine_chunks().dictionary_encode()
-        of = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        c = np.bincount(of, rows["n"].to_numpy(), len(words)).astype(np.int64)
-        around = rows["around"].combine_chunks()
-        ends = np.frombuffer(around.buffers()[1], np.int32, len(around) + 1, around.offset * 4) // 4
-        entries = np.frombuffer(around.buffers()[2], "<u4")[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint32)
-        owner = np.repeat(of, np.diff(ends))
-        order = np.argsort(owner, kind="stable")
-        entries, owner = entries[order], owner[order]
-        weigh = np.concatenate((model.before, model.after))
-        value = np.zeros((len(words), model.n))
-        for at in range(0, len(entries), 1 << 16):
-            part, to = entries[at : at + (1 << 16)], owner[at : at + (1 << 16)]
-            starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            value[to[starts]] += np.add.reduceat(weigh[part >> 24] * (part & 0xFFFFFF)[:, None], starts)
-        best = (value - c[:, None] * model.own).argmax(axis=1)
-        core = np.array([model.core.get(w, -1) for w in words])
-        best = np.where(core >= 0, core, best)
-        first = np.zeros(len(of), bool)
-        first[np.unique(of, return_index=True)[1]] = True
-        yield pa.RecordBatch.from_pydict({"block": rows["block"].combine_chunks(), "place": rows["place"].combine_chunks(), "c": pa.array(c[of]), "class": pa.array(best[of].astype(np.int32)), "first": pa.array(first)})
+        held: pa.Table | None = None
+        for batch in batches:
+            fresh = pa.Table.from_batches([batch])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            if len(held) >= ROWS_AT_ONCE:
+                # the last word may go on in the next batch
+                whole = held["word"].index(held["word"][-1]).as_py()
+                if whole:
+                    yield answers_to(held.slice(0, whole), shared.value)
+                    held = held.slice(whole)
+        if held is not None and len(held):
+            yield answers_to(held, shared.value)
 
     return answer
 
 
+def answers_to(rows: pa.Table, model: Classes) -> pa.RecordBatch:
+    """Counts and classes of words of which these are all rows."""
+    rows = rows.combine_chunks()
+    coded = rows["word"].combine_chunks().dictionary_encode()
+    of = coded.indices.to_numpy().astype(np.int64)
+    words = coded.dictionary.to_pylist()
+    c = np.bincount(of, rows["n"].to_numpy(), len(words)).astype(np.int64)
+    around = rows["around"].combine_chunks()
+    ends = np.frombuffer(around.buffers()[1], np.int32, len(around) + 1, around.offset * 4) // 4
+    entries = np.frombuffer(around.buffers()[2], "<u4")[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint32)
+    owner = np.repeat(of, np.diff(ends))
+    order = np.argsort(owner, kind="stable")
+    entries, owner = entries[order], owner[order]
+    weigh = np.concatenate((model.before, model.after))
+    value = np.zeros((len(words), model.n))
+    for at in range(0, len(entries), 1 << 16):
+        part, to = entries[at : at + (1 << 16)], owner[at : at + (1 << 16)]
+        starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        value[to[starts]] += np.add.reduceat(weigh[part >> 24] * (part & 0xFFFFFF)[:, None], starts)
+    best = (value - c[:, None] * model.own).argmax(axis=1)
+    core = np.array([model.core.get(w, -1) for w in words])
+    best = np.where(core >= 0, core, best)
+    first = np.zeros(len(of), bool)
+    first[np.unique(of, return_index=True)[1]] = True
+    return pa.RecordBatch.from_pydict({"block": rows["block"].combine_chunks(), "place": rows["place"].combine_chunks(), "c": pa.array(c[of]), "class": pa.array(best[of].astype(np.int32)), "first": pa.array(first)})
+
+
 def _measure(classes: int, total: int, different: int) -> Callable:
     """Of a block's documents: counts, base score, and their words' classes, from the answers to its words."""
 
@@ -341,8 +353,6 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", is_tr
     spark = df.sparkSession
     rows = df.select(quoted(doc_id).cast("long").alias("doc"), F.coalesce(F.expr(is_training or "true"), F.lit(False)).alias("training"), quoted(text).alias("text"))
     learned = rows.where("training").select("text")
-    size = df.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0)).alias("bytes")).first().bytes
-    partitions = max(1, math.ceil(size / PARTITION_BYTES))
     top = learned.mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(core_words)
     core = [bytes(r.word) for r in top.collect()]
     width = len(core) + 2
@@ -354,7 +364,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", is_tr
     shared = spark.sparkContext.broadcast(model)
     n = model.n
     blocks = written(rows.select("doc", "training", "text").mapInArrow(_blocks(shared), BLOCKS))
-    words = blocks.where("word IS NOT NULL").select("block", "place", "word", "n", "around").repartition(partitions, "word")
+    words = blocks.where("word IS NOT NULL").select("block", "place", "word", "n", "around").repartition("word").sortWithinPartitions("word")
     answers = written(words.mapInArrow(_answer(shared), "block long, place int, c long, class int, first boolean"))
     texts = blocks.where("data IS NOT NULL").select("block", "doc", "training", "data")
     seen = answers.where("first AND c > 0").agg(F.count("*").alias("different"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()

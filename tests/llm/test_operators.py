@@ -565,7 +565,10 @@ def test_blocks_do_not_change_counts(spark, data, monkeypatch):
     docs = table(spark, data, "documents")
     a = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in brown_lm.score_texts(docs).collect()}
     monkeypatch.setattr(brown_lm, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(brown_lm, "ROWS_AT_ONCE", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
     b = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in brown_lm.score_texts(docs.repartition(3)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert a == b
 
 
