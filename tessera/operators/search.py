@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,8 @@ from tessera.functions.vectors import closeness, l2_distance
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, RRF_WEIGHT, BM25_WEIGHT, NEUTRAL = 20, 0.7, 0.3, 0.5
 POOL, MOST = 20, 100
+#: Queries that are asked in one plan.
+BATCH = 10_000
 
 
 @dataclass
@@ -117,31 +122,31 @@ def knn(vectors: DataFrame, query: list[float], limit: int = POOL, domain: str |
     return rows.select("chunk_id", l2_distance(F.col("vector"), at).alias("distance")).orderBy("distance", "chunk_id").limit(limit)
 
 
-def ranks(hits: DataFrame, score: str, descending: bool = False) -> DataFrame:
-    """``hits`` with rank, from 1; hits are a pool of bounded size."""
+def ranks(hits: DataFrame, score: str, descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """``hits`` with rank, from 1, for each value of ``by``; hits are pools of bounded size."""
     order = F.desc(score) if descending else F.asc(score)
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(order, "chunk_id")))
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "chunk_id")))
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, k: int = RRF_K, limit: int = 0) -> DataFrame:
+def fuse(lexical: DataFrame, semantic: DataFrame, k: int = RRF_K, limit: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Two ranked pools (chunk_id, rank, and bm25 or distance) by reciprocal ranks: chunk_id, score, rrf, origin, rank.
 
     The sum of reciprocal ranks and the inverted BM25 are scaled to 0 to 1 over the pool, and
     blended; where there is nothing to scale, and for hits without BM25, a part is 0.5. k of 0
-    means 20; a limit of 0 means all.
+    means 20; a limit of 0 means all. by: columns of a request; each has pools of its own.
     """
     k = k or RRF_K
-    left = lexical.select("chunk_id", F.col("rank").alias("lexical_rank"), "bm25")
-    right = semantic.select("chunk_id", F.col("rank").alias("semantic_rank"), "distance")
-    both = left.join(right, "chunk_id", "full_outer")
+    left = lexical.select(*by, "chunk_id", F.col("rank").alias("lexical_rank"), "bm25")
+    right = semantic.select(*by, "chunk_id", F.col("rank").alias("semantic_rank"), "distance")
+    both = left.join(right, [*by, "chunk_id"], "full_outer")
     rrf = F.coalesce(1.0 / (k + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(1.0 / (k + F.col("semantic_rank")), F.lit(0.0))
-    pool = Window.partitionBy()
+    pool = Window.partitionBy(*by)
     rows = both.withColumn("rrf", rrf).withColumns({"low": F.min("rrf").over(pool), "high": F.max("rrf").over(pool), "best": F.min("bm25").over(pool), "worst": F.max("bm25").over(pool)})
     rrf_part = F.when(F.col("high") > F.col("low"), (F.col("rrf") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(NEUTRAL)
     bm25_part = F.when(F.col("worst") > F.col("best"), F.coalesce((F.col("worst") - F.col("bm25")) / (F.col("worst") - F.col("best")), F.lit(NEUTRAL))).otherwise(NEUTRAL)
     origin = F.when(F.col("lexical_rank").isNotNull() & F.col("semantic_rank").isNotNull(), "hybrid").when(F.col("lexical_rank").isNotNull(), "lexical").otherwise("semantic")
-    fused = rows.select("chunk_id", (RRF_WEIGHT * rrf_part + BM25_WEIGHT * bm25_part).alias("score"), "rrf", origin.alias("origin"))
-    out = ranks(fused, "score", descending=True)
+    fused = rows.select(*by, "chunk_id", (RRF_WEIGHT * rrf_part + BM25_WEIGHT * bm25_part).alias("score"), "rrf", origin.alias("origin"))
+    out = ranks(fused, "score", descending=True, by=by)
     return out.where(F.col("rank") <= limit) if limit > 0 else out
 
 
@@ -213,7 +218,8 @@ def bm25_batch(chunks: DataFrame, queries: DataFrame, limit: int = POOL) -> Data
     """(query_id, rank, chunk_id, bm25) of the best chunks for many queries (query_id, text), in one plan.
 
     A chunk competes if it has any of a query's terms. Postings are pre-filtered to the queries'
-    terms where these are few; a term's postings are never gathered.
+    terms where these are few; a term's postings are never gathered. Scores are rounded to 9 digits,
+    so that copies tie in whatever order their parts are added.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     lengths = chunks.select("chunk_id", F.size(tokens(F.col("chunk_text"))).alias("dl"))
@@ -223,6 +229,51 @@ def bm25_batch(chunks: DataFrame, queries: DataFrame, limit: int = POOL) -> Data
     weighted = asked.join(df, "term").crossJoin(F.broadcast(totals))  # totals are one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = -idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = weighted.select("term", "chunk_id", part.alias("part")).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"))
+    scored = weighted.select("term", "chunk_id", part.alias("part")).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("bm25"))
     best = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int = POOL) -> DataFrame:
+    """(query_id, rank, chunk_id, distance) of the nearest vectors for many queries (query_id, vector), in one pass.
+
+    The queries are a request of at most BATCH rows, sent to every task; a task keeps its best of
+    each query, so that what is exchanged does not grow with the table. More queries raise.
+    """
+    asked = queries.select("query_id", "vector").limit(BATCH + 1).toArrow()
+    if len(asked) > BATCH:
+        raise ValueError(f"more than {BATCH} queries; ask in parts")
+    ids = asked["query_id"].to_pylist()
+    q = np.array(asked["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
+    shared = vectors.sparkSession.sparkContext.broadcast(q)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        kept = [(np.empty(0), np.empty(0, np.int64))] * len(at)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+            if not len(keys) or not len(at):
+                continue
+            square = (x * x).sum(axis=1) - 2 * at @ x.T
+            for n, (row, (distance, own)) in enumerate(zip(square, kept)):
+                bound = np.partition(row, limit - 1)[limit - 1] if len(row) > limit else np.inf
+                near = np.flatnonzero(row <= bound + 1e-9 * (1 + abs(bound) if np.isfinite(bound) else 1))
+                distance = np.concatenate((distance, np.sqrt(((x[near] - at[n]) ** 2).sum(axis=1))))
+                own = np.concatenate((own, keys[near]))
+                order = np.lexsort((own, distance))[:limit]
+                kept[n] = (distance[order], own[order])
+        many = [len(d) for d, _ in kept]
+        if sum(many):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(at)), many)), pa.array(np.concatenate([o for _, o in kept])), pa.array(np.concatenate([d for d, _ in kept]))], names=["n", "chunk_id", "distance"])
+
+    found = vectors.select(F.col("chunk_id").cast("long"), "vector").mapInArrow(nearest, "n long, chunk_id long, distance double")
+    named = F.broadcast(queries.sparkSession.createDataFrame(list(enumerate(ids)), "n long, query_id long"))  # BATCH rows at most
+    best = ranks(found, "distance", by=("n",)).where(F.col("rank") <= limit)
+    return best.join(named, "n").select("query_id", "rank", "chunk_id", "distance")
+
+
+def hybrid_batch(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, rank, chunk_id, score, origin) of both searches, fused, for many queries (query_id, text, vector) in one plan."""
+    lexical = bm25_batch(chunks, queries)
+    return fuse(lexical, knn_batch(vectors, queries), limit=limit, by=("query_id",)).select("query_id", "rank", "chunk_id", "score", "origin")

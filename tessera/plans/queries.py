@@ -423,7 +423,7 @@ def flagship(t):
     "se1_batch_of_queries",
     f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '{LINES}')) AS term FROM benchmark), d AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '{LINES}'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), p AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY chunk_id, term), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-x AS (SELECT query_id, chunk_id, sum(-greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)))) AS bm25 FROM q JOIN p USING (term) JOIN f USING (term), s WHERE term <> '' GROUP BY query_id, chunk_id)
+x AS (SELECT query_id, chunk_id, round(sum(-greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)))), 9) AS bm25 FROM q JOIN p USING (term) JOIN f USING (term), s WHERE term <> '' GROUP BY query_id, chunk_id)
 SELECT query_id, rank, round(bm25, 4) AS bm25 FROM (SELECT query_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS rank FROM x) WHERE rank <= 5""",
 )
 def _(t):
@@ -432,6 +432,37 @@ def _(t):
     return se.bm25_batch(d, q, 5).select("query_id", "rank", F.round("bm25", 4).alias("bm25"))
 
 
+QUERY_VECTORS = "v AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id)"
+NEAR_BATCH = "nb AS (SELECT query_id, vec_id AS chunk_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))) AS distance FROM embeddings, v), nr AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS sr FROM nb)"
+
+
+def _requests(t: Tables) -> DataFrame:
+    """Benchmark items as queries: their texts, and the vector of the same id."""
+    v = t.raw("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return t.raw("benchmark").join(v, "item_id").select(F.col("item_id").alias("query_id"), "text", "vector")
+
+
+@query("se2_batch_of_vectors", f"WITH {QUERY_VECTORS}, {NEAR_BATCH} SELECT query_id, sr AS rank, chunk_id, round(distance, 6) AS distance FROM nr WHERE sr <= 20")
+def _(t):
+    return se.knn_batch(t.vectors(), _requests(t)).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "se3_batch_of_hybrid_searches",
+    f"""WITH {QUERY_VECTORS}, {NEAR_BATCH}, qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '{LINES}')) AS term FROM benchmark WHERE item_id IN (SELECT query_id FROM v)), d AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '{LINES}'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), p AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY chunk_id, term), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+x AS (SELECT query_id, chunk_id, round(sum(-greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)))), 9) AS bm25 FROM qt JOIN p USING (term) JOIN f USING (term), s WHERE term <> '' GROUP BY query_id, chunk_id),
+l AS (SELECT query_id, bm25, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS lr FROM x),
+pool AS (SELECT query_id, chunk_id, bm25, lr, sr, coalesce(1e0 / (20 + lr), 0e0) + coalesce(1e0 / (20 + sr), 0e0) AS rrf FROM (SELECT * FROM l WHERE lr <= 20) FULL JOIN (SELECT * FROM nr WHERE sr <= 20) USING (query_id, chunk_id)),
+fused AS (SELECT query_id, 0.7e0 * CASE WHEN max(rrf) OVER q > min(rrf) OVER q THEN (rrf - min(rrf) OVER q) / (max(rrf) OVER q - min(rrf) OVER q) ELSE 0.5e0 END
+  + 0.3e0 * CASE WHEN max(bm25) OVER q > min(bm25) OVER q THEN coalesce((max(bm25) OVER q - bm25) / (max(bm25) OVER q - min(bm25) OVER q), 0.5e0) ELSE 0.5e0 END AS score FROM pool WINDOW q AS (PARTITION BY query_id))
+SELECT query_id, rank, round(score, 3) AS score FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM fused) WHERE rank <= 10""",
+)
+def _(t):
+    d = t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    return se.hybrid_batch(d, t.vectors(), _requests(t)).select("query_id", "rank", F.round("score", 3).alias("score"))
+
+
 # graph
 
 

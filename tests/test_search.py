@@ -82,3 +82,15 @@ def test_arguments_are_checked(spark, data):
     for query, k in ((" ", 5), ("the", 0), ("the", 101)):
         with pytest.raises(ValueError):
             se.hybrid_search(t.chunks(), t.vectors(), t.documents(), query, [0.0] * 64, k, F.current_timestamp())
+
+
+def test_batches_are_what_single_queries_give(spark, data):
+    t = Tables(spark, data)
+    v = t.raw("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    batch = {}
+    for r in se.knn_batch(t.vectors(), v, 7).collect():
+        batch.setdefault(r.query_id, []).append((r.rank, r.chunk_id, round(r.distance, 9)))
+    for row in v.collect():
+        single = se.ranks(se.knn(t.vectors(), list(row.vector), 7), "distance").collect()
+        assert sorted(batch[row.query_id]) == [(r.rank, r.chunk_id, round(r.distance, 9)) for r in single]
+    assert se.knn_batch(t.vectors(), v.limit(0)).count() == 0 and se.knn_batch(t.vectors().limit(0), v).count() == 0
