@@ -244,7 +244,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int = POOL) -> Data
     if len(asked) > BATCH:
         raise ValueError(f"more than {BATCH} queries; ask in parts")
     ids = asked["query_id"].to_pylist()
-    q = np.array(asked["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
+    q = np.array(asked["vector"].to_pylist(), np.float64).reshape(len(ids), -1) if ids else np.empty((0, 0))
     shared = vectors.sparkSession.sparkContext.broadcast(q)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
