@@ -282,6 +282,20 @@ def _(t):
     return t.raw("documents").select(F.col("doc_id").alias("id"), tx.content_hash(F.col("text")).alias("content_hash"))
 
 
+@query("sc8_times_in_any_format", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def _(t):
+    shapes = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return t.raw("events").select("event_id", F.date_format(meta.timestamp(shapes), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("sc9_sc18_domains_and_origins", "SELECT doc_id, lang AS domains, 'hybrid+' || source AS origin FROM documents")
+def _(t):
+    one = F.concat(F.lit('{"domain": "'), F.col("lang"), F.lit('"}'))
+    many = F.concat(F.lit('{"domain": ["", "'), F.col("lang"), F.lit('"]}'))
+    d = t.raw("documents")
+    return d.select("doc_id", F.array_join(meta.domains(F.when(F.col("doc_id") % 2 == 0, one).otherwise(many)), ",").alias("domains"), tx.merged_source(F.lit("hybrid"), F.col("source")).alias("origin"))
+
+
 @query("sc10_json_numbers", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(t):
     return t.raw("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
