@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage keeps, cleans or packs what the one before has kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. Each learns from, and decides on, all the rows that it is given.
+``documents``. Each learns from, and decides on, all the rows that it is given. Null and empty texts go
+with the first stage; repeated rows and copies are one after the third; rows with null ids are rows
+like others; extra columns are kept; an empty table stays empty.
 """
 
 from __future__ import annotations

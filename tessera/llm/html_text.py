@@ -48,12 +48,12 @@ ENDS_P = frozenset("address article aside blockquote center details div dl field
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold the article by their meaning.
 MEANT = frozenset(("article", "main"))
-#: Words in class, id or role that mark what is not the article.
+#: Words in class, id or role that mark what is not the article; the latter ones only without a word of the article's.
 BOILER = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|breadcrumbs?|crumbs?|nav\w*|menu|menubar|topbar|toolbar|sidebar|side|aside|widget|related|recommend\w*|footer|foot|header|masthead|pagination|pager|comments?|commentlist|respond|disqus|discussion|replies|copyright|legal|disclaimer|search|searchbox|skip|hidden|contentinfo|complementary|navigation|tags|taglist|byline-ad)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?:ads?|ad(?:box|slot|unit|space|wrap\w*|container)|advert\w*|adsense|banners?|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alerts?|dialog|popups?|modal|overlay|newsletter\w*|subscri\w*|signup|login|shar(?:e|ing)\w*|social\w*|breadcrumbs?|crumbs?|nav\w*|menu\w*|topbar|toolbar|sidebar\w*|aside|related\w*|recommend\w*|footer\w*|foot|pagination|pager|comment\w*|respond|disqus|discussion|replies|reply|copyright|disclaimer|search\w*|skip|contentinfo|complementary)(?:$|[-_\s])",
     re.IGNORECASE,
 )
-#: Words that mark the article, which outweigh the former on the same element.
+DOUBTFUL = re.compile(r"(?:^|[-_\s])(?:header|masthead|side|widgets?|legal|hidden|tags|taglist|form)(?:$|[-_\s])", re.IGNORECASE)
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article|articlebody|content|entry|main|maincontent|post|story|text|body)(?:$|[-_\s])", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -105,7 +105,9 @@ def refused(tag: str, given: dict[str, str]) -> bool:
     if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
         return True
     named = " ".join(given.get(k, "") for k in ("class", "id", "role"))
-    return bool(named.strip()) and tag not in MEANT and tag != "body" and bool(BOILER.search(named)) and not CONTENT.search(named)
+    if not named.strip() or tag in MEANT or tag in ("body", "html"):
+        return False
+    return bool(BOILER.search(named)) or bool(DOUBTFUL.search(named)) and not CONTENT.search(named)
 
 
 def blocks_of(source: str) -> list[Block]:

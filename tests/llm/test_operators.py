@@ -340,6 +340,7 @@ def test_main_text_is_the_article(spark, data):
         ("<main><h1>T</h1><p>one <b>bold</b>er</p><aside>no</aside><script>if (a < b) '</p>'</script></main><div>a notice</div>", "T one bolder"),
         ("<p hidden>no</p><p>yes, this one. It is long enough.</p><!-- no -->", "yes, this one. It is long enough."),
         ("<article><p>open <p>next</article", "open next"),
+        ("<article><div class='post-comments'>no</div><div class='entry-header'><h2>T</h2></div><p>yes</p><div id='adslot'>no</div><div role='alert'>no</div></article>", "T yes"),
     ],
 )
 def test_main_text_of_pages(page, text):
