@@ -11,8 +11,7 @@ candidate itself, so that colliding digests change nothing.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import quoted, table
-from tessera.session import checkpoint
+from tessera.session import checkpoint, shared_dir
 
 #: Largest rule file that is shipped to the executors; more rules are joined instead.
-SHIPPED_BYTES = 512 << 20
+SHIPPED_BYTES = 64 << 20
 ALLOW, BLOCK = "allow", "block"
 #: The rules of op8_url_filters (fixed values).
 RULES = [
@@ -139,13 +138,22 @@ def judge(rules: DigestArray, urls: list[str | None], default: str = ALLOW) -> l
 
 
 def shipped(spark: SparkSession, content: bytes) -> str:
-    """The name under which executors find ``content``, a file that Spark copies to each of them once."""
+    """The name under which executors find ``content``, written to the shared folder and copied to each of them once by Spark."""
     name = f"digests-{hashlib.sha256(content).hexdigest()[:32]}.bin"
-    path = os.path.join(tempfile.gettempdir(), name)
-    with open(f"{path}.{os.getpid()}", "wb") as out:
-        out.write(content)
-    os.replace(f"{path}.{os.getpid()}", path)
-    spark.sparkContext.addFile(path)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    where = path(f"{shared_dir(spark)}/tessera/{name}")
+    files = where.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        # named by its content, and only once it is whole
+        fresh = path(f"{where.toString()}.{uuid.uuid4().hex}")
+        out = files.create(fresh, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        files.rename(fresh, where)
+    context.addFile(where.toString())
     return name
 
 
