@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.metadata import combined_fields
@@ -25,12 +25,24 @@ def fixed_chunks(df: DataFrame, text: str = "text", size: int = MAX_CHARS, overl
     is not positive; the last is the first to reach the text's end. Null and empty texts have none.
     """
     step = size - overlap if size > overlap else size
-    n = F.length(text)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), last))
-    rows = df.withColumn("sequence_num", F.explode(starts))
     start = F.col("sequence_num") * step
-    return rows.withColumns({"chunk_text": F.substr(text, start + 1, F.lit(size)), "start_offset": start, "end_offset": F.least(start + size, F.length(text))}).drop(text)
+    rows = df.withColumn("__n", F.length(text)).select(*df.columns, "__n", F.posexplode(windows(F.col(text), F.col("__n"), size, step)).alias("sequence_num", "chunk_text"))
+    return rows.withColumns({"start_offset": start, "end_offset": F.least(start + size, F.col("__n"))}).drop(text, "__n")
+
+
+def windows(text: Column, n: Column, size: int, step: int) -> Column:
+    """The windows of a text of n characters, as an array.
+
+    The text is cut once, into pieces of a step, and a window is a piece with the beginning of
+    what follows: to take each window out of the whole text would read it anew for each.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    count = F.when(n > 0, 1 + F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))))).otherwise(0).cast("int")
+    joined = pieces
+    for ahead in range(-(-max(size - step, 0) // step)):
+        after = F.slice(pieces, F.lit(ahead + 2), F.greatest(F.size(pieces), F.lit(1)))
+        joined = F.zip_with(joined, after, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.slice(F.transform(joined, lambda w: F.left(w, F.lit(size))), F.lit(1), count)
 
 
 def sections(text: str, file_name: str = "") -> Iterator[tuple[int, str, int, int]]:
@@ -79,12 +91,11 @@ def heading_chunks(df: DataFrame, text: str = "text", file_name: str | None = No
 def hybrid_chunks(df: DataFrame, text: str = "text", file_name: str | None = None, size: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Sections, and windows of those that are longer than ``size``; sequence_num counts a document's chunks' order by section."""
     rows = heading_chunks(df, text, file_name).withColumnsRenamed({"sequence_num": "section", "start_offset": "section_start", "chunk_text": "__text"}).drop("end_offset")
-    step = max(size - overlap, 1) if size > overlap else size
-    n = F.length("__text")
-    windows = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int"))
-    cut = rows.withColumn("window", F.explode(windows))
+    step = size - overlap if size > overlap else size
+    rows = rows.withColumn("__n", F.length("__text"))
+    cut = rows.select(*(c for c in rows.columns if c != "__text"), F.posexplode(windows(F.col("__text"), F.col("__n"), size, step)).alias("window", "chunk_text"))
     start = F.col("window") * step
-    return cut.withColumns({"chunk_text": F.substr("__text", start + 1, F.lit(size)), "start_offset": start, "end_offset": F.least(start + size, n)}).drop("__text")
+    return cut.withColumns({"start_offset": start, "end_offset": F.least(start + size, F.col("__n"))}).drop("__n")
 
 
 def json_chunks(df: DataFrame, text: str = "text", fields: list[str] | None = None, combine: bool = True, max_objects: int = MAX_OBJECTS) -> DataFrame:

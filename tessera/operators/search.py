@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import merged_source, tokens
 from tessera.functions.vectors import closeness, l2_distance
+from tessera.session import written
 
 #: BM25, fusion and pool defaults.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -73,12 +75,12 @@ def _times(words: Column, phrase: tuple[list[str], bool]) -> Column:
         return F.coalesce(out, F.lit(False))
 
     if last == 0 and not prefix:
-        return F.size(F.filter(words, lambda w: w == terms[0]))
+        return F.size(words) - F.size(F.array_remove(words, terms[0]))
     return F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), here))
 
 
 def bm25(chunks: DataFrame, query: str, limit: int = POOL, domain: str | None = None) -> DataFrame:
-    """The ``limit`` best (chunk_id, document_id, chunk_text, bm25) for a query; bm25 is negative, lower is better.
+    """The ``limit`` best (chunk_id, document_id, bm25) for a query; bm25 is negative, lower is better.
 
     Only chunks that fulfil the query compete; document frequencies and lengths are of all chunks,
     or of the domain's. A limit outside 1 to 100 means 20. Ties go to the smaller chunk_id.
@@ -90,18 +92,21 @@ def bm25(chunks: DataFrame, query: str, limit: int = POOL, domain: str | None =
         raise ValueError("a query needs a term that is not negated")
     rows = chunks if domain is None else chunks.where(F.lower(F.trim("domain")) == domain.strip().lower())
     phrases = [p for c in wanted for p in c.phrases]
-    # lengths and frequencies of every chunk; sums of them in one pass, scores of those that match in another
+    # words are counted once: what every chunk adds to the sums is observed while those that match are written
     words = tokens(F.col("chunk_text"))
-    seen = rows.select("chunk_id", "document_id", "chunk_text", words.alias("w"))
-    measured = seen.select("chunk_id", "document_id", "chunk_text", F.size("w").alias("dl"), F.array(*(_times(F.col("w"), p) for p in phrases)).alias("tf"), _fulfils(F.col("w"), clauses).alias("match"))
-    totals = measured.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases))))
-    scored = measured.where("match").crossJoin(F.broadcast(totals))  # totals are one row
+    seen = rows.select("chunk_id", "document_id", words.alias("w"))
+    measured = seen.select("chunk_id", "document_id", F.size("w").alias("dl"), F.array(*(_times(F.col("w"), p) for p in phrases)).alias("tf"), _fulfils(F.col("w"), clauses).alias("match"))
+    sums = Observation()
+    observed = measured.observe(sums, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases))))
+    matching = written(observed.where("match").drop("match"))
+    found = sums.get
+    n, average = found["n"], found["avgdl"] or 1.0
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        df, tf = F.col(f"df{i}"), F.col("tf")[i].cast("double")
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score - idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return scored.select("chunk_id", "document_id", "chunk_text", score.alias("bm25")).orderBy("bm25", "chunk_id").limit(limit)
+        df, tf = found[f"df{i}"] or 0, F.col("tf")[i].cast("double")
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+        score = score - idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / average)))
+    return matching.select("chunk_id", "document_id", score.alias("bm25")).orderBy("bm25", "chunk_id").limit(limit)
 
 
 def _fulfils(words: Column, clauses: list[Clause]) -> Column:
@@ -195,7 +200,10 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, q
     pool = max(POOL, top_k)
     lexical = ranks(bm25(chunks, query, pool, domain), "bm25")
     semantic = ranks(knn(vectors, vector, pool, domain), "distance")
-    return rerank(enrich(fuse(lexical, semantic), chunks, documents), as_of, boosts).where(F.col("rank") <= top_k)
+    fused = fuse(lexical, semantic)
+    # 200 rows at most, which several joins need
+    hits = chunks.sparkSession.createDataFrame(fused.collect(), fused.schema)
+    return rerank(enrich(hits, chunks, documents), as_of, boosts).where(F.col("rank") <= top_k)
 
 
 def lexical_search(chunks: DataFrame, query: str, top_k: int, domain: str | None = None) -> DataFrame:
@@ -222,14 +230,17 @@ def bm25_batch(chunks: DataFrame, queries: DataFrame, limit: int = POOL) -> Data
     so that copies tie in whatever order their parts are added.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    lengths = chunks.select("chunk_id", F.size(tokens(F.col("chunk_text"))).alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = postings(chunks).join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(totals))  # totals are one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = -idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = weighted.select("term", "chunk_id", part.alias("part")).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("bm25"))
+    # words are cut once: the sums are observed while the postings of asked terms are written
+    sums = Observation()
+    seen = chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("w")).withColumn("dl", F.size("w"))
+    observed = seen.observe(sums, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    asked = observed.select("chunk_id", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    held = written(asked.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    n, average = sums.get["n"], sums.get["avgdl"] or 1.0
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = -idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average)))
+    scored = held.join(df, "term").select("term", "chunk_id", part.alias("part")).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("bm25"))
     best = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
