@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tessera.llm.tables import others, quoted, table
 
 #: Bytes of records that a bucket is to hold on average, and a task's share of the exchange.
-BUCKET_BYTES, TASK_BYTES = 16 << 20, 128 << 20
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 SHARDS, SEED = 8, 42
 
 
