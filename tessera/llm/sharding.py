@@ -49,8 +49,8 @@ def scatter_shuffle(df: DataFrame, identity: list[Column], n_shards: int = SHARD
     # a task gets several buckets where there are many, so that the number of tasks stays within what a driver can plan
     tasks = max(math.ceil(total / TASK_BYTES), min(n_buckets, 2 * df.sparkSession.sparkContext.defaultParallelism))
     scattered = df.select(bucket.alias("bucket"), record.alias("row")).repartition(tasks, "bucket")
-    # the order of a bucket, and of the buckets of a task, is fixed before the seeded shuffle draws its numbers
-    loaded = scattered.join(starts, "bucket").groupBy("bucket", "start").agg(F.sort_array(F.collect_list("row")).alias("rows")).sortWithinPartitions("bucket")
+    # both sides are dealt alike, so that the join moves no record again; the order of a bucket, and of the buckets of a task, is fixed before the seeded shuffle draws its numbers
+    loaded = scattered.join(starts.repartition(tasks, "bucket"), "bucket").groupBy("bucket", "start").agg(F.sort_array(F.collect_list("row")).alias("rows")).sortWithinPartitions("bucket")
     dealt = loaded.select("start", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "row"))
     place = F.col("start") + F.col("pos")
     return dealt.select("row.record.*", (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))

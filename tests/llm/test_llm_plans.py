@@ -12,7 +12,7 @@ def plan(df):
 def test_sharding_is_native_with_one_exchange_of_records(spark, data):
     p = plan(QUERIES["op1_sharding"](spark, data))
     assert not re.search("Python|Arrow|Pandas|MapPartitions", p)
-    assert p.count("REPARTITION_BY_NUM") == 1
+    assert p.count("REPARTITION_BY_NUM") == 2  # the records, and the buckets' counts
 
 
 def test_only_needed_columns_are_read(spark, data):
