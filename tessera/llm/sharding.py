@@ -24,12 +24,12 @@ BUCKET_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 SHARDS, SEED = 8, 42
 
 
-def scatter_shuffle(df: DataFrame, identity: list[Column], n_shards: int = SHARDS, seed: int = SEED, weight: Column | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def scatter_shuffle(df: DataFrame, identity: list[Column], n_shards: int = SHARDS, seed: int = SEED, weight: Column | None = None, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``df`` with columns shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     identity: expressions that tell one record from another, as a file's name and the row's place
     there; records that share it land in one bucket. weight: a record's bytes (default: of its
-    string and binary columns). The result depends on identities, seed, bucket_bytes and the number of tasks.
+    string and binary columns). task_bytes: a task's share; executors with more memory take more, for fewer tasks. The result depends on identities, seed, bucket_bytes and the number of tasks.
 
     Null, empty and long values are records like any other; equal records are kept as often as they
     come; an empty table gives an empty result; input columns named shard or slot are replaced.
@@ -47,7 +47,7 @@ def scatter_shuffle(df: DataFrame, identity: list[Column], n_shards: int = SHARD
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     # a task gets several buckets where there are many, so that the number of tasks stays within what a driver can plan
-    tasks = max(math.ceil(total / TASK_BYTES), min(n_buckets, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    tasks = max(math.ceil(total / task_bytes), min(n_buckets, 2 * df.sparkSession.sparkContext.defaultParallelism))
     scattered = df.select(bucket.alias("bucket"), record.alias("row")).repartition(tasks, "bucket")
     # both sides are dealt alike, so that the join moves no record again; the order of a bucket, and of the buckets of a task, is fixed before the seeded shuffle draws its numbers
     loaded = scattered.join(starts.repartition(tasks, "bucket"), "bucket").groupBy("bucket", "start").agg(F.sort_array(F.collect_list("row")).alias("rows")).sortWithinPartitions("bucket")
