@@ -34,7 +34,7 @@ def pair_key(a: Column, b: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def quote_window(text: Column, name: Column, radius: int = 60, fallback: int = 120) -> Column:
