@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language, packing, simhash, toxicity
+from tessera.llm import decontamination, language, packing, shingles, toxicity
 from tessera.llm.tables import fold, quoted, table
 
 
@@ -35,8 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the smallest id."""
-    return simhash.keep_representatives(docs)
+    """Keeps one document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8), that with the smallest id."""
+    return shingles.keep_representatives(docs)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
