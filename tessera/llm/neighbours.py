@@ -204,7 +204,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = NEIGHBOURS, vec_id: str =
     keyed = rows.where(F.size("v") == width).select("id", "v", "q", *hashes)
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))
     asked = keyed.where("q").select("a", "b").distinct().withColumn("asked", F.lit(True))
-    few = keyed.select("a", "b", "id", "v").withColumn("place", place).where(F.col("place") <= k + 1)
+    # repeated rows would take the places of other ids
+    few = keyed.groupBy("a", "b", "id").agg(F.first("v").alias("v")).withColumn("place", place).where(F.col("place") <= k + 1)
     vectors = few.groupBy("a", "b").agg(F.first("v").alias("v"), F.array_distinct(F.sort_array(F.collect_list("id"))).alias("ids"))
     different = checkpoint(vectors.join(asked, ["a", "b"], "left"))
     n, n_asked = different.agg(F.count("*"), F.count("asked")).first()
