@@ -61,8 +61,8 @@ SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…、。]")
 #: Blocks on either side that smooth a value, and their weights.
 SMOOTHING = np.array([0.25, 0.5, 1.0, 0.5, 0.25])
-#: Share of the page's weighted mean that a path must reach, and what its meaning adds to its own share.
-THRESHOLD, INSIDE, OUTSIDE = 0.15, 1.0, -3.0
+#: Share of the page's weighted mean that a path must reach, and what its meaning adds to its own share: outside, by the share of text that is meant; or as a link list.
+THRESHOLD, INSIDE, OUTSIDE, LINKED = 0.15, 0.05, -2.0, -3.0
 #: Share of link text beyond which a path counts as outside.
 MOST_LINKS = 0.6
 
@@ -229,9 +229,11 @@ def content_blocks(blocks: list[Block]) -> list[str]:
     heading = np.array([any(blocks[i].heading for i, k in zip(kept, of) if k == p) for p in range(len(paths))])
     fused = np.sqrt(np.maximum(ratio, 0) * mean) * np.where(heading, 2.0, 1.0)
     value = fused / max(float(np.average(fused, weights=np.maximum(plain, 1))), 1e-9)
-    # what the page itself marks as its article is content, and what is outside must far exceed it
+    # a bonus for what the page itself marks as its article, a malus for the rest if that holds much of the text; link lists go wherever they are
     meant = np.array([any(blocks[i].meant for i, k in zip(kept, of) if k == p) for p in range(len(paths))])
-    prior = np.where(meant, INSIDE, OUTSIDE) if meant.any() else np.where(links <= MOST_LINKS * total, 0.0, OUTSIDE)
+    share = plain[meant].sum() / max(plain.sum(), 1)
+    # headings are short by nature: their length does not tell against them where the article is
+    prior = np.where(meant, np.where(heading, THRESHOLD, INSIDE), OUTSIDE * share) + np.where(links <= MOST_LINKS * total, 0.0, LINKED)
     return [texts[i] for i, p in zip(kept, of) if value[p] + prior[p] >= THRESHOLD]
 
 
