@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language, packing, shingles, toxicity
 from tessera.llm.tables import fold, quoted, table
+from tessera.session import written
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -65,8 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, over documents."""
+    """All stages, over documents; each but the last is written and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
