@@ -6,65 +6,161 @@ there only if its sizes are near and enough shingles follow. Sets meet by the sh
 prefixes; those that meet COMMON times are candidates, confirmed by their whole sets. Shingles that are frequent in a sample come last in
 the order, so that few sets meet by them; the sample decides on cost only, never on the result.
 
-Equal sets are compared once. Neighbours in a meeting are confirmed first; then only pairs that
-these have not yet brought into one component, so that a large cluster costs no square of its size.
+Equal sets are compared once. Pairs that another method proposes, and neighbours in a meeting, are
+confirmed first; then only pairs that these have not yet brought into one component, so that a large
+cluster costs no square of its size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from tessera.llm.components import connected_components
 from tessera.llm.tables import quoted
-from tessera.llm.words import lowered, spaced_words
+from tessera.llm.words import PIECE_BYTES, SPACE, lowered
 from tessera.session import checkpoint, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Documents in the sample, in how many of them a shingle is frequent, and how many such are known at most.
 SAMPLE, OFTEN, MOST_FREQUENT = 5000, 3, 200_000
-#: Words and sets that a task remembers; pairs that are made at once; bits that tell which sets have candidates.
-WORDS_KEPT, PAIRS_AT_ONCE, MARKS = 1 << 18, 1 << 20, 1 << 25
+#: Sets that a task remembers; pairs that are made at once; bits that tell which sets have candidates.
+SETS_KEPT, PAIRS_AT_ONCE, MARKS = 1 << 18, 1 << 20, 1 << 25
 #: Prefix rows that meet in one task, on average.
 ROWS_IN_TASK = 400_000
 #: Neighbours in a meeting that are confirmed first.
 FIRST = 2
 #: Shingles that the prefixes of a pair must share, or all that the pair must, if these are fewer.
 COMMON = 4
+#: Bytes of text whose words are hashed at once, and of texts whose shingles are.
+HASHED, HELD = PIECE_BYTES >> 2, PIECE_BYTES << 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 ROOM = 1e-9
+#: Runs of up to 255 hashes whose bits are counted at once.
+RUNS = 1024
+
+
+class _Powers:
+    """What word hashes are made of: a number for each byte, powers of an odd base and their inverses modulo 2**64."""
+
+    BASE = 0x5851F42D4C957F2D
+
+    def __init__(self) -> None:
+        n = 2 * HASHED + 2
+        self.byte = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([x])) for x in range(256)), np.uint64)
+        self.space = np.array([bool(SPACE.match(bytes([x]))) for x in range(256)])
+        self.up, self.down = (self._powers(x, n) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+
+_powers: list[_Powers] = []
+
+
+def _piece_hashes(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a piece's words, and where these start."""
+    if not _powers:
+        _powers.append(_Powers())
+    p = _powers[0]
+    data = np.frombuffer(piece, np.uint8)
+    space = p.space[data]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(p.byte[data] * p.up[: len(data)])))
+    h = (sums[ends] - sums[starts]) * p.down[starts]
+    h = (h ^ (h >> np.uint64(32))) * FACTOR
+    return h ^ (h >> np.uint64(29)), starts
+
+
+def _long_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text of any length; a word of more than HASHED bytes has one of its own kind."""
+    out, start = [], 0
+    while start < len(text):
+        found = SPACE.search(text, start + HASHED) if len(text) - start > HASHED else None
+        end = found.start() if found else len(text)
+        tail = max(text.rfind(x, start, end) for x in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + 1
+        tail = max(tail, start)
+        if end - tail > HASHED:
+            out += [_piece_hashes(text[start:tail])[0], np.array([xxhash.xxh64_intdigest(text[tail:end])], np.uint64)]
+        else:
+            out.append(_piece_hashes(text[start:end])[0])
+        start = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of lower-cased texts, and how many each text has."""
+    hashes: list[np.ndarray] = []
+    counts = np.zeros(len(texts), np.int64)
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size := size + len(texts[end]) + 1) <= HASHED:
+            end += 1
+        if end == at:
+            hashes.append(_long_hashes(texts[at]))
+            counts[at] = len(hashes[-1])
+            at += 1
+            continue
+        found, starts = _piece_hashes(b" ".join(texts[at:end]))
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts[at : end - 1])])
+        counts[at:end] = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
+        hashes.append(found)
+        at = end
+    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), counts
+
+
+def shingle_sets(texts: list[bytes], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different hashes of each lower-cased text's shingles, one text after another, and where each begins (and the last ends).
+
+    A shorter text is its own shingle; one without words has none.
+    """
+    words, counts = word_hashes(texts)
+    starts = np.cumsum(counts) - counts
+    many = np.maximum(counts - size + 1, (counts > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(texts)), many)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + starts[owner]
+    width = np.minimum(counts, size)[owner]
+    out = width.astype(np.uint64)
+    for k in range(size):
+        here = slice(None) if counts.min(initial=size) >= size else np.flatnonzero(width > k)
+        mixed = (out[here] ^ words[at[here] + k]) * FACTOR
+        out[here] = mixed ^ (mixed >> np.uint64(29))
+    for a, b in pairwise(np.append(np.cumsum(many) - many, len(out)).tolist()):
+        out[a:b].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[fresh], np.searchsorted(owner[fresh], np.arange(len(texts) + 1))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The sorted different hashes of one text's shingles."""
+    return shingle_sets([lowered(text)], size)[0]
 
 
-_hashes = _Hashes()
-
-
-def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """The sorted different hashes of a text's shingles; a shorter text is its own shingle; none without words."""
-    parts = [np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) for words in spaced_words(lowered(text))]
-    if not parts:
-        return np.empty(0, np.uint64)
-    words = np.concatenate(parts)
-    size = min(size, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = (out ^ words[k : len(words) - size + 1 + k]) * FACTOR
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+def in_parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Lower-cased texts in lists of about HELD bytes, and where in the column each list begins."""
+    part: list[bytes] = []
+    first = held = 0
+    for row, text in enumerate(column):
+        part.append(lowered(text.as_py()))
+        held += len(part[-1])
+        if held >= HELD:
+            yield first, part
+            part, held, first = [], 0, row + 1
+    if part:
+        yield first, part
 
 
 def set_key(found: np.ndarray) -> int:
@@ -72,12 +168,34 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def set_print(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The 64-bit fingerprint of each set: a bit is set if it is in over half of the set's hashes; zero of an empty one."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    ones = np.zeros((len(bounds) - 1, 64), np.int64)
+    # bytes that count a bit each are added eight at once, in runs too short for a carry
+    runs = np.unique(np.concatenate((bounds[:-1], np.arange(0, len(found), 255))))
+    runs = runs[runs < len(found)]
+    owner = np.searchsorted(bounds, runs, "right") - 1
+    for at in range(0, len(runs), RUNS):
+        own, begins = owner[at : at + RUNS], runs[at : at + RUNS]
+        part = found[begins[0] : runs[at + RUNS] if at + RUNS < len(runs) else len(found)]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+        np.add.at(ones, own, np.add.reduceat(bits, begins - begins[0], axis=0).view(np.uint8))
+    out[some] = np.packbits(2 * ones[some] > np.diff(bounds)[some, None], axis=1).view(np.uint64).ravel()
+    return out
+
+
 def key_column(text: str = "text", size: int = SHINGLE_WORDS):
     """The key of a text's set."""
 
-    @F.arrow_udf(LongType())
+    @F.arrow_udf("long")
     def keys(texts: pa.Array) -> pa.Array:
-        return pa.array([set_key(shingles(x.as_py(), size)) for x in texts], pa.int64())
+        out = []
+        for _, part in in_parts(texts):
+            found, bounds = shingle_sets(part, size)
+            out += [set_key(found[a:b]) for a, b in zip(bounds, bounds[1:])]
+        return pa.array(out, pa.int64())
 
     return keys(quoted(text))
 
@@ -92,8 +210,8 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), size).view(np.int64))], names=["shingle"])
+            for _, part in in_parts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part, size)[0].view(np.int64))], names=["shingle"])
 
     share = max(1, texts.count() // SAMPLE)
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct()
@@ -107,24 +225,42 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(shared, size: int, similarity: float) -> Callable:
-    """(doc_id, key, n, prefix) of each document: its set's key and size, and its first shingles in order."""
+    """(doc_id, key, fp, n, prefix) of each document: its set's key, fingerprint and size, and its first shingles in order."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, turn = shared.value
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                keys, sizes, heads = [], [], []
-                for text in batch.column(1):
-                    found = shingles(text.as_py(), size)
-                    keys.append(set_key(found))
-                    sizes.append(len(found))
-                    if len(frequent):
-                        place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                        late = np.where(frequent[place] == found, turn[place] + 1, 0)
-                        found = found[np.argsort(late, kind="stable")]
-                    heads.append(found[: prefix_length(len(found), similarity)].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary())], names=["doc_id", "key", "n", "prefix"])
+        for batch in batches:
+            for first, part in in_parts(batch.column(1)):
+                found, bounds = shingle_sets(part, size)
+                keys = [set_key(found[a:b]) for a, b in zip(bounds, bounds[1:])]
+                sizes, prints = np.diff(bounds), set_print(found, bounds)
+                if len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+                    late = np.where(frequent[place] == found, turn[place] + 1, 0)
+                    for a, b in pairwise(bounds.tolist()):
+                        if late[a:b].any():
+                            found[a:b] = found[a:b][np.argsort(late[a:b], kind="stable")]
+                heads = [found[a : a + prefix_length(n, similarity)].tobytes() for a, n in zip(bounds.tolist(), sizes.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(keys, pa.int64()), pa.array(prints.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(heads, pa.binary())], names=["doc_id", "key", "fp", "n", "prefix"])
+
+    return read
+
+
+def _sets(size: int) -> Callable:
+    """(key, fp, shingles) of each document's set, of most repeated ones once in a task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, part in in_parts(batch.column(0)):
+                found, bounds = shingle_sets(part, size)
+                own = {set_key(found[a:b]): (a, b) for a, b in zip(bounds.tolist(), bounds[1:].tolist())}
+                fresh = [k for k in own if k not in seen]
+                seen.update(fresh)
+                if len(seen) > SETS_KEPT:
+                    seen.clear()
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array([found[slice(*own[k])].tobytes() for k in fresh], pa.binary())], names=["key", "shingles"])
 
     return read
 
@@ -138,7 +274,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key in batch.column(0).to_pylist():
                 fresh.append(key not in seen)
                 seen.add(key)
-            if len(seen) > WORDS_KEPT:
+            if len(seen) > SETS_KEPT:
                 seen.clear()
             key, n, prefix = batch.filter(pa.array(fresh)).columns
             if not len(key):
@@ -214,16 +350,14 @@ def _meet(similarity: float, most: int | None) -> Callable:
     return meet
 
 
-def _confirm(size: int, similarity: float) -> Callable:
-    """Pairs (u, v) of rows (a, b, a_text, b_text) whose sets reach the similarity."""
+def _confirm(similarity: float) -> Callable:
+    """Pairs (u, v) of rows (a, b, a_set, b_set) whose sets reach the similarity."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, last, x = [], None, None
-            for a, one, other in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if x is None or a != last:
-                    last, x = a, shingles(one.as_py(), size)
-                y = shingles(other.as_py(), size)
+            near = []
+            for one, other in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (one, other))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(common * (1 + similarity) + ROOM >= similarity * (len(x) + len(y)))
             keep = pa.array(near, pa.bool_())
@@ -249,34 +383,40 @@ def _marked(keys: DataFrame) -> Callable:
     return marked
 
 
-def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(df: DataFrame, propose: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with one row of each component of texts that are similar, also by way of others: that with the smallest id, null ids last.
 
+    propose: from the sets (key, fp), pairs (a, b) of keys to be confirmed first; the result does not depend on them.
     Texts without words are one set like any other. Copies are reduced where they are read, before anything is exchanged.
     """
     spark = df.sparkSession
     texts = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     shared = spark.sparkContext.broadcast(_frequent(texts, size))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    read = written(texts.mapInArrow(_read(shared, size, similarity), f"doc_id {kind}, key long, n int, prefix binary"))
-    sets = checkpoint(read.groupBy("key").agg(F.min("doc_id").alias("least")))
+    read = written(texts.mapInArrow(_read(shared, size, similarity), f"doc_id {kind}, key long, fp long, n int, prefix binary"))
+    sets = checkpoint(read.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
     tasks = max(8, (read.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8 // ROWS_IN_TASK)
     heads = read.select("key", "n", "prefix").mapInArrow(_prefixes, "shingle long, key long, n int, place int")
     met = written(heads.repartition(tasks, "shingle").mapInArrow(_partners(similarity), heads.schema))
-    own = written(texts.select(key_column("text", size).alias("key"), "text").where(_marked(met.select("key"))("key")))
+    proposed = checkpoint(propose(sets.select("key", "fp")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    wanted = met.select("key").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("key")))
+    own = written(texts.select("text").mapInArrow(_sets(size), "key long, shingles binary").where(_marked(wanted)("key")))
 
-    def links(roots: DataFrame, most: int | None) -> DataFrame:
+    def links(roots: DataFrame, most: int | None, more: DataFrame | None) -> DataFrame:
         placed = met.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("shingle", "key", "n", "place", F.coalesce("root", "key").alias("root"))
         meetings = placed.repartition(tasks, "shingle").mapInArrow(_meet(similarity, most), "a long, b long, needed int")
-        pairs = checkpoint(meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("a", "b"))
-        wanted = own.where(_marked(pairs.select(F.explode(F.array("a", "b")).alias("key")))("key")).groupBy("key").agg(F.first("text").alias("text"))
-        a, b = (wanted.select(F.col("key").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
-        return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(_confirm(size, similarity), "u long, v long"))
-
-    near = links(spark.createDataFrame([], "node long, root long"), FIRST)
-    far = links(connected_components(near), None)
+        found = meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("a", "b")
+        pairs = checkpoint(found.unionByName(more).distinct() if more is not None else found)
+        held = own.where(_marked(pairs.select(F.explode(F.array("a", "b")).alias("key")))("key")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+        a, b = (held.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+        return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(similarity), "u long, v long"))
+
+    near = links(spark.createDataFrame([], "node long, root long"), FIRST, proposed)
+    far = links(connected_components(near), None, None)
     stars = connected_components(near.unionByName(far))
     first = F.struct(F.col("least").isNull(), F.col("least"), F.col("key"))
-    kept = sets.join(stars, sets["key"] == stars["node"], "left").groupBy(F.coalesce("root", "key")).agg(F.min(first).alias("best")).select(F.col("best.key").alias("__key"))
-    one = df.withColumn("__key", key_column(text, size)).withColumn("__place", F.expr(f"row_number() OVER (PARTITION BY __key ORDER BY `{doc_id}` ASC NULLS LAST)")).where("__place = 1")
-    return one.join(kept, "__key", "left_semi").drop("__key", "__place")
+    kept = sets.join(stars, sets["key"] == stars["node"], "left").groupBy(F.coalesce("root", "key")).agg(F.min(first).alias("best")).select(F.col("best.key").alias("key"))
+    # the rows' own columns stay inside a struct, so that none can clash with these
+    keyed = df.select(F.struct(*(quoted(c) for c in df.columns)).alias("row"), key_column(text, size).alias("key"), quoted(doc_id).alias("id"))
+    one = keyed.withColumn("place", F.expr("row_number() OVER (PARTITION BY key ORDER BY id ASC NULLS LAST)")).where("place = 1")
+    return one.join(kept, "key", "left_semi").select("row.*")

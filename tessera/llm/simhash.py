@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from tessera.llm import shingles
 from tessera.llm.components import connected_components
 from tessera.llm.tables import quoted, table
 from tessera.llm.words import lowered, spaced_words
@@ -211,16 +212,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return prints.join(labels, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each component: that with the smallest id, null ids last.
+def proposed_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the keys of ``sets`` (key, fp) that fingerprints propose: those under one fingerprint, and the spanning forest of the trie join."""
+    least = checkpoint(sets.groupBy("fp").agg(F.min("key").alias("a")))
+    same = sets.join(least, "fp").where("key <> a").select("a", F.col("key").alias("b"))
+    links = link_fingerprints(least.select("fp"))
+    near = links.join(least.select(F.col("fp").alias("u"), "a"), "u").join(least.select(F.col("fp").alias("v"), F.col("a").alias("b")), "v")
+    return same.unionByName(near.select("a", "b"))
 
-    Copies under one fingerprint are reduced where they are read, before anything is exchanged.
+
+def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = shingles.SHINGLE_WORDS, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """``df`` with one row of each group of near duplicates: that with the smallest id, null ids last.
+
+    Texts are near duplicates if the Jaccard similarity of their shingles of ``size`` words reaches
+    ``similarity``, also by way of others. The trie join of their fingerprints proposes pairs, which
+    are confirmed by whole sets. At 0.8 similar texts differ in ten bits on average, which no trie
+    join of many documents can afford, so an exact prefix filter finds the other links.
+    Null, empty and white texts are one group; repeated rows are one; columns stay as they are.
     """
-    parts = near_duplicates(df, doc_id, text)
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))
-    kept = parts.groupBy("root").agg(F.min(first).alias("best")).select(F.col("best.fp").alias("__fp"))
-    one = df.withColumn("__fp", fingerprint_column(text)).withColumn("__place", F.expr(f"row_number() OVER (PARTITION BY __fp ORDER BY `{doc_id}` ASC NULLS LAST)")).where("__place = 1")
-    return one.join(kept, "__fp", "left_semi").drop("__fp", "__place")
+    return shingles.one_of_each(df, proposed_pairs, doc_id, text, size, similarity)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
