@@ -5,8 +5,8 @@ longest character n-grams that the model knows decide: those of four letters, el
 so on down to single letters. The language with the largest sum wins; its score is the posterior
 at equal priors.
 
-The model is fitted on a bounded sample (DOCS_PER_LANGUAGE different texts of each language,
-chosen by hash over all training rows) and is itself bounded (WORDS_PER_LANGUAGE words of each
+The model is fitted on a bounded sample (DOCS_PER_LANGUAGE different texts of each language on
+average, chosen by hash over all training rows) and is itself bounded (WORDS_PER_LANGUAGE words of each
 language and the n-grams in them); prediction reads every whole text.
 """
 
@@ -47,8 +47,8 @@ class LanguageModel:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    """The n-grams of a word between its boundary marks."""
-    marked = f"^{word}$"
+    """The n-grams of a word between its boundary marks; single letters without these, which every word has."""
+    marked = f"^{word}$" if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
@@ -91,9 +91,11 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(training: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> LanguageModel:
     """Fit on columns text and lang of ``training``. Rows where either is null teach nothing; copies of a text count once."""
     rows = training.select("lang", "text", F.xxhash64("text").alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= docs_per_language).select("lang", "h")
-    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    # a text's hash decides alone, so that no task sees a language's texts: of the share that its different texts allow
+    share = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.approx_count_distinct("h"))
+    bounds = rows.groupBy("lang").agg(share.alias("share"))
+    place = F.shiftrightunsigned("h", 12) / float(1 << 52)
+    sample = rows.join(bounds, "lang").where(place < F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
     counts = sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     kept = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= words_per_language)
