@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language, packing, shingles, toxicity
+from tessera.llm import decontamination, language, packing, simhash, toxicity
 from tessera.llm.tables import fold, quoted, table
 from tessera.session import written
 
+#: The predicted language's posterior must exceed an equal share by this factor.
+CHANCE = 1.0001
+
 
 def _carried(docs: DataFrame) -> DataFrame:
     """Rows as one column ``row`` beside their text, so that a result's columns cannot clash with theirs."""
@@ -22,11 +25,14 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: those without text, or without a letter in it."""
+    """Rejects documents without a language: those without text, without a letter, or without a word or n-gram that tells one learned language from another, as in a script that the model has never seen."""
     model = language.fit(docs.where(fold("doc_id", 4) != 2))
     found = language.identify(_carried(docs), model)
     # a model that learned no language tells nothing about a document
-    return (found.where(F.col("lang_pred") != language.UNKNOWN) if model.languages else found).select("row.*")
+    if not model.languages:
+        return found.select("row.*")
+    telling = F.lit(True) if len(model.languages) == 1 else F.col("score") > CHANCE / len(model.languages)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & telling).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +43,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8), that with the smallest id."""
-    return shingles.keep_representatives(docs)
+    return simhash.keep_representatives(docs)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of texts; n_chars follows where a text has changed."""
-    cleaned = decontamination.decontaminate(docs.withColumn("__before", F.col("text")), table(spark, sf_dir, "benchmark"))
-    counted = F.when(F.col("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(counted)).drop("__before")
+    carried = _carried(docs)
+    cleaned = decontamination.decontaminate(carried, table(spark, sf_dir, "benchmark"))
+    counted = F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(counted)}
+    return cleaned.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
