@@ -562,17 +562,86 @@ def test_scores_of_odd_rows(spark, odd):
     assert brown_lm.score_texts(odd.limit(0)).count() == 0
 
 
-def test_blocks_do_not_change_counts(spark, data, monkeypatch):
+def test_blocks_and_partitions_change_nothing(spark, data, monkeypatch):
     docs = table(spark, data, "documents")
-    a = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in brown_lm.score_texts(docs).collect()}
+    monkeypatch.setattr(brown_lm, "BUCKET_BYTES", 20_000)
+    a = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in brown_lm.score_texts(docs, seed_words=50).collect()}
     monkeypatch.setattr(brown_lm, "BLOCK_BYTES", 5000)
-    monkeypatch.setattr(brown_lm, "ROWS_AT_ONCE", 40)
+    monkeypatch.setattr(brown_lm, "ENTRIES_AT_ONCE", 40)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
-    b = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in brown_lm.score_texts(docs.repartition(3)).collect()}
+    b = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in brown_lm.score_texts(docs.repartition(3), seed_words=50).collect()}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert a == b
 
 
+def brute_model(texts, training, seed_words, classes, rounds):
+    """Log10 probabilities of texts, by dictionaries over all of them."""
+    key = {w: tuple(x[0] for x in brown_lm.word_keys([w])) for t in texts for w in t}
+    counts = Counter(w for t in training for w in t)
+    signed = lambda w: (int(key[w][0].view(np.int64)), key[w][1])
+    seeds = sorted(counts, key=lambda w: (-counts[w], signed(w)))[:seed_words]
+    place = {w: k for k, w in enumerate(seeds)}
+    bigrams = Counter(p for t in training for p in zip([None, *t], [*t, None]))
+    codes, outside, end = len(seeds), len(seeds), len(seeds) + 1
+    code = lambda w: end if w is None else place.get(w, outside)
+    joint = np.zeros((codes + 2, codes + 2))
+    for (a, b), n in bigrams.items():
+        joint[code(a), code(b)] += n
+    n = max(1, min(classes, len(seeds)))
+    kind = np.append(brown_lm.exchange(joint, n), [n, n + 1])
+    member = np.eye(n + 2)[kind]
+    joint = member.T @ joint @ member
+    of = {w: int(kind[k]) for w, k in place.items()}
+    for turn in range(rounds + 1):
+        forward, own = brown_lm.weighed(joint)
+        at = lambda w: n + 1 if w is None else of.get(w, n)
+        value = {w: -c * own for w, c in counts.items()}
+        for (a, b), m in bigrams.items():
+            if a is not None:
+                value[a] = value[a] + m * forward[:n, at(b)]
+            if b is not None:
+                value[b] = value[b] + m * forward[at(a), :n]
+        of = {w: of[w] if not turn and w in of else int(np.argmax(v)) for w, v in value.items()}
+        joint = np.zeros((n + 2, n + 2))
+        for (a, b), m in bigrams.items():
+            joint[at(a), at(b)] += m
+    unseen, last = n + 1, n
+    moves = np.zeros((n + 2, n + 2))
+    for (a, b), m in bigrams.items():
+        before = last if a is None else of[a]
+        if b is None:
+            moves[before, last] += m
+        else:
+            moves[before, of[b]] += m * (0.5 if counts[b] == 1 else 1)
+            moves[before, unseen] += m * 0.5 * (counts[b] == 1)
+    into = moves.sum(axis=0)
+    share = (into + 1) / (into + 1).sum()
+    once = max(1, sum(c == 1 for c in counts.values()))
+    out = []
+    for t in texts:
+        total, before = 0.0, last
+        for w in [*t, None]:
+            now = last if w is None else of[w] if w in counts else unseen
+            total += math.log10((moves[before, now] + brown_lm.PRIOR * share[now]) / (moves[before].sum() + brown_lm.PRIOR))
+            if now == unseen:
+                total -= math.log10(once)
+            elif now != last:
+                total += math.log10((counts[w] if counts[w] > 1 else 0.5) / max(into[now], 1))
+            before = now
+        out.append(total)
+    return out
+
+
+def test_scores_against_a_model_of_dictionaries(spark, data):
+    docs = table(spark, data, "documents").select("doc_id", "text").orderBy("doc_id").limit(60)
+    rows = docs.collect()
+    texts = [re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()) for r in rows]
+    own = [t for t, r in zip(texts, rows) if r.doc_id % 4]
+    expected = dict(zip((r.doc_id for r in rows), brute_model(texts, own, 40, 6, 2)))
+    found = {r.doc_id: r.score for r in brown_lm.score_texts(docs, is_training="doc_id % 4 <> 0", classes=6, seed_words=40, rounds=2).collect()}
+    assert found == {k: pytest.approx(v, rel=1e-9) for k, v in expected.items()}
+
+
 # neighbours
 
 
