@@ -2,10 +2,11 @@
 
 Documents are tokenised and only those longer than a sequence are cut. The pieces are dealt, one by
 one, to groups of bounded size, so that every group is a sample of all lengths, and each group is
-packed by itself: best fit first, the longest piece before the others; then underfull bins exchange
-pieces (one for one, two for one, one for two) or hand one over, as long as that makes the sum of
-squared fills grow, which empties the lightest bins. A group loses at most the rest of a bin or so
-against packing everything at once.
+packed by itself. A plain start puts each piece into the bin that it fits best, those of more than half
+a sequence first, as no two of them share a bin. The local search does the rest: underfull bins exchange
+pieces (one for one, two for one, one for two) or hand one over, always so that the sum of squared fills
+grows. As many of the lightest bins as must go are emptied first; where these are stuck, one trade of every
+underfull bin opens new ways, until such a pass empties no further bin or no packing has fewer bins.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tessera.llm.tables import quoted, table
 CAPACITY, END = 2048, 0
 #: Pieces that are packed together.
 GROUP_PIECES = 8192
+#: Pairs of a bin's items that are compared with all others at once.
+ROWS_AT_ONCE = 64
 #: Names or paths of the vocabulary, as read by tokenizers and by tiktoken.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Characters whose classes both libraries' pattern engines agree on; tests/llm compares all of them.
@@ -48,9 +51,14 @@ def vocabulary_path(name: str) -> str:
 def _tokenizer(name: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(vocabulary_path(name))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(vocabulary_path(name))
+
+
+@lru_cache(maxsize=2)
+def _special(name: str) -> re.Pattern | None:
+    """Finds the strings that are one id of their own in any text."""
+    added = [re.escape(t.content) for t in _tokenizer(name).get_added_tokens_decoder().values()]
+    return re.compile("|".join(added)) if added else None
 
 
 @lru_cache(maxsize=2)
@@ -66,12 +74,13 @@ def _encoding(name: str):
 def token_ids(text: str | None, tokenizer: str = TOKENIZER, ranks: str | None = RANKS) -> np.ndarray:
     """A text's ids without special tokens, none of a null one, as tokenizers gives them.
 
-    Where ``ranks`` names the same vocabulary for tiktoken, texts within AGREED go through that,
-    which gives the same ids in a quarter of the time.
+    Where ``ranks`` names the same vocabulary for tiktoken, texts within AGREED that hold none of the
+    vocabulary's added tokens go through that, which gives the same ids in a quarter of the time.
     """
     if not text:
         return np.empty(0, np.uint32)
-    if ranks and not AGREED.search(text):
+    special = _special(tokenizer)
+    if ranks and not AGREED.search(text) and not (special and special.search(text)):
         return _encoding(ranks).encode_to_numpy(text, disallowed_special=())
     return np.array(_tokenizer(tokenizer).encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -83,18 +92,20 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 class Bins:
-    """Bins of items, of which only the underfull ones are searched."""
+    """Bins of items, their fills, and each item's bin."""
 
     def __init__(self, lengths: np.ndarray, capacity: int):
         self.lengths, self.capacity = lengths, capacity
         self.items: list[list[int]] = []
-        self.fill: list[int] = []
+        self.fill = np.zeros(0, np.int64)
+        self.place = np.zeros(len(lengths), np.int64)
+        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def best_fit(self) -> None:
-        """Put each item, the longest first, where the least room is left."""
+        """Put each item, those of more than half a bin first, where the least room is left."""
         room: list[list[int]] = [[] for _ in range(self.capacity + 1)]
-        rooms = 0
-        for item in np.argsort(-self.lengths, kind="stable").tolist():
+        rooms, fill = 0, []
+        for item in np.argsort(2 * self.lengths <= self.capacity, kind="stable").tolist():
             n = int(self.lengths[item])
             fitting = rooms >> n
             if fitting:
@@ -103,98 +114,114 @@ class Bins:
                 if not room[left]:
                     rooms ^= 1 << left
                 self.items[place].append(item)
-                self.fill[place] += n
+                fill[place] += n
             else:
                 place = len(self.items)
                 self.items.append([item])
-                self.fill.append(n)
-            left = self.capacity - self.fill[place]
+                fill.append(n)
+            left = self.capacity - fill[place]
             if left:
                 if not room[left]:
                     rooms |= 1 << left
                 room[left].append(place)
+        self.fill = np.array(fill, np.int64)
+        for place, items in enumerate(self.items):
+            self.place[items] = place
 
     def fewest(self) -> int:
         """No packing has fewer bins: the tokens need so many, and no two of the longer pieces share one."""
         return max(math.ceil(int(self.lengths.sum()) / self.capacity), int((2 * self.lengths > self.capacity).sum()))
 
+    def used(self) -> int:
+        """Bins that hold something."""
+        return int((self.fill > 0).sum())
+
+    def lightest(self) -> list[int]:
+        """The underfull bins, the lightest first."""
+        found = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+        return found[np.argsort(self.fill[found], kind="stable")].tolist()
+
     def trade(self, source: int, given: list[int], target: int, taken: list[int]) -> None:
         """Exchange items of two bins."""
         for a, b, moved in ((source, target, given), (target, source, taken)):
             for item in moved:
                 self.items[a].remove(item)
                 self.items[b].append(item)
-                self.fill[a] -= int(self.lengths[item])
-                self.fill[b] += int(self.lengths[item])
+                self.place[item] = b
+                self.fill[a] -= self.lengths[item]
+                self.fill[b] += self.lengths[item]
+            self.pairs.pop(a, None)
+
+    def pairs_of(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a bin's items."""
+        if place not in self.pairs:
+            held = np.array(self.items[place])
+            x, y = np.triu_indices(len(held), 1)
+            self.pairs[place] = held[x], held[y]
+        return self.pairs[place]
 
-    def improve(self, source: int, open_bins: list[int]) -> bool:
+    def closest(self, given: np.ndarray, freed: np.ndarray, room: np.ndarray) -> tuple[int, int] | None:
+        """Which of the given lengths, for which of the freed ones, leaves the target the least room."""
+        gain = given[:, None] - freed
+        left = np.where((gain > 0) & (gain <= room), room - gain, self.capacity + 1)
+        k = int(left.argmin())
+        return divmod(k, len(freed)) if left.flat[k] <= self.capacity else None
+
+    def improve(self, source: int) -> bool:
         """Make one trade of a bin with a bin at least as full that fills that one further, to the brim if possible."""
-        targets = [t for t in open_bins if t != source and self.fill[t] >= self.fill[source] and self.fill[t] < self.capacity]
-        own = sorted(self.items[source], key=lambda i: -self.lengths[i])
-        if not targets or not own:
+        open_ = (self.fill < self.capacity) & (self.fill >= self.fill[source]) & (self.fill > 0)
+        open_[source] = False
+        targets, own = np.flatnonzero(open_), np.array(self.items[source])
+        if not len(targets) or not len(own):
             return False
-        left = np.array([self.capacity - self.fill[t] for t in targets])
         sizes = self.lengths[own]
         # hand one over
-        for item, n in zip(own, sizes.tolist()):
-            fits = np.flatnonzero(left >= n)
-            if len(fits):
-                self.trade(source, [item], targets[int(fits[np.argmin(left[fits])])], [])
-                return True
-        theirs = np.array([i for t in targets for i in self.items[t]])
-        where = np.repeat(np.arange(len(targets)), [len(self.items[t]) for t in targets])
-        values, room = self.lengths[theirs], left[where]
-
-        def against(given: list[int], n: int) -> bool:
-            gain = n - values
-            fits = np.flatnonzero((gain > 0) & (gain <= room))
-            if not len(fits):
-                return False
-            pick = int(fits[np.argmin((room - gain)[fits])])
-            self.trade(source, given, targets[where[pick]], [int(theirs[pick])])
+        if hit := self.closest(sizes, np.zeros(len(targets), np.int64), self.capacity - self.fill[targets]):
+            self.trade(source, [int(own[hit[0]])], int(targets[hit[1]]), [])
             return True
-
+        theirs = np.flatnonzero(open_[self.place])
+        freed, room = self.lengths[theirs], self.capacity - self.fill[self.place[theirs]]
         # one for one, two for one
-        for a, item in enumerate(own):
-            if against([item], int(sizes[a])):
+        x, y = np.triu_indices(len(own), 1)
+        for a, b in [(own, None), *((own[x[k : k + ROWS_AT_ONCE]], own[y[k : k + ROWS_AT_ONCE]]) for k in range(0, len(x), ROWS_AT_ONCE))]:
+            if hit := self.closest(self.lengths[a] + (0 if b is None else self.lengths[b]), freed, room):
+                given = [int(z[hit[0]]) for z in (a, b) if z is not None]
+                self.trade(source, given, int(self.place[theirs[hit[1]]]), [int(theirs[hit[1]])])
                 return True
-        for a, item in enumerate(own):
-            for b in range(a + 1, len(own)):
-                if against([item, own[b]], int(sizes[a] + sizes[b])):
-                    return True
         # one for two
-        for t, target in enumerate(targets):
-            held = np.array(self.items[target])
-            if len(held) < 2:
-                continue
-            x, y = np.triu_indices(len(held), 1)
-            pairs = self.lengths[held[x]] + self.lengths[held[y]]
-            for item, n in zip(own, sizes.tolist()):
-                gain = n - pairs
-                fits = np.flatnonzero((gain > 0) & (gain <= left[t]))
-                if len(fits):
-                    pick = int(fits[np.argmax(gain[fits])])
-                    self.trade(source, [item], target, [int(held[x[pick]]), int(held[y[pick]])])
+        many = [self.pairs_of(t) for t in targets.tolist() if len(self.items[t]) > 1]
+        if many:
+            x, y = (np.concatenate(z) for z in zip(*many))
+            freed, room = self.lengths[x] + self.lengths[y], self.capacity - self.fill[self.place[x]]
+            for a in range(len(own)):
+                if hit := self.closest(sizes[a : a + 1], freed, room):
+                    self.trade(source, [int(own[a])], int(self.place[x[hit[1]]]), [int(x[hit[1]]), int(y[hit[1]])])
                     return True
         return False
 
-    def search(self) -> None:
-        """Empty the lightest bins by trades until none helps or no packing could have fewer bins."""
-        fewest = self.fewest()
-        used = sum(1 for f in self.fill if f)
+    def empty_lightest(self, fewest: int) -> None:
+        """Trade from as many of the lightest bins as must go, until each of these is stuck."""
         stuck: set[int] = set()
-        while used > fewest:
-            open_bins = [b for b, f in enumerate(self.fill) if 0 < f < self.capacity]
-            source = min((b for b in open_bins if b not in stuck), key=lambda b: (self.fill[b], b), default=None)
+        while (surplus := self.used() - fewest) > 0:
+            source = next((b for b in self.lightest()[:surplus] if b not in stuck), None)
             if source is None:
-                break
-            if self.improve(source, open_bins):
+                return
+            if self.improve(source):
                 stuck.clear()
-                used -= self.fill[source] == 0
             else:
                 stuck.add(source)
-                if len(stuck) > fewest.bit_length() + 8:  # the lightest bins are what must go
-                    break
+
+    def search(self) -> None:
+        """Empty bins by trades until a pass over all underfull bins helps no more or no packing could have fewer."""
+        fewest = self.fewest()
+        self.empty_lightest(fewest)
+        while (before := self.used()) > fewest:
+            for source in self.lightest():
+                if 0 < self.fill[source] < self.capacity:
+                    self.improve(source)
+            self.empty_lightest(fewest)
+            if self.used() == before:
+                return
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +262,7 @@ def _piece_rows(groups: int, capacity: int, tokenizer: str, ranks: str | None, w
 def _packer(capacity: int):
     def pack(pieces: pa.Table) -> pa.Table:
         # an order of the pieces' own makes the packing independent of the order of arrival
-        pieces = pieces.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        pieces = pieces.sort_by([("ids_crc32", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         place, offset = pack_lengths(pieces["length"].to_numpy(), capacity)
         first = pieces["group"][0].as_py() << 32
         return pieces.drop_columns("group").append_column("sequence_id", pa.array(place + first)).append_column("offset", pa.array(offset))

@@ -223,17 +223,44 @@ def test_bins_hold_every_item_once(lengths):
 
 def test_search_empties_a_bin_by_trades():
     bins = packing.Bins(np.array([6, 6, 5, 3, 4, 6]), 10)
-    bins.items, bins.fill = [[0, 3], [1], [2], [4, 5]], [9, 6, 5, 10]
+    bins.items, bins.fill, bins.place = [[0, 3], [1], [2], [4, 5]], np.array([9, 6, 5, 10]), np.array([0, 1, 2, 0, 3, 3])
     before = sum(f * f for f in bins.fill)
     bins.search()
     assert sum(f * f for f in bins.fill) >= before and max(bins.fill) <= 10
     assert sorted(i for b in bins.items for i in b) == list(range(6))
     moved = packing.Bins(np.array([4, 4, 4, 4, 2]), 10)
-    moved.items, moved.fill = [[0, 1], [2, 3], [4]], [8, 8, 2]
+    moved.items, moved.fill, moved.place = [[0, 1], [2, 3], [4]], np.array([8, 8, 2]), np.array([0, 0, 1, 1, 2])
     moved.search()
     assert sum(1 for f in moved.fill if f) == 2
 
 
+def test_search_ends_below_its_start_on_given_texts():
+    import duckdb
+
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    lengths = np.array([n for (t,) in texts for _, n in packing.cut(len(packing.token_ids(t)) + 1)])
+    bins = packing.Bins(lengths, packing.CAPACITY)
+    bins.best_fit()
+    start = bins.used()
+    squares = (bins.fill**2).sum()
+    bins.search()
+    assert bins.fewest() <= bins.used() < start and (bins.fill**2).sum() > squares
+    assert bins.used() <= bins.fewest() + 2
+    assert sorted(i for b in bins.items for i in b) == list(range(len(lengths))) and bins.fill.max() <= packing.CAPACITY
+    assert all(bins.fill[p] == lengths[b].sum() for p, b in enumerate(bins.items))
+
+
+def test_ids_of_texts_with_added_tokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.vocabulary_path(packing.TOKENIZER))
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    for token in added:
+        for text in (token, f"x {token} y", f"{token}{token}é", f"слово {token}"):
+            assert packing.token_ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_cut_leaves_only_the_first_short():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(4, 4) == [(0, 4)]
 
