@@ -63,8 +63,11 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 whose counts are at most one apart (law ``rows``)."""
-    documents = table(spark, sf_dir, "documents").select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
-    sharded = scatter_shuffle(documents, [F.col("file_name"), F.col("row_index")])
+    documents = table(spark, sf_dir, "documents")
+    place = documents.metadataColumn("_metadata")
+    # only these columns take part, so that no other column of the table can clash with a name here
+    rows = documents.select("doc_id", "text", place["file_name"].alias("file_name"), place["row_index"].alias("row_index"))
+    sharded = scatter_shuffle(rows, [F.col("file_name"), F.col("row_index")])
     text = F.coalesce("text", F.lit(""))
     return sharded.select(
         "doc_id",
