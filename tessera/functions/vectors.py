@@ -25,3 +25,8 @@ def l2_distance(a: Column, b: Column) -> Column:
 def closeness(distance: Column) -> Column:
     """A score in (0, 1] that falls with the distance."""
     return 1.0 / (1.0 + distance)
+
+
+def as_text(v: Column) -> Column:
+    """A vector as a JSON list of its numbers as they are stored."""
+    return F.to_json(v)

@@ -181,3 +181,25 @@ def merged_link_targets(links: DataFrame) -> DataFrame:
     """(target_entity_id, subject_entity_id, method, confidence, relations): a row for each target: its surest link, of the smaller subject if several, and all its relations."""
     best = F.max_by(F.struct("subject_entity_id", "method", "confidence"), F.struct("confidence", -F.col("subject_entity_id"))).alias("best")
     return links.groupBy("target_entity_id").agg(best, F.array_join(F.array_sort(F.collect_set("relation_type")), ",").alias("relations")).select("target_entity_id", "best.*", "relations")
+
+
+def links_of_method(links: DataFrame, method: str) -> DataFrame:
+    """Links that a method made, by their ends."""
+    return links.where(F.col("method") == method).orderBy("subject_entity_id", "target_entity_id")
+
+
+def links_of_entity(links: DataFrame, entity_id: int) -> DataFrame:
+    """Links of which an entity is either end, by their ends."""
+    return links.where((F.col("subject_entity_id") == entity_id) | (F.col("target_entity_id") == entity_id)).orderBy("subject_entity_id", "target_entity_id")
+
+
+def documents_of_entity(entity_sources: DataFrame, documents: DataFrame, entity_id: int) -> DataFrame:
+    """Documents that an entity comes from."""
+    own = entity_sources.where(F.col("entity_id") == entity_id).select(F.col("document_id").alias("id"))
+    return documents.join(own, "id", "left_semi")
+
+
+def edges_as_json(facts: DataFrame) -> DataFrame:
+    """(id, edge): each fact as JSON; an empty provenance is left out."""
+    shown = [F.col("subject_entity_id").alias("from"), F.col("object_entity_id").alias("to"), F.col("predicate").alias("relation"), F.nullif(F.col("quote"), F.lit("")).alias("provenance")]
+    return facts.select("id", F.to_json(F.struct(*shown), {"ignoreNullFields": "true"}).alias("edge"))

@@ -103,12 +103,13 @@ def json_chunks(df: DataFrame, text: str = "text", fields: list[str] | None = No
 
     combine: the named text fields as paragraphs, or all if none is there; otherwise a row for
     each named field. What is not an object, or has no text, is left out; a text that is no JSON
-    has no rows.
+    has no rows. Of an array only the first ``max_objects`` objects are read (500 by default, as a
+    setting of the source; 0 or less reads all).
     """
     parsed = F.try_parse_json(F.col(text))
     whole = F.trim(F.col(text))
     elements = F.when(parsed.isNull(), None).when(whole.startswith("["), F.transform(F.try_variant_get(parsed, "$", "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array(F.to_json(parsed)))
-    rows = df.select("*", F.posexplode(F.slice(elements, 1, max_objects)).alias("sequence_num", "__row")).where(F.col("__row").startswith("{"))
+    rows = df.select("*", F.posexplode(F.slice(elements, 1, max_objects) if max_objects > 0 else elements).alias("sequence_num", "__row")).where(F.col("__row").startswith("{"))
     if combine or not fields:
         rows = rows.withColumn("chunk_text", combined_fields(F.col("__row"), fields))
     else:

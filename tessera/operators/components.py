@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import checkpoint
 
+#: Rounds after which something must be wrong.
 MOST_ROUNDS = 60
 
 
@@ -18,7 +19,9 @@ def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = checkpoint(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     last = None
-    for _ in range(MOST_ROUNDS):
+    for turn in range(MOST_ROUNDS + 1):
+        if turn == MOST_ROUNDS:
+            raise RuntimeError("the clusters did not settle")
         state = tuple(edges.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)")).first())
         if state == last or not state[0]:
             break

@@ -55,6 +55,35 @@ def by_model(chunks: DataFrame, recognise: Callable[[str], list[dict]], text: st
     return chunks.select(key, text).mapInPandas(run, f"{key} {kind}, name string, type string, domain string, confidence double")
 
 
+#: A capitalised word, and the words after which one is a person, a place or an organisation rather than any name.
+NAME = r"\p{Lu}[\p{L}\p{N}'-]+"
+TITLES, PLACES, FIRMS = ("mr", "mrs", "ms", "dr", "prof"), ("in", "at", "from", "near"), ("inc", "corp", "ltd", "gmbh", "llc")
+
+
+def by_shape(chunks: DataFrame, text: str = "chunk_text", key: str = "chunk_id") -> DataFrame:
+    """(key, name, type, domain, confidence) of runs of capitalised words inside sentences, typed by the words around them.
+
+    A recogniser without a model: names that recur in a chunk are surer than those that come once.
+    """
+    runs = F.regexp_extract_all(F.col(text), F.lit(rf"(?:\b(?:\p{{L}}+)\.? )(?:{NAME})(?: {NAME})*(?:,? (?i:{'|'.join(FIRMS)})\b)?"), F.lit(0))
+    found = chunks.select(key, F.explode(runs).alias("run")).withColumn("before", F.lower(F.regexp_extract("run", r"^(\p{L}+)", 1)))
+    title = F.col("before").isin(*TITLES)
+    lower_before = F.regexp_extract("run", r"^(\p{Ll}+) ", 1) != ""
+    rows = found.where(title | lower_before).withColumn("name", F.regexp_replace("run", r"^\p{L}+\.? ", ""))
+    firm = F.lower("name").rlike(rf"[ ,](?:{'|'.join(FIRMS)})$")
+    kind = F.when(title, "person").when(firm, "organization").when(F.col("before").isin(*PLACES), "location").otherwise("name")
+    counted = rows.groupBy(key, "name", kind.alias("type")).agg(F.count("*").alias("n"))
+    return counted.select(key, "name", "type", F.lit("").alias("domain"), (1.0 - 0.5 / F.col("n")).alias("confidence"))
+
+
+def stages(chunks: DataFrame, wanted: list[str], rules: list[Rule], recognise: Callable[[str], list[dict]] | None = None) -> DataFrame:
+    """All results of a source's recognisers by name (rules, shape, model), each with its provider; an unknown name, or a model that is not given, raises."""
+    made = {"rules": lambda: by_rules(chunks, rules), "shape": lambda: by_shape(chunks)} | ({"model": lambda: by_model(chunks, recognise)} if recognise else {})
+    if unknown := [w for w in wanted if w not in made]:
+        raise ValueError(f"no such recognisers: {unknown}")
+    return composed([made[w]() for w in wanted], wanted)
+
+
 def composed(stages: list[DataFrame], providers: list[str]) -> DataFrame:
     """All stages' results, each with its provider."""
     out = stages[0].withColumn("provider", F.lit(providers[0]))

@@ -48,18 +48,16 @@ def traverse(graph: Graph, start: int, depth: int = DEPTH, direction: str = "bot
     home = found["domain"]
     edges = graph.edges if not relations else graph.edges.where(F.col("relation").isin(*relations))
     links = graph.links if not relations else graph.links.where(F.col("relation").isin(*relations))
-    latest = Window.partitionBy("src", "dst").orderBy(F.desc("fact_id"))
     steps = []
-    one = edges.withColumn("turn", F.row_number().over(latest)).where("turn = 1").select("src", "dst", "relation")
     if direction in ("out", "both"):
-        steps.append(one.select(F.col("src").alias("parent"), F.col("dst").alias("child"), "src", "dst", "relation", F.lit(0).alias("kind")))
+        steps.append(edges.select(F.col("src").alias("parent"), F.col("dst").alias("child"), "src", "dst", "relation", F.lit(0).alias("kind"), "fact_id"))
     if direction in ("in", "both"):
-        steps.append(one.select(F.col("dst").alias("parent"), F.col("src").alias("child"), "src", "dst", "relation", F.lit(0).alias("kind")))
+        steps.append(edges.select(F.col("dst").alias("parent"), F.col("src").alias("child"), "src", "dst", "relation", F.lit(0).alias("kind"), "fact_id"))
     if not steps:
         raise ValueError(f"no such direction: {direction}")
-    joined = graph.links.select(F.col("src").alias("parent"), F.col("dst").alias("child")).unionByName(graph.links.select(F.col("dst").alias("parent"), F.col("src").alias("child"))).distinct().withColumn("linked", F.lit(True))
+    joined = graph.links.select(F.col("src").alias("parent"), F.col("dst").alias("child")).unionByName(graph.links.select(F.col("dst").alias("parent"), F.col("src").alias("child")))
     if follow_links:
-        steps.append(links.select(F.col("src").alias("parent"), F.col("dst").alias("child"), "src", "dst", "relation", F.lit(1).alias("kind")))
+        steps.append(links.select(F.col("src").alias("parent"), F.col("dst").alias("child"), "src", "dst", "relation", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("fact_id")))
     every = steps[0]
     for s in steps[1:]:
         every = every.unionByName(s)
@@ -69,13 +67,16 @@ def traverse(graph: Graph, start: int, depth: int = DEPTH, direction: str = "bot
     tree = None
     count = 1
     for level in range(1, depth + 1):
-        # a frontier is at most max_nodes rows, so it is sent to the edges, and nothing of theirs is exchanged
+        # a frontier is at most max_nodes rows, so it is sent to the edges; only edges at the frontier are exchanged
         reached = every.join(F.broadcast(frontier), "parent")
         reached = reached.where((F.col("parent_domain") == home) | (F.col("kind") == 1))
+        # parallel edges are reduced to the latest fact; links stay
+        reached = reached.groupBy("parent", "child", "src", "dst", "kind", "parent_domain", F.when(F.col("kind") == 1, F.col("relation")).alias("link")).agg(F.max_by("relation", F.coalesce("fact_id", F.lit(0))).alias("relation")).drop("link")
         reached = reached.join(F.broadcast(seen.select(F.col("id").alias("child"))), "child", "left_anti")
         reached = reached.join(domains, "child")
         if follow_links:
-            reached = reached.join(joined, ["parent", "child"], "left").where((F.col("child_domain") == home) | F.col("linked")).drop("linked")
+            near = joined.join(F.broadcast(frontier.select("parent")), "parent", "left_semi").distinct().withColumn("linked", F.lit(True))
+            reached = reached.join(near, ["parent", "child"], "left").where((F.col("child_domain") == home) | F.col("linked")).drop("linked")
         else:
             reached = reached.where(F.col("child_domain") == home)
         key = F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string"))
@@ -98,7 +99,7 @@ def traverse(graph: Graph, start: int, depth: int = DEPTH, direction: str = "bot
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(source, node, depth) of all nodes within so many hops of many starts (source), over undirected edges (src, dst)."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = starts.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for level in range(1, hops + 1):
@@ -172,9 +173,21 @@ def expand(graph: Graph, hits: DataFrame, chunk_entities: DataFrame, depth: int
     """
     found = chunk_entities.join(hits.select("chunk_id"), "chunk_id", "left_semi").select(F.col("entity_id").alias("source")).distinct()
     known = found.join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi")
-    near = reach(graph.edges, known, depth).where("depth > 0")
-    place = Window.partitionBy("source").orderBy("depth", "node")
-    return near.withColumn("place", F.row_number().over(place)).where(F.col("place") <= max_nodes).select(F.col("source").alias("entity_id"), F.col("node").alias("related_id"), "depth")
+    both = graph.edges.select("src", "dst").unionByName(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seen = known.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"))
+    frontier = seen
+    for level in range(1, depth + 1):
+        # an entity that has its max_nodes goes no further, and a hub gives no more than that
+        step = frontier.select("source", F.col("node").alias("src")).join(both, "src").select("source", F.col("dst").alias("node")).distinct()
+        fresh = step.join(seen, ["source", "node"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("node"))).where(F.col("place") <= max_nodes)
+        room = seen.groupBy("source").agg((max_nodes + 1 - F.count("*")).alias("room"))
+        fresh = checkpoint(fresh.join(room, "source").where("place <= room").select("source", "node", F.lit(level).alias("depth"), "place", "room"))
+        if fresh.isEmpty():
+            break
+        seen = seen.unionByName(fresh.select("source", "node", "depth"))
+        full = fresh.where("place = room").select("source")
+        frontier = fresh.select("source", "node", "depth").join(full, "source", "left_anti")
+    return seen.where("depth > 0").select(F.col("source").alias("entity_id"), F.col("node").alias("related_id"), "depth")
 
 
 def dot_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,16 +1,29 @@
-"""Entity resolution: which names are the same entity."""
+"""Entity resolution: which names are the same entity.
+
+Names of one domain and type are compared if they share a pair of characters and can be similar at all.
+Jaro-Winkler reaches a threshold only if two names have so many characters in common (as a multiset)
+that in any one order of all characters some of these are among the first few of both names; with the
+rarest first, few names meet. Clusters need no more than links that hold them together: neighbours in
+the order of names are linked first, and only names of different clusters meet after that, so that a
+block of names that are all alike costs no square of its size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.similarity import jaro_winkler_column
+from tessera.functions.similarity import PREFIX_MOST, PREFIX_WEIGHT, jaro_winkler, jaro_winkler_column
 from tessera.functions.text import bigrams, normalize
 from tessera.operators.components import clusters
+from tessera.session import checkpoint
 
 THRESHOLD = 0.9
+ROOM = 1e-9
 
 
 def keyed(entities: DataFrame) -> DataFrame:
@@ -18,32 +31,96 @@ def keyed(entities: DataFrame) -> DataFrame:
     return entities.select("id", "type", "name", "domain", normalize(F.col("name")).alias("norm"), normalize(F.col("domain")).alias("norm_domain"))
 
 
-def candidate_pairs(entities: DataFrame) -> DataFrame:
-    """(a, b, a_norm, b_norm), a < b: names of one domain and type that share a pair of characters.
+def distinct_names(entities: DataFrame) -> DataFrame:
+    """(id, norm_domain, type, norm): each name of a domain and type once, with the smallest id that bears it."""
+    return keyed(entities).groupBy("norm_domain", "type", "norm").agg(F.min("id").alias("id"))
 
-    Names are compared once each, however many entities bear them; a pair is enumerated only in
-    the block of the first pair of characters that both have, so that none comes twice and
-    nothing has to be made distinct.
-    """
-    names = keyed(entities).groupBy("norm_domain", "type", "norm").agg(F.min("id").alias("id"))
-    blocks = names.select("*", F.array_sort(bigrams(F.col("norm"))).alias("grams")).select("*", F.explode("grams").alias("gram"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    same = (F.col("a.norm_domain") == F.col("b.norm_domain")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
-    first = F.element_at(F.array_sort(F.array_intersect("a.grams", "b.grams")), 1) == F.col("a.gram")
-    return a.join(b, same).where(first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.norm").alias("a_norm"), F.col("b.norm").alias("b_norm"))
+
+def _share(threshold: float) -> float:
+    """What m/a + m/b must reach, of m common characters of names of a and b, for a similarity of ``threshold``."""
+    most = PREFIX_MOST * PREFIX_WEIGHT
+    return 3.0 * (threshold - most) / (1.0 - most) - 1.0
+
+
+def _needed(a: Column, b: Column, threshold: float) -> Column:
+    """Characters that names of these lengths must have in common."""
+    return F.ceil(F.lit(_share(threshold)) * a * b / F.greatest(a + b, F.lit(1)) - ROOM)
+
+
+def _letters(name: str) -> Column:
+    return F.regexp_extract_all(F.col(name), F.lit("(?s)."), F.lit(0))
 
 
-def similar_pairs(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) of candidate pairs that reach the threshold.
+def _marks(names: DataFrame, threshold: float, ranks: DataFrame) -> DataFrame:
+    """``names`` with n (characters), and for each mark of a name's first ones: mark and at, their places in the common order.
 
-    A pair can reach it only if its lengths are close enough; that is decided before names are compared.
+    A mark is a character and its how-manieth it is in the name. A name meets longer ones by its first marks
+    (short), and shorter ones by some more.
     """
-    pairs = candidate_pairs(entities)
-    short, long = F.least(F.length("a_norm"), F.length("b_norm")), F.greatest(F.length("a_norm"), F.length("b_norm"))
-    # with all characters of the shorter matching, jaro is (2 + short/long) / 3, and a prefix adds 0.4 of what is missing
-    bound = (2.0 + short / long) / 3.0
-    close = pairs.where(bound + 0.4 * (1.0 - bound) >= threshold)
-    return close.select("a", "b", jaro_winkler_column("a_norm", "b_norm").alias("similarity")).where(F.col("similarity") >= threshold)
+    share = _share(threshold)
+    letters = names.withColumn("n", F.length("norm")).select("*", F.posexplode(_letters("norm")).alias("pos", "letter"))
+    counted = letters.withColumn("mark", F.concat("letter", F.row_number().over(Window.partitionBy("id", "norm_domain", "type", "letter").orderBy("pos")).cast("string")))
+    placed = counted.join(ranks, ["norm_domain", "type", "mark"], "left").withColumn("at", F.row_number().over(Window.partitionBy("id", "norm_domain", "type").orderBy(F.coalesce("df", F.lit(0)), "mark")))
+    short = F.col("n") - F.ceil(F.col("n") * (share / 2) - ROOM) + 1
+    long = F.col("n") - F.ceil(F.col("n") * max(share - 1.0, 0.0) - ROOM) + 1
+    return placed.where(F.col("at") <= F.least(long, F.col("n"))).withColumn("short", F.col("at") <= short).drop("pos", "letter", "df")
+
+
+def _frequencies(names: DataFrame) -> DataFrame:
+    """(norm_domain, type, mark, df): in how many names each mark is; there are few marks."""
+    letters = names.select("id", "norm_domain", "type", F.explode(_letters("norm")).alias("letter")).groupBy("id", "norm_domain", "type", "letter").count()
+    return letters.select("norm_domain", "type", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda k: F.concat("letter", k.cast("string")))).alias("mark")).groupBy("norm_domain", "type", "mark").agg(F.count("*").alias("df"))
+
+
+def _met(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, a_norm, b_norm) of marks of ``left`` and ``right`` that meet, can be similar, and share a pair of characters; each pair once."""
+    x, y = left.alias("x"), right.alias("y")
+    same = (F.col("x.norm_domain") == F.col("y.norm_domain")) & (F.col("x.type") == F.col("y.type")) & (F.col("x.mark") == F.col("y.mark"))
+    nx, ny = F.col("x.n"), F.col("y.n")
+    roles = ((nx <= ny) & F.col("x.short")) | ((ny <= nx) & F.col("y.short"))
+    fits = _needed(nx, ny, threshold) <= F.least(nx, ny)
+    met = x.join(y, same & roles & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.norm").alias("a_norm"), F.col("y.norm").alias("b_norm")).distinct()
+    return met.where(F.arrays_overlap(bigrams(F.col("a_norm")), bigrams(F.col("b_norm"))))
+
+
+def _neighbours(names: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of names that are similar to the one before them, in the order of names; a partition's first has none before it."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and last[1:3] == row[1:3] and _shares_bigram(last[3], row[3]) and jaro_winkler(last[3], row[3]) >= threshold:
+                    found.append((last[0], row[0]))
+                last = row
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    ordered = names.where("norm IS NOT NULL").select(F.col("id").cast("long"), "norm_domain", "type", "norm").repartitionByRange("norm_domain", "type", "norm").sortWithinPartitions("norm_domain", "type", "norm")
+    return ordered.mapInArrow(link, "a long, b long")
+
+
+def _shares_bigram(a: str, b: str) -> bool:
+    pairs = [{x[i : i + 2] for i in range(len(x) - 1)} or {x} for x in (a, b)]
+    return not pairs[0].isdisjoint(pairs[1])
+
+
+def links(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of similar names (by their ids): enough of them that all names that are similar, also by way of others, are connected."""
+    names = checkpoint(distinct_names(entities))
+    near = checkpoint(_neighbours(names, threshold))
+    roots = clusters(near).select(F.col("node").alias("id"), "root")
+    placed = names.join(roots, "id", "left").withColumn("cluster", F.coalesce("root", "id")).drop("root")
+    marks = checkpoint(_marks(placed, threshold, _frequencies(names)))
+    # of each mark's clusters the largest meets all others, which are few where names are alike
+    key = ["norm_domain", "type", "mark"]
+    sizes = marks.groupBy(*key, "cluster").count()
+    largest = sizes.groupBy(*key).agg(F.max_by("cluster", F.struct("count", "cluster")).alias("largest"), F.count("*").alias("clusters")).where("clusters > 1")
+    mixed = marks.join(largest, key)
+    others = mixed.where("cluster <> largest")
+    pairs = _met(others, mixed.withColumn("other", F.col("cluster")), threshold)
+    far = pairs.where("a <> b").select("a", "b", jaro_winkler_column("a_norm", "b_norm").alias("similarity")).where(F.col("similarity") >= threshold)
+    return near.unionByName(far.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
 
 
 def resolve(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -53,7 +130,7 @@ def resolve(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     e = keyed(entities)
     names = e.groupBy("norm_domain", "type", "norm").agg(F.min("id").alias("name_id"))
-    roots = clusters(similar_pairs(entities, threshold)).select(F.col("node").alias("name_id"), "root")
+    roots = clusters(links(entities, threshold)).select(F.col("node").alias("name_id"), "root")
     placed = e.join(names, ["norm_domain", "type", "norm"]).join(roots, "name_id", "left").select("id", "name", F.coalesce("root", "name_id").alias("cluster"))
     best = placed.groupBy("cluster").agg(F.min("id").alias("entity_id"), F.max_by("name", F.struct(F.length("name"), -F.col("id"))).alias("canonical"))
     return placed.join(best, "cluster").select("id", "entity_id", "canonical")
@@ -64,12 +141,11 @@ def match_stored(fresh: DataFrame, stored: DataFrame, threshold: float = THRESHO
     n, s = keyed(fresh), keyed(stored)
     exact = s.groupBy("norm_domain", "type", "norm").agg(F.min("id").alias("exact_id"))
     first = n.join(exact, ["norm_domain", "type", "norm"], "left")
-    rest = first.where("exact_id IS NULL")
-    left = rest.select("id", "norm_domain", "type", "norm", F.array_sort(bigrams(F.col("norm"))).alias("grams")).withColumn("gram", F.explode("grams"))
-    right = s.select(F.col("id").alias("s_id"), F.col("norm_domain").alias("d"), F.col("type").alias("t"), F.col("norm").alias("s_norm"), F.array_sort(bigrams(F.col("norm"))).alias("s_grams")).withColumn("s_gram", F.explode("s_grams"))
-    pairs = left.join(right, (left["norm_domain"] == right["d"]) & (left["type"] == right["t"]) & (left["gram"] == right["s_gram"]))
-    pairs = pairs.where(F.element_at(F.array_sort(F.array_intersect("grams", "s_grams")), 1) == F.col("gram"))
-    near = pairs.select("id", "s_id", jaro_winkler_column("norm", "s_norm").alias("score")).where(F.col("score") >= threshold)
+    rest = first.where("exact_id IS NULL").select("id", "norm_domain", "type", "norm")
+    stored_names = distinct_names(stored)
+    df = _frequencies(stored_names)
+    pairs = _met(_marks(rest, threshold, df), _marks(stored_names, threshold, df), threshold)
+    near = pairs.select(F.col("a").alias("id"), F.col("b").alias("s_id"), jaro_winkler_column("a_norm", "b_norm").alias("score")).where(F.col("score") >= threshold)
     best = near.groupBy("id").agg(F.max_by("s_id", F.struct("score", -F.col("s_id"))).alias("near_id"), F.max("score").alias("near_score"))
     return first.join(best, "id", "left").select("id", F.coalesce("exact_id", "near_id").alias("stored_id"), F.when(F.col("exact_id").isNotNull(), 1.0).otherwise(F.col("near_score")).alias("score"))
 

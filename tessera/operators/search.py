@@ -284,7 +284,6 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, limit: int = POOL) -> Data
     return best.join(named, "n").select("query_id", "rank", "chunk_id", "distance")
 
 
-def hybrid_batch(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, rank, chunk_id, score, origin) of both searches, fused, for many queries (query_id, text, vector) in one plan."""
-    lexical = bm25_batch(chunks, queries)
+def hybrid_batch(lexical: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, rank, chunk_id, score, origin) of both searches, fused, for many queries (query_id, vector); lexical: the queries' best by BM25."""
     return fuse(lexical, knn_batch(vectors, queries), limit=limit, by=("query_id",)).select("query_id", "rank", "chunk_id", "score", "origin")

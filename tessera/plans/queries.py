@@ -12,7 +12,7 @@ from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.functions.similarity import jaro_winkler_column
 from tessera.model import CUSTOMERS, NATIONS, REGIONS, Tables, oracle
-from tessera.operators import catalog, chunking, extraction, graph, linking, maintenance, resolution
+from tessera.operators import catalog, chunking, extraction, graph, index, linking, maintenance, resolution
 from tessera.operators import search as se
 from tessera.plans import tools
 from tessera.sources import files
@@ -38,6 +38,18 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+#: Stored indexes by application and folder: written by the first search, read by all others.
+_INDEXES: dict[tuple[str, str], index.Index] = {}
+
+
+def document_index(t: Tables) -> index.Index:
+    """The stored index of whole documents."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build(t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")))
+    return _INDEXES[key]
+
+
 # counts and groups
 
 
@@ -438,12 +450,23 @@ def flagship(t):
     f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '{LINES}')) AS term FROM benchmark), d AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '{LINES}'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), p AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY chunk_id, term), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 x AS (SELECT query_id, chunk_id, round(sum(-greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)))), 9) AS bm25 FROM q JOIN p USING (term) JOIN f USING (term), s WHERE term <> '' GROUP BY query_id, chunk_id)
-SELECT query_id, rank, round(bm25, 4) AS bm25 FROM (SELECT query_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS rank FROM x) WHERE rank <= 5""",
+SELECT query_id, rank, chunk_id, round(bm25, 4) AS bm25 FROM (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS rank FROM x) WHERE rank <= 5""",
 )
 def _(t):
-    d = t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
     q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return se.bm25_batch(d, q, 5).select("query_id", "rank", F.round("bm25", 4).alias("bm25"))
+    return index.bm25_batch(document_index(t), q, 5).select("query_id", "rank", "chunk_id", F.round("bm25", 4).alias("bm25"))
+
+
+@query(
+    "snk14_synced_index",
+    f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(CASE WHEN doc_id % 5 = 0 THEN source ELSE text END), '{LINES}')) AS term FROM documents WHERE doc_id % 7 <> 0) WHERE term <> '' GROUP BY term",
+)
+def _(t):
+    # every seventh document goes, every fifth changes, and every third is new
+    d = t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("source").alias("changed"))
+    stored = index.build(d.where("chunk_id % 3 <> 0"))
+    fresh = d.where("chunk_id % 7 <> 0 AND (chunk_id % 3 = 0 OR chunk_id % 5 = 0)").select("chunk_id", F.when(F.col("chunk_id") % 5 == 0, F.col("changed")).otherwise(F.col("chunk_text")).alias("chunk_text"))
+    return index.synced(stored, d.where("chunk_id % 7 = 0 OR chunk_id % 5 = 0"), fresh).terms
 
 
 QUERY_VECTORS = "v AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id)"
@@ -468,13 +491,14 @@ s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), p AS (SELECT chunk_id,
 x AS (SELECT query_id, chunk_id, round(sum(-greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)))), 9) AS bm25 FROM qt JOIN p USING (term) JOIN f USING (term), s WHERE term <> '' GROUP BY query_id, chunk_id),
 l AS (SELECT query_id, bm25, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS lr FROM x),
 pool AS (SELECT query_id, chunk_id, bm25, lr, sr, coalesce(1e0 / (20 + lr), 0e0) + coalesce(1e0 / (20 + sr), 0e0) AS rrf FROM (SELECT * FROM l WHERE lr <= 20) FULL JOIN (SELECT * FROM nr WHERE sr <= 20) USING (query_id, chunk_id)),
-fused AS (SELECT query_id, 0.7e0 * CASE WHEN max(rrf) OVER q > min(rrf) OVER q THEN (rrf - min(rrf) OVER q) / (max(rrf) OVER q - min(rrf) OVER q) ELSE 0.5e0 END
+fused AS (SELECT query_id, chunk_id, CASE WHEN lr IS NOT NULL AND sr IS NOT NULL THEN 'hybrid' WHEN lr IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS origin, 0.7e0 * CASE WHEN max(rrf) OVER q > min(rrf) OVER q THEN (rrf - min(rrf) OVER q) / (max(rrf) OVER q - min(rrf) OVER q) ELSE 0.5e0 END
   + 0.3e0 * CASE WHEN max(bm25) OVER q > min(bm25) OVER q THEN coalesce((max(bm25) OVER q - bm25) / (max(bm25) OVER q - min(bm25) OVER q), 0.5e0) ELSE 0.5e0 END AS score FROM pool WINDOW q AS (PARTITION BY query_id))
-SELECT query_id, rank, round(score, 3) AS score FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM fused) WHERE rank <= 10""",
+SELECT query_id, rank, chunk_id, origin, round(score, 6) AS score FROM (SELECT query_id, chunk_id, origin, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10""",
 )
 def _(t):
-    d = t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
-    return se.hybrid_batch(d, t.vectors(), _requests(t)).select("query_id", "rank", F.round("score", 3).alias("score"))
+    asked = _requests(t)
+    found = se.hybrid_batch(index.bm25_batch(document_index(t), asked), t.vectors(), asked)
+    return found.select("query_id", "rank", "chunk_id", "origin", F.round("score", 6).alias("score"))
 
 
 # graph
@@ -537,22 +561,29 @@ def _(t):
 
 
 @query(
-    "jn15_candidate_pairs",
-    oracle("SELECT DISTINCT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.type = b.type AND a.norm_domain = b.norm_domain AND a.id < b.id", extra="names AS (SELECT norm_domain, type, norm_name, min(id) AS id FROM m_norm WHERE type = 'nation' GROUP BY ALL), grams AS (SELECT DISTINCT id, norm_domain, type, substr(norm_name, i, 2) AS gram FROM (SELECT *, unnest(range(1, length(norm_name))) AS i FROM names))"),
+    "jn15_er12_blocks",
+    oracle("SELECT norm_domain, type, gram, count(*) AS n FROM (SELECT DISTINCT id, norm_domain, type, gram FROM (SELECT *, unnest(CASE WHEN length(norm_name) < 2 THEN [norm_name] ELSE list_transform(range(1, length(norm_name)), lambda i: substr(norm_name, i, 2)) END) AS gram FROM m_norm)) GROUP BY ALL"),
 )
 def _(t):
-    return resolution.candidate_pairs(t.entities().where("type = 'nation'")).select("a", "b")
+    return catalog.counts_by(resolution.blocking_index(t.entities()), "norm_domain", "type", "gram")
+
+
+@query("er1_er2_resolved_entities")
+def _(t):
+    return resolution.resolve(t.entities())
 
 
-@query("er1_er2_resolved_nations")
+@query("er3_er4_matched_entities", oracle("SELECT id, (SELECT min(s.id) FROM m_norm s WHERE s.type = n.type AND s.norm_name = n.norm_name AND s.norm_domain = n.norm_domain) AS stored_id FROM m_norm n"))
 def _(t):
-    return resolution.resolve(t.entities().where("type IN ('nation', 'region')"), 0.8)
+    e = t.entities()
+    return resolution.match_stored(e.withColumn("name", F.concat(F.lit("  "), F.upper("name"))), e).select("id", "stored_id")
 
 
-@query("er3_er4_matched_parts", oracle("SELECT id, (SELECT min(s.id) FROM m_norm s WHERE s.type = 'part' AND s.norm_name = n.norm_name AND s.norm_domain = n.norm_domain) AS stored_id FROM m_norm n WHERE type = 'part'"))
+@query("er3_similar_stored_parts")
 def _(t):
+    # names that none of the stored ones equals, so that each is compared with those it can be similar to
     parts = t.entities().where("type = 'part'")
-    return resolution.match_stored(parts.withColumn("name", F.concat(F.lit("  "), F.upper("name"))), parts).select("id", "stored_id")
+    return resolution.match_stored(parts.withColumn("name", F.concat("name", F.lit("s"))), parts).select("id", "stored_id", F.round("score", 6).alias("score"))
 
 
 @query("lk1_lk2_lk5_equal_name_links", oracle("SELECT subject_entity_id, target_entity_id, relation_type, method, confidence FROM m_links"))
@@ -567,7 +598,7 @@ def _(t):
     return linking.expression_links(pairs, conditions).select("subject_entity_id", "target_entity_id", "relation_type")
 
 
-@query("lk6_relinked_after_changes", oracle("SELECT subject_entity_id, target_entity_id FROM m_links"))
+@query("lk6_relinked_unchanged", oracle("SELECT subject_entity_id, target_entity_id FROM m_links"))
 def _(t):
     parts = t.entities().where("type = 'part'")
     return linking.relinked(parts, t.entity_links(), "2024-11-01 00:00:00").select("subject_entity_id", "target_entity_id")
@@ -691,9 +722,9 @@ def _(t):
     return tools.get_fact_by_id(t, NATIONS + 10)
 
 
-@query("tool_get_entity_relations", oracle("SELECT n.id, n.name, min(depth) AS depth FROM walk JOIN m_entities n ON n.id = walk.id GROUP BY n.id, n.name", True, WALK.format(depth=1)))
+@query("tool_get_entity_relations", oracle("SELECT n.id, n.name, min(depth) AS depth FROM walk JOIN m_entities n ON n.id = walk.id GROUP BY n.id, n.name", True, WALK.format(depth=2)))
 def _(t):
-    nodes, _ = tools.get_entity_relations(t, NATIONS + 6, depth=1)
+    nodes, _ = tools.get_entity_relations(t, NATIONS + 6, depth=2)
     return nodes.select("id", "name", "depth")
 
 
@@ -702,6 +733,23 @@ def _(t):
     return tools.get_entity_links(t, 1)
 
 
-@query("tool_get_entity_dossier", oracle("SELECT 'entity' AS part, id, name AS text FROM m_entities WHERE id = 1 UNION ALL SELECT 'link', target_entity_id, 'same_as' FROM m_links WHERE subject_entity_id = 1"))
+#: A customer: the one fact about it leads to a nation, and on to a region and other customers.
+WHOM = CUSTOMERS + 7
+
+
+@query(
+    "tool_get_entity_dossier",
+    oracle(
+        f"SELECT 'entity' AS part, id, name AS text FROM m_entities WHERE id = {WHOM} UNION ALL SELECT 'fact', id, predicate FROM (SELECT * FROM m_facts WHERE status = 'approved' AND {WHOM} IN (subject_entity_id, object_entity_id) ORDER BY created_at DESC, id LIMIT 100) "
+        "UNION ALL SELECT 'node', n.id, n.name FROM (SELECT id, min(depth) AS depth FROM walk GROUP BY id) w JOIN m_entities n ON n.id = w.id WHERE w.depth = 1",
+        True,
+        WALK.format(depth=1).replace(str(NATIONS + 6), str(WHOM)),
+    ),
+)
+def _(t):
+    return tools.get_entity_dossier(t, WHOM, depth=1)
+
+
+@query("tool_get_entity_dossier_with_links", oracle("SELECT 'entity' AS part, id, name AS text FROM m_entities WHERE id = 1 UNION ALL SELECT 'node', e.id, e.name FROM m_links k JOIN m_entities e ON e.id = target_entity_id WHERE subject_entity_id = 1 UNION ALL SELECT 'link', target_entity_id, 'same_as' FROM m_links WHERE subject_entity_id = 1"))
 def _(t):
-    return tools.get_entity_dossier(t, 1, depth=1, relations=False)
+    return tools.get_entity_dossier(t, 1, depth=1)

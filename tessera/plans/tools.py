@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.model import CHUNKS_OF_A_DOCUMENT
 from tessera.operators import catalog, graph
 from tessera.operators.catalog import Page
 from tessera.operators.linking import first_links
@@ -90,7 +91,7 @@ def get_document_context(t, document_id: int, chunks: bool = True, entities: boo
     if chunks:
         out = out.union(catalog.by_id(t.chunks(), "document_id", document_id).select(F.lit("chunk"), "chunk_id", "chunk_text"))
     if entities:
-        own = catalog.by_id(catalog.entities_of_documents(t.chunk_entities(), t.chunks()), "document_id", document_id)
+        own = catalog.entities_of_documents(t.chunk_entities(), catalog.by_id(t.chunks(), "document_id", document_id))
         out = out.union(t.entities().join(own.select(F.col("entity_id").alias("id")), "id", "left_semi").select(F.lit("entity"), "id", "name"))
     if facts:
         own = catalog.by_id(t.fact_sources(), "document_id", document_id).select(F.col("fact_id").alias("id")).distinct()
@@ -100,7 +101,9 @@ def get_document_context(t, document_id: int, chunks: bool = True, entities: boo
 
 def get_chunk_by_id(t, chunk_id: int) -> DataFrame:
     """A chunk with its entities' names."""
-    one = catalog.by_id(t.chunks(), "chunk_id", chunk_id)
+    # a chunk's id tells its document, so that no other is cut
+    own = catalog.by_id(t.chunks(), "document_id", chunk_id // CHUNKS_OF_A_DOCUMENT)
+    one = catalog.by_id(own, "chunk_id", chunk_id)
     names = catalog.entities_of_chunks(catalog.by_id(t.chunk_entities(), "chunk_id", chunk_id), t.entities())
     return one.join(names, "chunk_id", "left").select("chunk_id", "document_id", "sequence_num", "chunk_text", F.array_join(F.coalesce("names", F.array().cast("array<string>")), ",").alias("entities"))
 

@@ -118,6 +118,18 @@ def settings(given: dict) -> Settings:
     return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
 
 
+def settings_from_yaml(source: str) -> Settings:
+    """Settings from a YAML text; an empty one has the defaults."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML settings need PyYAML; settings() takes a mapping") from e
+    given = yaml.safe_load(source)
+    if given is not None and not isinstance(given, dict):
+        raise ValueError("settings are a mapping")
+    return settings(given or {})
+
+
 def known_domains(documents: DataFrame) -> DataFrame:
     """(domain) of all documents, sorted, without empty ones."""
     return documents.select(F.explode("domains").alias("domain")).where("domain <> ''").distinct().orderBy("domain")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,21 @@ def windowed(events: DataFrame, width: str, late: str = "10 minutes") -> DataFra
     return rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("started"), "event_type", "n", "total")
 
 
+class Remembered:
+    """What a function gave for a key, for a time; then it is asked again."""
+
+    def __init__(self, make: Callable[[str], object], seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.make, self.seconds, self.clock = make, seconds, clock
+        self.held: dict[str, tuple[float, object]] = {}
+
+    def get(self, key: str) -> object:
+        """The value of a key, made where it is missing or too old."""
+        now = self.clock()
+        if key not in self.held or now - self.held[key][0] >= self.seconds:
+            self.held[key] = (now, self.make(key))
+        return self.held[key][1]
+
+
 class Current:
     """A table that readers share, swapped as a whole."""
 

@@ -78,6 +78,46 @@ def test_clusters_against_union_find(spark):
     assert {r.node: r.root for r in rows} == {x: root(x) for x in linked}
 
 
+def test_resolution_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["alpha beta", "alpha betta", "gamma", "Customer#0001", "über straße", "x", "ab", "a😀b c"]
+    names = []
+    for _ in range(120):
+        name = list(rng.choice(words))
+        for _ in range(rng.randrange(3)):
+            name[rng.randrange(len(name))] = rng.choice("abgxü 0")
+        names.append("".join(name))
+    rows = [(k, rng.choice(("p", "q")), n, rng.choice(("d", "e"))) for k, n in enumerate(names)]
+    shape = "id long, type string, name string, domain string"
+    norm = lambda n: " ".join(n.split()).lower()
+    grams = lambda n: {n[i : i + 2] for i in range(len(n) - 1)} or {n}
+    for threshold in (0.9, 0.75):
+        parent = list(range(len(rows)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows[:i]):
+                x, y = norm(a[2]), norm(b[2])
+                if a[1] == b[1] and a[3] == b[3] and (x == y or grams(x) & grams(y) and jaro_winkler(x, y) >= threshold):
+                    parent[max(root(i), root(j))] = min(root(i), root(j))
+        found = {r.id: r.entity_id for r in rs.resolve(spark.createDataFrame(rows, shape), threshold).collect()}
+        assert found == {k: root(k) for k in range(len(rows))}
+    stored, fresh = rows[:60], rows[60:]
+    best = {}
+    for a in fresh:
+        near = [(1.0 if norm(a[2]) == norm(b[2]) else jaro_winkler(norm(a[2]), norm(b[2])), -b[0]) for b in stored if a[1] == b[1] and a[3] == b[3] and (norm(a[2]) == norm(b[2]) or grams(norm(a[2])) & grams(norm(b[2])))]
+        top = max(near, default=(0, 0))
+        best[a[0]] = -top[1] if top[0] >= 0.9 else None
+    out = {r.id: r.stored_id for r in rs.match_stored(spark.createDataFrame(fresh, shape), spark.createDataFrame(stored, shape), 0.9).collect()}
+    assert out == best
+
+
 def test_resolution(spark):
     rows = [(1, "org", "Apple Inc.", "a"), (2, "org", "Apple", "a"), (3, "org", "Pear", "a"), (4, "person", "Apple", "a"), (5, "org", "Apple", "b"), (6, "org", " apple ", "a")]
     out = {r.id: r for r in rs.resolve(spark.createDataFrame(rows, ENTITY), 0.85).collect()}

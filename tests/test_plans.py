@@ -27,12 +27,15 @@ def test_either_end_is_found_without_comparing_all_pairs(spark, data):
     assert "NestedLoop" not in p and "Cartesian" not in p and "LeftSemi" in p
 
 
-def test_candidates_need_no_distinct(spark, data):
-    t = Tables(spark, data)
-    p = plan(resolution.candidate_pairs(t.entities()))
-    assert "NestedLoop" not in p and "Cartesian" not in p
-    # names are made one by their only aggregate; pairs are not
-    assert len(re.findall(r"\n.*HashAggregate\(keys=\[a#", p)) == 0
+def test_names_that_are_all_alike_meet_no_square(spark, data, monkeypatch):
+    met = []
+    real = resolution._met
+    monkeypatch.setattr(resolution, "_met", lambda left, right, threshold: met.append((left.count(), right.count())) or real(left, right, threshold))
+    customers = Tables(spark, data).entities().where("type = 'customer'")
+    linked = resolution.links(customers).count()
+    # neighbours have linked all customers but at the ends of partitions
+    assert customers.count() - 10 <= linked <= 2 * customers.count()
+    assert met[0][0] * met[0][1] < customers.count() ** 2 / 4
 
 
 def test_links_meet_by_name(spark, data):
