@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import batched, islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ WINDOW_WORDS = 10
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Every so many words of a shard keep their suffix's position; items sent to the executors at once.
-SAMPLED_EVERY, ITEMS_AT_ONCE = 8, 20_000
+SAMPLED_EVERY, ITEMS_AT_ONCE, PART_BYTES = 8, 20_000, 8 << 20
 #: Turns bytes that no word has into spaces, and A-Z into a-z.
 SPACED = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -224,9 +224,18 @@ def removal_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _parts(items: Iterator) -> Iterator[tuple]:
-    """Items in lists of ITEMS_AT_ONCE; one empty list if there are none."""
-    yield tuple(islice(items, ITEMS_AT_ONCE))
-    yield from batched(items, ITEMS_AT_ONCE)
+    """Items in lists of ITEMS_AT_ONCE items and PART_BYTES of text at most, but of one item at least; one empty list if there are none."""
+    part: list[tuple[str | None, str | None]] = []
+    held, none = 0, True
+    for item in items:
+        size = len((item[1] or "").encode())
+        if part and (len(part) >= ITEMS_AT_ONCE or held + size > PART_BYTES):
+            yield tuple(part)
+            part, held, none = [], 0, False
+        part.append(item)
+        held += size
+    if part or none:
+        yield tuple(part)
 
 
 RESULT = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("cleaned", pa.string())])
@@ -280,7 +289,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     A window is ``window`` consecutive words of an item, or all words of a shorter one. Null and
     empty texts have no words; items without words have no windows; a null item_id still hits,
     but is in no list. clean: also cleaned_text, null where nothing was hit. Input columns of the result's names are replaced. The phrases are sent to
-    the executors in parts of ITEMS_AT_ONCE items at most; each part reads the texts once.
+    the executors in parts of ITEMS_AT_ONCE items and PART_BYTES at most; each part reads the texts once.
     """
     items = ((r[0], r[1]) for r in benchmark.select(quoted(item_id).cast("string"), quoted(item_text)).toLocalIterator())
     out = df.select(*(quoted(c) for c in others(df, "n_words", "n_hit", "items", "removal_spans", *(["cleaned_text"] if clean else []))))

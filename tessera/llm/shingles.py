@@ -246,8 +246,8 @@ def _read(shared, size: int, similarity: float) -> Callable:
     return read
 
 
-def _sets(size: int) -> Callable:
-    """(key, fp, shingles) of each document's set, of most repeated ones once in a task."""
+def _sets(shared, size: int) -> Callable:
+    """(key, shingles) of each document's set, if a bitmap knows it; of most repeated ones once in a task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -255,7 +255,8 @@ def _sets(size: int) -> Callable:
             for _, part in in_parts(batch.column(0)):
                 found, bounds = shingle_sets(part, size)
                 own = {set_key(found[a:b]): (a, b) for a, b in zip(bounds.tolist(), bounds[1:].tolist())}
-                fresh = [k for k in own if k not in seen]
+                known = _known(np.fromiter(own, np.int64, len(own)), shared.value)
+                fresh = [k for k, here in zip(own, known.tolist()) if here and k not in seen]
                 seen.update(fresh)
                 if len(seen) > SETS_KEPT:
                     seen.clear()
@@ -366,19 +367,27 @@ def _confirm(similarity: float) -> Callable:
     return confirm
 
 
-def _marked(keys: DataFrame) -> Callable:
-    """A condition on a column that all of ``keys`` (column key) fulfil, and few others; its size does not depend on theirs."""
+def _marks(keys: DataFrame):
+    """A broadcast bitmap by which all of ``keys`` (column key), and few others, are known; its size does not depend on theirs."""
     bit = keys.select((F.pmod("key", F.lit(MARKS)) + 1).alias("bit"))
     marks = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     bits = np.zeros((MARKS >> 15, 1 << 12), np.uint8)
     for r in marks:
         bits[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits.ravel())
+    return keys.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def _known(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys % MARKS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _marked(shared):
+    """Whether a key is known by a bitmap."""
 
     @F.arrow_udf("boolean")
     def marked(keys: pa.Array) -> pa.Array:
-        at = keys.to_numpy(zero_copy_only=False) % MARKS
-        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+        return pa.array(_known(keys.to_numpy(zero_copy_only=False), shared.value))
 
     return marked
 
@@ -400,14 +409,15 @@ def one_of_each(df: DataFrame, propose: Callable[[DataFrame], DataFrame], doc_id
     met = written(heads.repartition(tasks, "shingle").mapInArrow(_partners(similarity), heads.schema))
     proposed = checkpoint(propose(sets.select("key", "fp")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     wanted = met.select("key").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("key")))
-    own = written(texts.select("text").mapInArrow(_sets(size), "key long, shingles binary").where(_marked(wanted)("key")))
+    # a stage has one function in Python, as each takes a worker of its own
+    own = written(texts.select("text").mapInArrow(_sets(_marks(wanted), size), "key long, shingles binary"))
 
     def links(roots: DataFrame, most: int | None, more: DataFrame | None) -> DataFrame:
         placed = met.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("shingle", "key", "n", "place", F.coalesce("root", "key").alias("root"))
         meetings = placed.repartition(tasks, "shingle").mapInArrow(_meet(similarity, most), "a long, b long, needed int")
         found = meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("a", "b")
         pairs = checkpoint(found.unionByName(more).distinct() if more is not None else found)
-        held = own.where(_marked(pairs.select(F.explode(F.array("a", "b")).alias("key")))("key")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+        held = own.where(_marked(_marks(pairs.select(F.explode(F.array("a", "b")).alias("key"))))("key")).groupBy("key").agg(F.first("shingles").alias("shingles"))
         a, b = (held.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
         return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(similarity), "u long, v long"))
 

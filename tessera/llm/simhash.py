@@ -32,6 +32,8 @@ SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
 #: Widths of the bands; MAX_BITS differing bits leave all but MAX_BITS bands equal.
 BANDS = (13, 13, 13, 13, 12)
 BLOCKS = list(combinations(range(len(BANDS)), len(BANDS) - MAX_BITS))
+#: Fingerprints' rows that meet in one task, on average.
+ROWS_IN_TASK = 1_000_000
 #: Shingles whose bits are counted at once, and node pairs that are expanded at once.
 SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 1 << 15, 1 << 20
 
@@ -193,7 +195,9 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     """(u, v): a spanning forest of the links among the different longs in column fp."""
     masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in map(_band_mask, BLOCKS)))
     blocks = prints.select("fp", F.posexplode(masks).alias("block", "mask")).select(F.col("block").cast("int").alias("block"), "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("shared"))
-    return blocks.repartition("block", "shared").select("block", "fp").mapInArrow(_link_blocks, "u long, v long").distinct()
+    # a task holds its blocks at once, so the number of tasks follows the data
+    tasks = max(8, prints.count() * len(BLOCKS) // ROWS_IN_TASK)
+    return blocks.repartition(tasks, "block", "shared").select("block", "fp").mapInArrow(_link_blocks, "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

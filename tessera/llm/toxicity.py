@@ -154,8 +154,8 @@ def contrast_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 
 def ordinary_content(texts: list[str]) -> bytes:
-    """What zstandard's trainer keeps of windows of about 64 bytes."""
-    samples = [b" ".join(words[i : i + 9]) for text in texts for words in spaced_words(lowered(text)) for i in range(0, len(words), 9)][:100_000]
+    """What zstandard's trainer keeps of windows of about 64 bytes; of all windows of the bounded sample."""
+    samples = [b" ".join(words[i : i + 9]) for text in texts for words in spaced_words(lowered(text)) for i in range(0, len(words), 9)]
     try:
         return zstandard.train_dictionary(2 * ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
     except zstandard.ZstdError:  # the trainer asks for more text than there is
