@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import fold, quoted, table
-from tessera.llm.words import lowered, spaced_words
+from tessera.llm.words import lowered, released, spaced_words
 from tessera.session import written
 
 #: Words clustered on the driver, classes, rounds of exchanges of these words, and of the whole vocabulary.
@@ -435,7 +435,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", is_tr
     spark = df.sparkSession
     rows = df.select(quoted(doc_id).cast("long").alias("doc"), F.coalesce(F.expr(is_training or "true"), F.lit(False)).alias("training"), quoted(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = written(rows.mapInArrow(_blocks(max(1, math.ceil(size / BUCKET_BYTES))), BLOCKS))
+    blocks = written(rows.mapInArrow(released(_blocks(max(1, math.ceil(size / BUCKET_BYTES)))), BLOCKS))
     texts = blocks.where("bucket < 0").select("block", "x", "y", "z", "w")
     answers = written(blocks.where("bucket >= 0").select("block", "bucket", "x", "y", "z").groupBy("bucket").applyInArrow(_count(seed_words), ANSWERS))
     seen = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "different", "once"))).first()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import others, quoted, table
-from tessera.llm.words import spaced_words
+from tessera.llm.words import released, spaced_words
 
 WINDOW_WORDS = 10
 #: Bytes of text in a shard; a longer document is a shard of its own.
@@ -266,8 +266,8 @@ def _finder(shared: Broadcast, clean: bool):
     One function finds and cleans, as each function in a stage takes a worker of its own.
     """
 
-    @F.arrow_udf("struct<n_words: long, items: array<string>, hits: array<long>, spans: array<struct<begin: long, end: long>>, cleaned: string>")
-    def found(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @released
+    def search_all(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, hits, items in batches:
             rows = []
             for shard in shards(texts.to_pylist()):
@@ -280,6 +280,10 @@ def _finder(shared: Broadcast, clean: bool):
                     rows.append({"n_words": n, "items": ids, "hits": hit.tolist(), "spans": [{"begin": a, "end": b} for a, b in spans], "cleaned": without_spans(value, spans) if clean and spans else None})
             yield pa.array(rows, RESULT)
 
+    @F.arrow_udf("struct<n_words: long, items: array<string>, hits: array<long>, spans: array<struct<begin: long, end: long>>, cleaned: string>")
+    def found(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from search_all(batches)
+
     return found
 
 

@@ -12,6 +12,7 @@ language and the n-grams in them); prediction reads every whole text.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.tables import fold, quoted, table
+from tessera.llm.words import released
 
 #: Bounds of the sample and of the model.
 DOCS_PER_LANGUAGE = 1500
 WORDS_PER_LANGUAGE = 20_000
 LONGEST_GRAM = 4
+#: Languages whose shares are sent to every task.
+MOST_SENT = 10_000
 #: Unseen words that a worker remembers; longer ones than MEMO_LETTERS are never kept.
 MEMO_WORDS, MEMO_LETTERS = 50_000, 40
 UNKNOWN = "und"
@@ -94,9 +98,12 @@ def fit(training: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_p
     # a text's hash decides alone, so that no task sees a language's texts: of the share that its different texts allow
     share = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.approx_count_distinct("h"))
     bounds = rows.groupBy("lang").agg(share.alias("share"))
+    few = bounds.limit(MOST_SENT + 1).collect()
+    if len(few) <= MOST_SENT:  # else both sides are dealt by language
+        bounds = F.broadcast(training.sparkSession.createDataFrame(few, "lang string, share double"))
     place = F.shiftrightunsigned("h", 12) / float(1 << 52)
     sample = rows.join(bounds, "lang").where(place < F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
-    counts = sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(released(count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     kept = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= words_per_language)
     return model_from_counts([(r.lang, r.word, r.n) for r in kept.select("lang", "word", "n").collect()])
@@ -152,15 +159,20 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     Null texts, empty ones and those without a letter get ``und`` and 0. Ties go to the language
     that sorts first. A model without languages gives ``und`` throughout.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # as bytes: a worker holds on to what was broadcast, but to its tables only for a task
+    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(shared.value)
+    @released
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(pickle.loads(shared.value))
         for batch in batches:
             pairs = [scorer.predict(x.as_py()) for x in batch]
             yield pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], names=["lang_pred", "score"])
 
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from predict(batches)
+
     found = "__language"
     out = df.withColumn(found, predicted(quoted(text)))
     return out.withColumns({"lang_pred": F.col(found)["lang_pred"], "score": F.col(found)["score"]}).drop(found)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from tessera.llm.tables import quoted, table
+from tessera.llm.words import released
 
 CAPACITY, END = 2048, 0
 #: Pieces that are packed together.
@@ -283,7 +284,7 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     key = keyed.schema["doc_id"].dataType
     columns = [StructField("doc_id", key), StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32"))]
     ids = StructField("ids", BinaryType())
-    pieces = keyed.mapInArrow(_piece_rows(groups, capacity, tokenizer, ranks, with_ids), StructType([*columns, StructField("group", IntegerType()), ids]))
+    pieces = keyed.mapInArrow(released(_piece_rows(groups, capacity, tokenizer, ranks, with_ids)), StructType([*columns, StructField("group", IntegerType()), ids]))
     return pieces.groupBy("group").applyInArrow(_packer(capacity), StructType([*columns, ids, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 

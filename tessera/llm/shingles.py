@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.tables import quoted
-from tessera.llm.words import PIECE_BYTES, SPACE, lowered
+from tessera.llm.words import PIECE_BYTES, SPACE, lowered, released
 from tessera.session import checkpoint, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -189,13 +189,18 @@ def set_print(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def key_column(text: str = "text", size: int = SHINGLE_WORDS):
     """The key of a text's set."""
 
+    @released
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for _, part in in_parts(texts):
+                found, bounds = shingle_sets(part, size)
+                out += [set_key(found[a:b]) for a, b in zip(bounds, bounds[1:])]
+            yield pa.array(out, pa.int64())
+
     @F.arrow_udf("long")
-    def keys(texts: pa.Array) -> pa.Array:
-        out = []
-        for _, part in in_parts(texts):
-            found, bounds = shingle_sets(part, size)
-            out += [set_key(found[a:b]) for a, b in zip(bounds, bounds[1:])]
-        return pa.array(out, pa.int64())
+    def keys(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from of(texts)
 
     return keys(quoted(text))
 
@@ -215,7 +220,7 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     share = max(1, texts.count() // SAMPLE)
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct()
-    often = some.mapInArrow(read, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN)
+    often = some.mapInArrow(released(read), "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN)
     rows = often.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()
     found, count = rows["shingle"].to_numpy().view(np.uint64), rows["count"].to_numpy()
     turn = np.empty(len(found), np.int64)
@@ -402,24 +407,24 @@ def one_of_each(df: DataFrame, propose: Callable[[DataFrame], DataFrame], doc_id
     texts = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     shared = spark.sparkContext.broadcast(_frequent(texts, size))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    read = written(texts.mapInArrow(_read(shared, size, similarity), f"doc_id {kind}, key long, fp long, n int, prefix binary"))
+    read = written(texts.mapInArrow(released(_read(shared, size, similarity)), f"doc_id {kind}, key long, fp long, n int, prefix binary"))
     sets = checkpoint(read.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
     tasks = max(8, (read.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8 // ROWS_IN_TASK)
-    heads = read.select("key", "n", "prefix").mapInArrow(_prefixes, "shingle long, key long, n int, place int")
-    met = written(heads.repartition(tasks, "shingle").mapInArrow(_partners(similarity), heads.schema))
+    heads = read.select("key", "n", "prefix").mapInArrow(released(_prefixes), "shingle long, key long, n int, place int")
+    met = written(heads.repartition(tasks, "shingle").mapInArrow(released(_partners(similarity)), heads.schema))
     proposed = checkpoint(propose(sets.select("key", "fp")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     wanted = met.select("key").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("key")))
     # a stage has one function in Python, as each takes a worker of its own
-    own = written(texts.select("text").mapInArrow(_sets(_marks(wanted), size), "key long, shingles binary"))
+    own = written(texts.select("text").mapInArrow(released(_sets(_marks(wanted), size)), "key long, shingles binary"))
 
     def links(roots: DataFrame, most: int | None, more: DataFrame | None) -> DataFrame:
         placed = met.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("shingle", "key", "n", "place", F.coalesce("root", "key").alias("root"))
-        meetings = placed.repartition(tasks, "shingle").mapInArrow(_meet(similarity, most), "a long, b long, needed int")
+        meetings = placed.repartition(tasks, "shingle").mapInArrow(released(_meet(similarity, most)), "a long, b long, needed int")
         found = meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("a", "b")
         pairs = checkpoint(found.unionByName(more).distinct() if more is not None else found)
         held = own.where(_marked(_marks(pairs.select(F.explode(F.array("a", "b")).alias("key"))))("key")).groupBy("key").agg(F.first("shingles").alias("shingles"))
         a, b = (held.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-        return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set").mapInArrow(_confirm(similarity), "u long, v long"))
+        return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set").mapInArrow(released(_confirm(similarity)), "u long, v long"))
 
     near = links(spark.createDataFrame([], "node long, root long"), FIRST, proposed)
     far = links(connected_components(near), None, None)

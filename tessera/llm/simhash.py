@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType
 from tessera.llm import shingles
 from tessera.llm.components import connected_components
 from tessera.llm.tables import quoted, table
-from tessera.llm.words import lowered, spaced_words
+from tessera.llm.words import lowered, released, spaced_words
 from tessera.session import checkpoint
 
 #: The contract's parameters.
@@ -197,7 +197,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     blocks = prints.select("fp", F.posexplode(masks).alias("block", "mask")).select(F.col("block").cast("int").alias("block"), "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("shared"))
     # a task holds its blocks at once, so the number of tasks follows the data
     tasks = max(8, prints.count() * len(BLOCKS) // ROWS_IN_TASK)
-    return blocks.repartition(tasks, "block", "shared").select("block", "fp").mapInArrow(_link_blocks, "u long, v long").distinct()
+    return blocks.repartition(tasks, "block", "shared").select("block", "fp").mapInArrow(released(_link_blocks), "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import fold, quoted, table
-from tessera.llm.words import lowered, spaced_words
+from tessera.llm.words import lowered, released, spaced_words
 
 #: Bounds of the training sample: different texts of each class, none of more bytes than this.
 TOXIC_DOCS, ORDINARY_DOCS, LONGEST_DOC = 1500, 3500, 32 << 10
@@ -215,8 +215,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> D
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @released
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         measured = Differences(m.toxic, m.ordinary) if m.weights is not None else None
         for batch in batches:
@@ -227,6 +227,10 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> D
             z = np.c_[(x - m.centre) / m.scale, np.ones(len(x))] @ m.weights if len(x) else np.empty(0)
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from rate(batches)
+
     return df.withColumn("score", scored(quoted(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
