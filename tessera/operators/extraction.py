@@ -55,6 +55,18 @@ def by_model(chunks: DataFrame, recognise: Callable[[str], list[dict]], text: st
     return chunks.select(key, text).mapInPandas(run, f"{key} {kind}, name string, type string, domain string, confidence double")
 
 
+def relations_by_model(chunks: DataFrame, relate: Callable[[str], list[dict]], text: str = "chunk_text", key: str = "chunk_id") -> DataFrame:
+    """(key, subject_name, predicate, object_name, confidence) from a finder of relations in single texts, run in batches where the chunks are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, r["subject"], r["predicate"], r["object"], float(r.get("confidence", UNSTATED))) for k, t in zip(batch[key], batch[text]) for r in relate(t or "")]
+            yield pd.DataFrame(rows, columns=[key, "subject_name", "predicate", "object_name", "confidence"])
+
+    kind = dict(chunks.dtypes)[key]
+    return chunks.select(key, text).mapInPandas(run, f"{key} {kind}, subject_name string, predicate string, object_name string, confidence double")
+
+
 #: A capitalised word, and the words after which one is a person, a place or an organisation rather than any name.
 NAME = r"\p{Lu}[\p{L}\p{N}'-]+"
 TITLES, PLACES, FIRMS = ("mr", "mrs", "ms", "dr", "prof"), ("in", "at", "from", "near"), ("inc", "corp", "ltd", "gmbh", "llc")

@@ -156,9 +156,9 @@ def lookup_or_create(fresh: DataFrame, stored: DataFrame, threshold: float = THR
     The batch is clustered first; a cluster that matches a stored entity becomes that, which takes
     over its name if that is longer; the others are added.
     """
-    clustered = resolve(fresh, threshold)
+    clustered = checkpoint(resolve(fresh, threshold))
     kept = fresh.join(clustered.select(F.col("entity_id").alias("id"), "canonical").distinct(), "id").select("id", "type", F.col("canonical").alias("name"), "domain")
-    matches = match_stored(kept, stored, threshold)
+    matches = checkpoint(match_stored(kept, stored, threshold))
     found = kept.join(matches.where("stored_id IS NOT NULL"), "id")
     longer = found.groupBy(F.col("stored_id").alias("id")).agg(F.max_by("name", F.struct(F.length("name"), -F.col("id"))).alias("new_name"))
     updated = stored.join(longer, "id", "left").withColumn("name", F.when(F.length("new_name") > F.length("name"), F.col("new_name")).otherwise(F.col("name"))).drop("new_name")

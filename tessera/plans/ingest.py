@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, quote_window
-from tessera.operators import extraction, maintenance, resolution
+from tessera.operators import extraction, linking, maintenance, resolution
 from tessera.operators.chunking import chunk, json_chunks
+from tessera.session import checkpoint
 
 #: Texts that go to a provider at once.
 PROVIDER_BATCH = 100
@@ -120,20 +121,48 @@ def facts_upserted(stored: DataFrame, sources: DataFrame, fresh: DataFrame) -> t
     return maintenance.fact_weights(facts, all_sources), all_sources
 
 
-def ingested(tables: dict[str, DataFrame], documents: DataFrame, rules: list[extraction.Rule], strategy: str = "fixed", size: int = 1000, overlap: int = 100) -> dict[str, DataFrame]:
-    """All tables after documents were read: unchanged ones are skipped, changed ones replace what came from them before."""
-    fresh = maintenance.changed_documents(documents, tables["documents"])
+def ingested(
+    tables: dict[str, DataFrame],
+    documents: DataFrame,
+    rules: list[extraction.Rule],
+    strategy: str = "fixed",
+    size: int = 1000,
+    overlap: int = 100,
+    make: Callable[[], EmbeddingProvider] | None = None,
+    relate: Callable[[str], list[dict]] | None = None,
+    link: bool = False,
+) -> dict[str, DataFrame]:
+    """All tables after documents were read: unchanged ones are skipped, changed ones replace what came from them before.
+
+    make: a provider of vectors for the new chunks. relate: a finder of relations, of which those between
+    entities of one chunk become facts. link: new entities are linked to those of other domains by equal names.
+    """
+    # what the tables share is computed once
+    fresh = checkpoint(maintenance.changed_documents(documents, tables["documents"]))
     out = maintenance.cleared(tables, fresh.select("id"))
     out["documents"] = out["documents"].unionByName(fresh.select(*(c for c in fresh.columns if c in out["documents"].columns)), allowMissingColumns=True)
-    chunks = chunks_from(fresh, strategy, size, overlap).withColumn("chunk_id", F.pmod(F.xxhash64("document_id", "sequence_num"), F.lit(1 << 53)))
+    chunks = checkpoint(chunks_from(fresh, strategy, size, overlap).withColumn("chunk_id", F.pmod(F.xxhash64("document_id", "sequence_num"), F.lit(1 << 53))))
     out["chunks"] = out["chunks"].unionByName(chunks.select("chunk_id", "document_id", "chunk_text", "sequence_num"), allowMissingColumns=True)
     domain = fresh.select(F.col("id").alias("document_id"), F.coalesce(F.get("domains", 0), F.lit("")).alias("domain"))
     found = extraction.by_rules(chunks, rules).drop("domain").join(chunks.select("chunk_id", "document_id"), "chunk_id").join(domain, "document_id")
-    named = found.withColumn("id", F.pmod(F.xxhash64("type", F.lower("name"), "domain"), F.lit(1 << 53)))
+    named = checkpoint(found.withColumn("id", F.pmod(F.xxhash64("type", F.lower("name"), "domain"), F.lit(1 << 53))))
     entities = named.groupBy("id").agg(F.first("type").alias("type"), F.min("name").alias("name"), F.first("domain").alias("domain"), F.max("confidence").alias("confidence"))
-    stored, where = resolution.lookup_or_create(entities, out["entities"])
+    stored, where = map(checkpoint, resolution.lookup_or_create(checkpoint(entities), out["entities"]))
     out["entities"] = stored
     placed = named.select(F.col("id"), "chunk_id", "document_id").join(where, "id")
     out["chunk_entities"] = maintenance.appended(out["chunk_entities"], placed.select("chunk_id", "entity_id"), ["chunk_id", "entity_id"])
     out["entity_sources"] = maintenance.appended(out["entity_sources"], placed.select("entity_id", "document_id"), ["entity_id", "document_id"])
+    if make is not None:
+        out["vectors"] = maintenance.replaced(out["vectors"], embedded(chunks, make).select("chunk_id", "vector"), ["chunk_id"])
+    if relate is not None:
+        ends = named.select("id", "chunk_id", F.lower("name").alias("called"), "domain").join(where, "id").select("chunk_id", "called", "domain", "entity_id").distinct()
+        subject, target = (ends.select("chunk_id", F.col("called").alias(f"{k}_called"), F.col("entity_id").alias(f"{k}_entity_id"), F.col("domain").alias(f"{k}_domain")) for k in ("subject", "object"))
+        said = extraction.relations_by_model(chunks, relate).withColumns({f"{k}_called": F.lower(F.trim(f"{k}_name")) for k in ("subject", "object")})
+        whole = said.join(subject, ["chunk_id", "subject_called"]).join(target, ["chunk_id", "object_called"]).join(chunks.select("chunk_id", "document_id", "chunk_text"), "chunk_id")
+        fresh_facts = whole.where("subject_domain = object_domain").select("subject_entity_id", "predicate", "object_entity_id", F.col("subject_domain").alias("domain"), "document_id", "chunk_text", "subject_name")
+        out["facts"], out["fact_sources"] = facts_upserted(out["facts"], out["fact_sources"], fresh_facts)
+    if link:
+        new = stored.select("id").join(tables["entities"].select("id"), "id", "left_anti")
+        pairs = linking.cross_domain_pairs(stored, new)
+        out["entity_links"] = linking.merged([linking.equal_name_links(stored, 1, pairs)], out["entity_links"])
     return out

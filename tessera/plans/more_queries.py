@@ -6,6 +6,7 @@ Where an operator reads files, rows of the given tables are written as such file
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from tessera.operators import catalog, chunking, extraction, graph, linking, mai
 from tessera.operators import search as se
 from tessera.plans import ingest, providers, tools
 from tessera.plans.queries import _bm25, _graph, query
-from tessera.session import shared_dir
+from tessera.session import shared_dir, written
 from tessera.sources import files, ontology, synthetic
 from tessera.sources.store import KeyValues, Store
 from tessera.streaming.ingest import Current, Remembered, on_changes, watched_files
@@ -410,10 +411,35 @@ def _(t):
     return facts.groupBy("predicate", "weight").agg(F.count("*").alias("n"))
 
 
+#: Names in the texts of the next query, and its chunks.
+NAMED = r"x([a-z])\1{11}"
+CUT = "SELECT sum(1 + greatest(0, CAST(ceil((length(text) + 32 - 1000) / 900e0) AS BIGINT))) FROM documents"
+
+
+@query("snk1_ex11_ex13_ingested_tables", f"SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'chunks', ({CUT}) UNION ALL SELECT 'vectors', ({CUT}) UNION ALL SELECT 'facts', count(DISTINCT lang || source) FROM documents")
+def _(t):
+    # half of the documents are stored already, a third of these with another text; each text names its source and another thing
+    names = F.concat(F.lit("x"), F.expr("repeat(char(97 + cast(substr(source, 4) AS int)), 12)"), F.lit(" and x" + "z" * 12))
+    d = t.raw("documents").select("doc_id", "lang", F.concat(names, F.lit("\n"), "text").alias("text"), "source")
+    documents = d.select(F.col("doc_id").alias("id"), F.lit("markdown").alias("source_type"), F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("original_path"), F.array("lang").alias("domains"), tx.content_hash(F.col("text")).alias("content_hash"), "text")
+    shapes = {"chunks": "chunk_id long, document_id long, chunk_text string, sequence_num int", "vectors": "chunk_id long, vector array<float>", "entities": "id long, type string, name string, domain string, confidence double", "facts": "id long, subject_entity_id long, predicate string, object_entity_id long, domain string, status string", "fact_sources": "fact_id long, document_id long, quote string", "entity_sources": "entity_id long, document_id long", "chunk_entities": "chunk_id long, entity_id long", "entity_links": "subject_entity_id long, target_entity_id long, relation_type string, method string, confidence double"}
+    tables = {k: t.spark.createDataFrame([], v) for k, v in shapes.items()} | {"documents": documents.where("false")}
+
+    def relate(text: str) -> list[dict]:
+        named = [m[0] for m in re.finditer(NAMED, text)]
+        return [{"subject": named[0], "predicate": "beside", "object": named[1]}] if len(named) > 1 else []
+
+    rules = [extraction.Rule(NAMED, "source")]
+    stored = documents.where("id % 2 = 0").withColumn("content_hash", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("content_hash")))
+    first = {k: written(v) for k, v in ingest.ingested(tables, stored, rules, make=ingest.HashedWords, relate=relate, link=True).items()}
+    second = ingest.ingested(first, documents, rules, make=ingest.HashedWords, relate=relate, link=True)
+    return catalog.table_counts({k: second[k] for k in ("documents", "chunks", "vectors", "facts")})
+
+
 @query("lk4_ud5_decided_links", oracle("SELECT a_id AS subject_entity_id, b_id AS target_entity_id, CASE WHEN a_id % 2 = 0 THEN 0.9e0 ELSE 0.75e0 END AS confidence FROM m_pairs WHERE (a_id + b_id) % 3 <> 0"))
 def _(t):
     def answer(prompt: str) -> str:
-        a, b = (int(x.split("|")[1]) for x in prompt.split("\n\n", 1)[1].split("\n")[:2])
+        a, b = (int(x) for x in re.findall(r"\|(\d+)\|", prompt)[:2])
         return 'Surely: {"same": true, "confidence": ' + str((0.9 if a % 2 == 0 else 0.75) if (a + b) % 3 else 0.2) + "}"
 
     pairs = linking.cross_domain_pairs(t.entities())

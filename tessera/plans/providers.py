@@ -21,11 +21,13 @@ from tessera.operators.extraction import UNSTATED
 
 #: Built-in prompts; a file of the same name in a folder of the user's own goes first.
 PROMPTS = {
-    "entities": "Name the entities of the types $types in this text, as JSON {\"entities\": [{\"name\", \"type\", \"confidence\"}]}.\n\n$text",
+    "entities": "Name the entities of the types $types in this text, their attributes, and the relations $relations between them, as JSON {\"entities\": [{\"name\", \"type\", \"description\", \"confidence\"}], \"relations\": [{\"subject\", \"predicate\", \"object\", \"confidence\"}]}.\n\n$text",
     "same": "Are these the same entity? Answer as JSON {\"same\", \"confidence\", \"reason\"}.\n\n$a\n$b",
 }
 #: Longest name that is taken for one.
 LONGEST_NAME = 200
+#: Characters of an entity's context that a decider is shown.
+LONGEST_CONTEXT = 500
 
 
 @dataclass
@@ -67,7 +69,24 @@ def entities_in(answer: str, types: list[str]) -> list[dict]:
         name, kind = str(e.get("name") or "").strip(), str(e.get("type") or "").strip().lower()
         if 0 < len(name) <= LONGEST_NAME and kind in types:
             stated = e.get("confidence")
-            out.append({"name": name, "type": kind, "confidence": min(1.0, max(0.0, float(stated))) if isinstance(stated, (int, float)) and not isinstance(stated, bool) else UNSTATED})
+            out.append({"name": name, "type": kind, "description": str(e.get("description") or "").strip(), "confidence": _stated(stated)})
+    return out
+
+
+def _stated(confidence: object) -> float:
+    """A confidence cut to 0 to 1; UNSTATED if it is no number."""
+    return min(1.0, max(0.0, float(confidence))) if isinstance(confidence, (int, float)) and not isinstance(confidence, bool) else UNSTATED
+
+
+def relations_in(answer: str, predicates: list[str]) -> list[dict]:
+    """Relations of known predicates between named ends in an answer."""
+    out = []
+    for r in json_in(answer).get("relations", []) or []:
+        if not isinstance(r, dict):
+            continue
+        subject, predicate, target = (str(r.get(k) or "").strip() for k in ("subject", "predicate", "object"))
+        if 0 < len(subject) <= LONGEST_NAME and 0 < len(target) <= LONGEST_NAME and predicate.lower() in predicates:
+            out.append({"subject": subject, "predicate": predicate.lower(), "object": target, "confidence": _stated(r.get("confidence"))})
     return out
 
 
@@ -93,17 +112,35 @@ def recogniser(model: Callable[[str], str], types: list[str], prompts: Prompts |
     known = [t.lower() for t in types]
 
     def recognise(text: str) -> list[dict]:
-        return entities_in(model(shown.fill("entities", types=", ".join(known), text=text)), known) if text.strip() else []
+        return entities_in(model(shown.fill("entities", types=", ".join(known), relations="", text=text)), known) if text.strip() else []
 
     return recognise
 
 
+def relater(model: Callable[[str], str], types: list[str], predicates: list[str], prompts: Prompts | None = None) -> Callable[[str], list[dict]]:
+    """A finder of relations for ``extraction.relations_by_model``; it asks what the recogniser asks, so that a cached answer serves both."""
+    shown = prompts or Prompts()
+    known, wanted = [t.lower() for t in types], [p.lower() for p in predicates]
+
+    def relate(text: str) -> list[dict]:
+        return relations_in(model(shown.fill("entities", types=", ".join(known), relations=", ".join(wanted), text=text)), wanted) if text.strip() else []
+
+    return relate
+
+
+def described(entity: dict) -> str:
+    """What a decider is shown of an entity: name, type, domain, description and the beginning of its contexts."""
+    about = ", ".join(str(entity[k]) for k in ("type", "domain") if entity.get(k))
+    parts = [f"{entity['name']} ({about})" if about else str(entity["name"]), str(entity.get("description") or ""), str(entity.get("context") or "")[:LONGEST_CONTEXT]]
+    return " - ".join(" ".join(p.split()) for p in parts if p)
+
+
 def decider(model: Callable[[str], str], prompts: Prompts | None = None) -> Callable[[dict, dict], tuple[bool, float, str]]:
     """A decider for ``linking.decided_links``; what is no answer decides nothing."""
     shown = prompts or Prompts()
 
     def decide(a: dict, b: dict) -> tuple[bool, float, str]:
-        given = json_in(model(shown.fill("same", a=str(a["name"]), b=str(b["name"]))))
+        given = json_in(model(shown.fill("same", a=described(a), b=described(b))))
         confidence = given.get("confidence")
         return given.get("same") is True, float(confidence) if isinstance(confidence, (int, float)) else 0.0, str(given.get("reason", ""))
 
