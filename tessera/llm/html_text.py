@@ -245,7 +245,8 @@ def main_text(source: str | None) -> str:
 def extract_text(df: DataFrame, column: str = "html") -> DataFrame:
     """``df`` with text and n_chars (code points of it); input columns of these names are replaced.
 
-    Null and empty pages, and pages without main text, have the empty text.
+    Null and empty pages, and pages without main text, have the empty text. Repeated rows are rows like
+    others; an empty table stays empty; all other columns are kept. A page is taken whole, however long.
     """
 
     @F.arrow_udf("string")

@@ -30,7 +30,7 @@ from tessera.session import checkpoint
 
 NEIGHBOURS, EVERY = 20, 20
 #: Trees; rows that a leaf is to hold; fewest leaves of a tree, and most, as the sample must still split them; fuller leaves are dealt in blocks.
-TREES, LEAF_ROWS, FEWEST_LEAVES, MOST_LEAVES = 4, 256, 32, 256
+TREES, LEAF_ROWS, FEWEST_LEAVES, MOST_LEAVES = 4, 512, 32, 128
 #: Vectors in the sample, queries that calibrate the search on it, and the recall they must reach there.
 SAMPLE, TRIALS, RECALL, SEED = 8192, 256, 0.94, 42
 #: Rows and queries of a leaf that meet in one task at most, on average.
