@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
 from tessera.llm.tables import quoted
 from tessera.llm.words import PIECE_BYTES, SPACE, lowered, released
+from tessera.operators.components import connected_components
 from tessera.session import checkpoint, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tessera.llm import shingles
-from tessera.llm.components import connected_components
 from tessera.llm.tables import quoted, table
 from tessera.llm.words import lowered, released, spaced_words
+from tessera.operators.components import connected_components
 from tessera.session import checkpoint
 
 #: The contract's parameters.

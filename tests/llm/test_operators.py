@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import brown_lm, decontamination, html_text, language, neighbours, packing, sharding, simhash, toxicity, url_filter
-from tessera.llm.components import connected_components
+from tessera.operators.components import connected_components
 from tessera.llm.queries import ORACLES, QUERIES
 from tessera.llm.tables import table
 
