@@ -28,8 +28,8 @@ def content_hash(text: Column) -> Column:
 
 
 def pair_key(a: Column, b: Column) -> Column:
-    """A key of an ordered pair: a decision about one order is not looked up for the other."""
-    return F.sha2(F.concat_ws("|", a, b).cast("binary"), 256)
+    """A key of a pair, the same for either order, so that a decision is found whichever comes first."""
+    return F.sha2(F.concat_ws("|", F.least(a, b), F.greatest(a, b)).cast("binary"), 256)
 
 
 def tokens(text: Column) -> Column:

@@ -319,7 +319,7 @@ def _(t):
 # scalar functions
 
 
-@query("sc6_pair_keys", oracle("SELECT a_id, b_id, sha256(a_id || '|' || b_id) AS key FROM m_pairs"))
+@query("sc6_pair_keys", oracle("SELECT a_id, b_id, sha256(least(CAST(a_id AS VARCHAR), CAST(b_id AS VARCHAR)) || '|' || greatest(CAST(a_id AS VARCHAR), CAST(b_id AS VARCHAR))) AS key FROM m_pairs"))
 def _(t):
     pairs = linking.cross_domain_pairs(t.entities())
     a, b = F.col("A.id"), F.col("B.id")
