@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import pairwise
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.tables import quoted
 from tessera.llm.words import PIECE_BYTES, SPACE, lowered, released
@@ -33,6 +35,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SAMPLE, OFTEN, MOST_FREQUENT = 5000, 3, 200_000
 #: Sets that a task remembers; pairs that are made at once; bits that tell which sets have candidates.
 SETS_KEPT, PAIRS_AT_ONCE, MARKS = 1 << 18, 1 << 20, 1 << 25
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8 << 20
 #: Prefix rows that meet in one task, on average.
 ROWS_IN_TASK = 400_000
 #: Neighbours in a meeting that are confirmed first.
@@ -186,25 +190,6 @@ def set_print(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def key_column(text: str = "text", size: int = SHINGLE_WORDS):
-    """The key of a text's set."""
-
-    @released
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = []
-            for _, part in in_parts(texts):
-                found, bounds = shingle_sets(part, size)
-                out += [set_key(found[a:b]) for a, b in zip(bounds, bounds[1:])]
-            yield pa.array(out, pa.int64())
-
-    @F.arrow_udf("long")
-    def keys(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from of(texts)
-
-    return keys(quoted(text))
-
-
 def prefix_length(n: int, similarity: float) -> int:
     """How many first shingles of a set hold COMMON in common with every similar set; all of a small one."""
     return min(n, n - math.ceil(similarity * n - ROOM) + COMMON)
@@ -387,16 +372,43 @@ def _known(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _marked(shared):
-    """Whether a key is known by a bitmap."""
+def _marked(shared) -> Callable:
+    """Rows (key, ...) whose key is known by a bitmap."""
 
-    @F.arrow_udf("boolean")
-    def marked(keys: pa.Array) -> pa.Array:
-        return pa.array(_known(keys.to_numpy(zero_copy_only=False), shared.value))
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_known(batch.column(0).to_numpy(zero_copy_only=False), shared.value)))
 
     return marked
 
 
+def _keyed(text: str, size: int) -> Callable:
+    """(row, key) of rows as structs, by their text."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            texts = row.field(row.type.get_field_index(text))
+            for first, part in in_parts(texts):
+                found, bounds = shingle_sets(part, size)
+                keys = [set_key(found[a:b]) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([row.slice(first, len(part)), pa.array(keys, pa.int64())], names=["row", "key"])
+
+    return keyed
+
+
+@contextmanager
+def _small_batches(spark) -> Iterator[None]:
+    """What runs inside moves rows of sets to Python and back by BATCH_BYTES at once, which are held four times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def one_of_each(df: DataFrame, propose: Callable[[DataFrame], DataFrame], doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with one row of each component of texts that are similar, also by way of others: that with the smallest id, null ids last.
 
@@ -405,6 +417,21 @@ def one_of_each(df: DataFrame, propose: Callable[[DataFrame], DataFrame], doc_id
     """
     spark = df.sparkSession
     texts = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    with _small_batches(spark):
+        sets, stars = _components(texts, propose, size, similarity)
+    first = F.struct(F.col("least").isNull(), F.col("least"), F.col("key"))
+    kept = sets.join(stars, sets["key"] == stars["node"], "left").groupBy(F.coalesce("root", "key")).agg(F.min(first).alias("best")).select(F.col("best.key").alias("key"))
+    # the rows' own columns stay inside a struct, so that none can clash with these
+    rows = df.select(F.struct(*(quoted(c) for c in df.columns)).alias("row"))
+    held = rows.mapInArrow(released(_keyed(text, size)), StructType([*rows.schema.fields, StructField("key", LongType())]))
+    keyed = held.select("row", "key", F.col("row")[doc_id].alias("id"))
+    one = keyed.withColumn("place", F.expr("row_number() OVER (PARTITION BY key ORDER BY id ASC NULLS LAST)")).where("place = 1")
+    return one.join(kept, "key", "left_semi").select("row.*")
+
+
+def _components(texts: DataFrame, propose: Callable[[DataFrame], DataFrame], size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """All different sets (key, fp, least: the smallest id), and (node, root) of those that are similar to others."""
+    spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(_frequent(texts, size))
     kind = texts.schema["doc_id"].dataType.simpleString()
     read = written(texts.mapInArrow(released(_read(shared, size, similarity)), f"doc_id {kind}, key long, fp long, n int, prefix binary"))
@@ -422,16 +449,12 @@ def one_of_each(df: DataFrame, propose: Callable[[DataFrame], DataFrame], doc_id
         meetings = placed.repartition(tasks, "shingle").mapInArrow(released(_meet(similarity, most)), "a long, b long, needed int")
         found = meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("a", "b")
         pairs = checkpoint(found.unionByName(more).distinct() if more is not None else found)
-        held = own.where(_marked(_marks(pairs.select(F.explode(F.array("a", "b")).alias("key"))))("key")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+        shown = _marks(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+        held = own.mapInArrow(released(_marked(shown)), own.schema).groupBy("key").agg(F.first("shingles").alias("shingles"))
         a, b = (held.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
         return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set").mapInArrow(released(_confirm(similarity)), "u long, v long"))
 
     near = links(spark.createDataFrame([], "node long, root long"), FIRST, proposed)
     far = links(connected_components(near), None, None)
     stars = connected_components(near.unionByName(far))
-    first = F.struct(F.col("least").isNull(), F.col("least"), F.col("key"))
-    kept = sets.join(stars, sets["key"] == stars["node"], "left").groupBy(F.coalesce("root", "key")).agg(F.min(first).alias("best")).select(F.col("best.key").alias("key"))
-    # the rows' own columns stay inside a struct, so that none can clash with these
-    keyed = df.select(F.struct(*(quoted(c) for c in df.columns)).alias("row"), key_column(text, size).alias("key"), quoted(doc_id).alias("id"))
-    one = keyed.withColumn("place", F.expr("row_number() OVER (PARTITION BY key ORDER BY id ASC NULLS LAST)")).where("place = 1")
-    return one.join(kept, "key", "left_semi").select("row.*")
+    return sets, checkpoint(stars)
