@@ -69,7 +69,8 @@ def entities_in(answer: str, types: list[str]) -> list[dict]:
         name, kind = str(e.get("name") or "").strip(), str(e.get("type") or "").strip().lower()
         if 0 < len(name) <= LONGEST_NAME and kind in types:
             stated = e.get("confidence")
-            out.append({"name": name, "type": kind, "description": str(e.get("description") or "").strip(), "confidence": _stated(stated)})
+            about = str(e.get("description") or "").strip()
+            out.append({"name": name, "type": kind, "confidence": _stated(stated)} | ({"description": about} if about else {}))
     return out
 
 

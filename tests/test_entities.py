@@ -178,6 +178,14 @@ def test_models_and_their_answers(spark, tmp_path):
     assert {(r.chunk_id, r.name) for r in found.collect()} == {(1, "Ann"), (1, "B")}
     decide = pv.decider(lambda prompt: '{"same": true, "confidence": 0.8, "reason": "r"}')
     assert decide({"name": "a"}, {"name": "b"}) == (True, 0.8, "r") and pv.decider(lambda p: "?")({"name": "a"}, {"name": "b"})[0] is False
+    told = '{"entities": [{"name": "Ann", "type": "person", "description": " leads "}], "relations": [{"subject": "Ann", "predicate": "Leads", "object": "B", "confidence": 0.9}, {"subject": "", "predicate": "leads", "object": "B"}, {"subject": "B", "predicate": "odd", "object": "Ann"}, 1]}'
+    assert pv.entities_in(told, types) == [{"name": "Ann", "type": "person", "confidence": 0.5, "description": "leads"}]
+    rows = ex.relations_by_model(chunks, pv.relater(lambda prompt: told, types, ["leads"])).collect()
+    assert [tuple(r) for r in rows] == [(1, "Ann", "leads", "B", 0.9)]
+    assert pv.described({"name": "Ann", "type": "person", "domain": "hr", "description": "a  b", "context": "c" * 900}) == "Ann (person, hr) - a b - " + "c" * 500
+    shown = []
+    pv.decider(lambda prompt: shown.append(prompt) or "{}")({"name": "Ann", "type": "person"}, {"name": "Ann", "domain": "hr"})
+    assert "Ann (person)\nAnn (hr)" in shown[0]
     (tmp_path / "same.txt").write_text("$a/$b")
     assert pv.Prompts(str(tmp_path)).fill("same", a="1", b="2") == "1/2"
     with pytest.raises(ValueError):
