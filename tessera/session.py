@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and has the driver let go of the shuffles that are behind it.
+
+    Shuffle files go when the driver's JVM happens to collect its garbage, which may be long after.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/tessera/" in folder:
+                _delete(spark, folder)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None:
