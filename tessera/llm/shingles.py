@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tessera.llm.tables import quoted
 from tessera.llm.words import PIECE_BYTES, SPACE, lowered, released
 from tessera.operators.components import connected_components
-from tessera.session import checkpoint, written
+from tessera.session import checkpoint, dropped, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Documents in the sample, in how many of them a shingle is frequent, and how many such are known at most.
@@ -456,5 +456,6 @@ def _components(texts: DataFrame, propose: Callable[[DataFrame], DataFrame], siz
 
     near = links(spark.createDataFrame([], "node long, root long"), FIRST, proposed)
     far = links(connected_components(near), None, None)
-    stars = connected_components(near.unionByName(far))
-    return sets, checkpoint(stars)
+    stars = checkpoint(connected_components(near.unionByName(far)))
+    dropped(read, met, own)
+    return sets, stars
