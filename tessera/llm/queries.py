@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.brown_lm import op9_brown_lm
 from tessera.llm.decontamination import OP5_SQL, op5_decontamination
+from tessera.llm.host_rules import OP11_SQL, op11_host_rules
 from tessera.llm.html_text import op6_html_text
 from tessera.llm.language import op3_language_id
 from tessera.llm.neighbours import op10_neighbours
@@ -12,6 +13,7 @@ from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op7_simhash
 from tessera.llm.toxicity import op2_toxicity
 from tessera.llm.url_filter import OP8_SQL, op8_url_filters
+from tessera.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -24,9 +26,12 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_brown_lm": op9_brown_lm,
     "op10_neighbours": op10_neighbours,
+    "op11_host_rules": op11_host_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op8_url_filters": OP8_SQL,
+    "op11_host_rules": OP11_SQL,
 }
