@@ -7,6 +7,7 @@ from tessera.llm.decontamination import OP5_SQL, op5_decontamination
 from tessera.llm.host_rules import OP11_SQL, op11_host_rules
 from tessera.llm.html_text import op6_html_text
 from tessera.llm.language import op3_language_id
+from tessera.llm.lexical import OP12_SQL, op12_lexical_search
 from tessera.llm.neighbours import op10_neighbours
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op1_sharding
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_brown_lm": op9_brown_lm,
     "op10_neighbours": op10_neighbours,
     "op11_host_rules": op11_host_rules,
+    "op12_lexical_search": op12_lexical_search,
     "op13_whitening": op13_whitening,
 }
 
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op8_url_filters": OP8_SQL,
     "op11_host_rules": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
