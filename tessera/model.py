@@ -30,7 +30,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        """id, source_type, original_path, domains, content_hash, is_official, is_deprecated, updated_at, text."""
+        """id, source_type, original_path, domains, content_hash, metadata, is_official, is_deprecated, updated_at, text; the metadata of every sixth says until when it holds."""
         labels = self.raw("labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
         d = self.raw("documents").select(
             F.col("doc_id").alias("id"),
@@ -38,6 +38,7 @@ class Tables:
             F.concat_ws("/", F.lit(""), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("original_path"),
             F.array("lang").alias("domains"),
             F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"),
+            F.to_json(F.struct(F.when(F.col("doc_id") % 6 == 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")), "yyyy-MM-dd")).alias("valid_to"))).alias("metadata"),
             F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 730 as int))").alias("updated_at"),
             "text",
         )
@@ -48,11 +49,16 @@ class Tables:
         """Documents without flags, for operators that need no labels."""
         return self.raw("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.array("lang").alias("domains"), "text")
 
-    def chunks(self) -> DataFrame:
-        """chunk_id, document_id, chunk_text, sequence_num, start_offset, end_offset, domain: overlapping windows of characters."""
+    def chunks(self, documents: DataFrame | None = None) -> DataFrame:
+        """chunk_id, document_id, chunk_text, sequence_num, start_offset, end_offset, domain: overlapping windows of characters.
+
+        documents: ids (document_id) of a request's documents; no other text is cut then.
+        """
         from tessera.operators.chunking import fixed_chunks
 
         d = self.raw("documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("domain"), "text")
+        if documents is not None:
+            d = d.join(documents.distinct(), "document_id", "left_semi")
         cut = fixed_chunks(d, "text", CHUNK_CHARS, OVERLAP)
         return cut.select((F.col("document_id") * CHUNKS_OF_A_DOCUMENT + F.col("sequence_num")).alias("chunk_id"), "document_id", "chunk_text", "sequence_num", "start_offset", "end_offset", "domain")
 
@@ -121,7 +127,8 @@ class Tables:
 MODEL_SQL = f"""
 m_documents AS (
   SELECT d.doc_id AS id, source AS source_type, '/' || lang || '/' || source || '/' || d.doc_id || '.md' AS original_path, [lang] AS domains, sha256(text) AS content_hash,
-         quality = 1 AS is_official, toxic = 1 AS is_deprecated, TIMESTAMP '2024-01-01' + to_days(CAST(d.doc_id % 730 AS INTEGER)) AS updated_at, text
+         quality = 1 AS is_official, toxic = 1 AS is_deprecated, TIMESTAMP '2024-01-01' + to_days(CAST(d.doc_id % 730 AS INTEGER)) AS updated_at, text,
+         CASE WHEN d.doc_id % 6 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(d.doc_id % 900 AS INTEGER)) END AS valid_to
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
 ), m_chunks AS (
   SELECT doc_id * {CHUNKS_OF_A_DOCUMENT} + k AS chunk_id, doc_id AS document_id, substr(text, k * {CHUNK_CHARS - OVERLAP} + 1, {CHUNK_CHARS}) AS chunk_text, k AS sequence_num,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normalize
+from tessera.operators.substrings import NameIndex, containing
 from tessera.session import checkpoint
 
 #: Bounds of a traversal.
@@ -117,6 +118,88 @@ def path_exists(edges: DataFrame, a: int, b: int, hops: int) -> bool:
     return not reach(edges, starts, hops).where(F.col("node") == b).isEmpty()
 
 
+def connected_pairs(edges: DataFrame, pairs: DataFrame, hops: int, relation: str | None = None) -> DataFrame:
+    """The pairs (a, b) that so many undirected hops over (src, dst, relation) join, each once; a node is joined to itself by none.
+
+    All pairs are answered at once: walks from both ends go half of the way each and meet in the middle, so
+    that none goes through what lies a whole path around a node. Pairs with a null are joined by no path.
+    """
+    if hops < 0:
+        raise ValueError("hops is 0 or more")
+    e = edges if relation is None else edges.where(F.col("relation") == relation)
+    asked = pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    apart = checkpoint(asked.where("a <> b"))
+    left_ends, right_ends = (apart.select(F.col(c).alias("source")).distinct() for c in "ab")
+    # the side with fewer ends walks the odd hop
+    long, short = (hops + 1) // 2, hops // 2
+    further = left_ends.count() <= right_ends.count()
+    there, back = reach(e, left_ends, long if further else short), reach(e, right_ends, short if further else long)
+    left = apart.join(there.select(F.col("source").alias("a"), "node", F.col("depth").alias("there")), "a")
+    met = left.join(back.select(F.col("source").alias("b"), "node", F.col("depth").alias("back")), ["b", "node"]).where(F.col("there") + F.col("back") <= hops)
+    return met.select("a", "b").distinct().unionByName(asked.where("a = b"))
+
+
+def adjacency(graph: Graph, direction: str = "both", relations: list[str] | None = None, follow_links: bool = False, most: int = 2 * NODES) -> DataFrame:
+    """(parent, child, src, dst, relation, kind, child_domain, linked, place): what a walk may step over, for any number of walks.
+
+    Relations are filtered before parallel edges are reduced to the latest fact. kind is 0 for facts and 1 for
+    links; linked tells whether a link joins the two. place: the order in which a walk takes a parent's edges of a kind to
+    a domain; those beyond ``most`` are left out, which no walk of half as many nodes can miss.
+    """
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"no such direction: {direction}")
+    edges, links = (x if not relations else x.where(F.col("relation").isin(*relations)) for x in (graph.edges, graph.links))
+    ways = [w for w, on in ((("src", "dst"), direction != "in"), (("dst", "src"), direction != "out")) if on]
+    facts = None
+    for parent, child in ways:
+        one = edges.select(F.col(parent).alias("parent"), F.col(child).alias("child"), "src", "dst", "relation", "fact_id")
+        facts = one if facts is None else facts.unionByName(one)
+    facts = facts.groupBy("parent", "child", "src", "dst").agg(F.max_by("relation", F.coalesce("fact_id", F.lit(0))).alias("relation")).withColumn("kind", F.lit(0))
+    if follow_links:
+        facts = facts.unionByName(links.select(F.col("src").alias("parent"), F.col("dst").alias("child"), "src", "dst", "relation").distinct().withColumn("kind", F.lit(1)))
+    steps = facts.join(graph.nodes.select(F.col("id").alias("child"), F.col("domain").alias("child_domain")), "child")
+    joined = graph.links.select(F.col("src").alias("parent"), F.col("dst").alias("child")).unionByName(graph.links.select(F.col("dst").alias("parent"), F.col("src").alias("child"))).distinct()
+    steps = steps.join(joined.withColumn("linked", F.lit(True)), ["parent", "child"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    # an edge's place at its parent; the limit on places is applied in each task before a hub's edges meet
+    key = F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string"))
+    order = Window.partitionBy("parent", "kind", "child_domain", "linked").orderBy(key, "relation", "child")
+    return steps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def walks(graph: Graph, starts: DataFrame, depth: int = DEPTH, direction: str = "both", relations: list[str] | None = None, max_nodes: int = NODES, follow_links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Traversals of many starts (request, start) in one plan: (request, id, depth) of the nodes, and the tree edges of each request.
+
+    Each request gets what ``traverse`` gives for its start, under its own max_nodes. A level is one join of all
+    frontiers with the stored adjacency; a request takes max_nodes rows from a hub at most. Requests whose start
+    is no entity get no rows; equal requests count once.
+    """
+    depth = min(depth, MOST_DEPTH) if depth > 0 else DEPTH
+    steps = checkpoint(adjacency(graph, direction, relations, follow_links, 2 * max_nodes))
+    known = starts.select("request", F.col("start").alias("id")).distinct().join(graph.nodes.select("id", "domain"), "id")
+    frontier = checkpoint(known.select("request", F.col("id").alias("parent"), F.col("domain").alias("parent_domain"), F.col("domain").alias("home"), F.lit(max_nodes - 1).alias("room")))
+    seen = frontier.select("request", F.col("parent").alias("id"), F.lit(0).alias("depth"))
+    tree = None
+    for level in range(1, depth + 1):
+        here = (F.col("parent_domain") == F.col("home")) & ((F.col("child_domain") == F.col("home")) | (F.col("linked") & F.lit(follow_links)))
+        reached = frontier.where("room > 0").join(steps, "parent").where(here | (F.col("kind") == 1))
+        fresh = reached.join(seen.select("request", F.col("id").alias("child")), ["request", "child"], "left_anti")
+        key = F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string"))
+        order = [F.col("parent"), F.col("kind"), key, F.col("relation")]
+        once = fresh.withColumn("turn", F.row_number().over(Window.partitionBy("request", "child").orderBy(*order))).where("turn = 1")
+        taken = once.withColumn("turn", F.row_number().over(Window.partitionBy("request").orderBy(*order))).where(F.col("turn") <= F.least(F.col("room"), F.lit(max_nodes)))
+        taken = checkpoint(taken.select("request", "src", "dst", "relation", F.lit(level).alias("depth"), "kind", "parent", "child", "child_domain", "home", "room"))
+        if taken.isEmpty():
+            break
+        tree = taken if tree is None else tree.unionByName(taken)
+        seen = seen.unionByName(taken.select("request", F.col("child").alias("id"), "depth"))
+        count = taken.groupBy("request").agg(F.count("*").alias("n"))
+        frontier = taken.join(count, "request").select("request", F.col("child").alias("parent"), F.col("child_domain").alias("parent_domain"), "home", (F.col("room") - F.col("n")).cast("int").alias("room"))
+    columns = "request long, src long, dst long, relation string, depth int, kind string, parent long, child long"
+    if tree is None:
+        return seen, graph.nodes.sparkSession.createDataFrame([], columns)
+    return seen, tree.select("request", "src", "dst", "relation", "depth", F.when(F.col("kind") == 1, "link").otherwise("fact").alias("kind"), "parent", "child")
+
+
 def find_by_name(graph: Graph, name: str, domain: str | None = None) -> DataFrame:
     """The id of a name, case ignored: in a domain, or the lowest of all."""
     rows = graph.nodes.where(F.lower("name") == name.strip().lower())
@@ -125,10 +208,11 @@ def find_by_name(graph: Graph, name: str, domain: str | None = None) -> DataFram
     return rows.agg(F.min("id").alias("id"))
 
 
-def find_partial(graph: Graph, text: str) -> DataFrame:
-    """Nodes whose names have a text in them but are not it; those that begin with it first."""
+def find_partial(graph: Graph, text: str, names: NameIndex | None = None) -> DataFrame:
+    """Nodes whose names have a text in them but are not it; those that begin with it first. names: the stored index of the nodes' names."""
     t = text.lower()
-    rows = graph.nodes.where(F.contains(F.lower("name"), F.lit(t)) & (F.lower("name") != t))
+    nodes = graph.nodes if names is None else graph.nodes.join(containing(names, text), "id", "left_semi")
+    rows = nodes.where(F.contains(F.lower("name"), F.lit(t)) & (F.lower("name") != t))
     return rows.orderBy(F.desc(F.lower("name").startswith(t)), "name", "id")
 
 
@@ -190,6 +274,27 @@ def expand(graph: Graph, hits: DataFrame, chunk_entities: DataFrame, depth: int
     return seen.where("depth > 0").select(F.col("source").alias("entity_id"), F.col("node").alias("related_id"), "depth")
 
 
+def related(graph: Graph, hits: DataFrame, facts: DataFrame, depth: int = 1, max_nodes: int = 50, most_facts: int = 50) -> DataFrame:
+    """``hits`` with related_entities: for each of a hit's ``entities`` that the graph has its edges and newest approved facts.
+
+    Edges are those of a walk both ways within the entity's domain, links not followed. An entity is walked from once, however
+    many hits name it, and all of them in one plan; its lists are bounded by max_nodes and most_facts. The hits are a page.
+    """
+    named = hits.select("chunk_id", F.explode("entities.id").alias("entity_id")).distinct()
+    starts = named.select(F.col("entity_id").alias("request"), F.col("entity_id").alias("start")).distinct()
+    _, tree = walks(graph, starts, depth, max_nodes=max_nodes)
+    edges = tree.groupBy(F.col("request").alias("entity_id")).agg(F.sort_array(F.collect_list(F.struct("depth", "src", "relation", "dst"))).alias("edges"))
+    rows = facts.where("status = 'approved'")
+    ends = rows.select(F.explode(F.array_distinct(F.array("subject_entity_id", "object_entity_id"))).alias("entity_id"), F.col("id").alias("fact_id"), "predicate", "subject_entity_id", "object_entity_id", "created_at")
+    own = ends.join(starts.select(F.col("start").alias("entity_id")), "entity_id", "left_semi")
+    newest = own.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("created_at"), "fact_id"))).where(F.col("place") <= most_facts)
+    listed = newest.groupBy("entity_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "fact_id", "predicate", "subject_entity_id", "object_entity_id"))), lambda f: f.dropFields("place")).alias("facts"))
+    about = graph.nodes.join(F.broadcast(starts.select(F.col("start").alias("id"))), "id", "left_semi").select(F.col("id").alias("entity_id"), "name", "domain")
+    whole = about.join(edges, "entity_id", "left").join(listed, "entity_id", "left").select("entity_id", F.struct("entity_id", "name", "domain", "edges", "facts").alias("entity"))
+    by_hit = named.join(whole, "entity_id").groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity"), lambda a, b: (a["entity_id"] > b["entity_id"]).cast("int") - (a["entity_id"] < b["entity_id"]).cast("int")).alias("related_entities"))
+    return hits.join(by_hit, "chunk_id", "left")
+
+
 def dot_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(line): a traversal's result in the DOT language."""
     from tessera.functions.text import dot_escaped

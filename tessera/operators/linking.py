@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normalize
+from tessera.operators.graph import connected_pairs, reach
 
 #: What links claim, and how sure each method is.
 SAME, EQUALS, EXPRESSION = "same_as", 0.9, 1.0
@@ -53,8 +56,66 @@ def equal_name_links(entities: DataFrame, least_words: int = LEAST_WORDS, pairs:
     return _link(long, F.lit(SAME), "equals", F.lit(EQUALS))
 
 
-def expression_links(pairs: DataFrame, conditions: list[Condition]) -> DataFrame:
-    """Links of pairs for which a condition holds; what is not a condition raises before anything runs."""
+#: Calls of graph functions in a condition: a path of at most so many hops, over one relation or all; a neighbour at so many; how many there are.
+PATH = re.compile(r"path_exists\(\s*([AB])\.id\s*,\s*([AB])\.id\s*,\s*(\d+)\s*(?:,\s*'([^']*)'\s*)?\)")
+NEIGHBOUR = re.compile(r"array_contains\(\s*neighbors\(\s*([AB])\.id\s*,\s*(\d+)\s*\)\s*,\s*([AB])\.id\s*\)")
+MANY = re.compile(r"size\(\s*neighbors\(\s*([AB])\.id\s*,\s*(\d+)\s*\)\s*\)")
+#: Whether a text of an entity's chunks contains a text.
+TEXT = re.compile(r"chunk_contains\(\s*([AB])\.id\s*,\s*'([^']*)'\s*\)")
+
+
+def with_functions(pairs: DataFrame, conditions: list[Condition], edges: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, list[Condition]]:
+    """Pairs with a column for each call of a linking function, and the conditions with these columns in the calls' place.
+
+    ``path_exists(A.id, B.id, hops[, 'relation'])``, ``array_contains(neighbors(A.id, hops), B.id)`` and
+    ``size(neighbors(A.id, hops))`` go by the undirected edges (src, dst, relation); neighbours are the nodes whose
+    nearest path has just so many hops. ``chunk_contains(A.id, 'text')`` goes by the texts (entity_id, chunk_text).
+    Every call is answered for all pairs at once, by joins on ids: no entity's neighbours or texts are gathered.
+    """
+    columns: dict[str, str] = {}
+
+    def named(call: str, values: DataFrame, keys: dict[str, str], value: str, missing: str) -> str:
+        nonlocal pairs
+        if call not in columns:
+            columns[call] = f"__call_{len(columns)}"
+            table = values.select(*(F.col(c).alias(f"__{c}") for c in keys), F.expr(value).alias(columns[call]))
+            on = reduce(lambda x, y: x & y, (F.col(f"{side}.id") == F.col(f"__{c}") for c, side in keys.items()))
+            pairs = pairs.join(table, on, "left").drop(*(f"__{c}" for c in keys))
+        return f"coalesce({columns[call]}, {missing})"
+
+    def ends(a: str, b: str) -> DataFrame:
+        return pairs.select(F.col(f"{a}.id").alias("a"), F.col(f"{b}.id").alias("b"))
+
+    def path(m: re.Match) -> str:
+        found = connected_pairs(edges, ends(m[1], m[2]), int(m[3]), m[4])
+        return named(m[0], found, {"a": m[1], "b": m[2]} if m[1] != m[2] else {"a": m[1]}, "true", "false")
+
+    def around(side: str, hops: str) -> DataFrame:
+        return reach(edges, ends(side, side).select(F.col("a").alias("source")).where("source IS NOT NULL").distinct(), int(hops)).where(F.col("depth") == int(hops))
+
+    def neighbour(m: re.Match) -> str:
+        near = connected_pairs(edges, ends(m[1], m[3]), int(m[2]))
+        nearer = connected_pairs(edges, ends(m[1], m[3]), int(m[2]) - 1) if int(m[2]) else near.limit(0)
+        return named(m[0], near.join(nearer, ["a", "b"], "left_anti"), {"a": m[1], "b": m[3]} if m[1] != m[3] else {"a": m[1]}, "true", "false")
+
+    def many(m: re.Match) -> str:
+        return named(m[0], around(m[1], m[2]).groupBy(F.col("source").alias("a")).agg(F.count("*").alias("n")), {"a": m[1]}, "n", "0")
+
+    def text(m: re.Match) -> str:
+        return named(m[0], texts.where(F.contains("chunk_text", F.lit(m[2]))).select(F.col("entity_id").alias("a")).distinct(), {"a": m[1]}, "true", "false")
+
+    out = []
+    for c in conditions:
+        sql = c.sql
+        for pattern, answer in ((PATH, path), (NEIGHBOUR, neighbour), (MANY, many), (TEXT, text)):
+            sql = pattern.sub(answer, sql)
+        out.append(Condition(sql, c.relation, c.priority))
+    return pairs, out
+
+
+def expression_links(pairs: DataFrame, conditions: list[Condition], edges: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Links of pairs for which a condition holds; what is not a condition raises before anything runs. Functions of edges and texts: see ``with_functions``."""
+    pairs, conditions = with_functions(pairs, conditions, edges, texts)
     relation = None
     for c in sorted(conditions, key=lambda c: -c.priority):
         checked = pairs.select(F.expr(c.sql).alias("holds"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.metadata import timestamp
 from tessera.functions.text import merged_source, tokens
 from tessera.functions.vectors import closeness, l2_distance
 from tessera.session import written
@@ -21,8 +22,8 @@ from tessera.session import written
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, RRF_WEIGHT, BM25_WEIGHT, NEUTRAL = 20, 0.7, 0.3, 0.5
 POOL, MOST = 20, 100
-#: Queries that are asked in one plan.
-BATCH = 10_000
+#: Queries that are asked in one plan, and characters of why a search failed.
+BATCH, REASON = 10_000, 300
 
 
 @dataclass
@@ -95,7 +96,7 @@ def bm25(chunks: DataFrame, query: str, limit: int = POOL, domain: str | None =
     # words are counted once: what every chunk adds to the sums is observed while those that match are written
     words = tokens(F.col("chunk_text"))
     seen = rows.select("chunk_id", "document_id", words.alias("w"))
-    measured = seen.select("chunk_id", "document_id", F.size("w").alias("dl"), F.array(*(_times(F.col("w"), p) for p in phrases)).alias("tf"), _fulfils(F.col("w"), clauses).alias("match"))
+    measured = seen.select("chunk_id", "document_id", F.coalesce(F.size("w"), F.lit(0)).alias("dl"), F.array(*(_times(F.col("w"), p) for p in phrases)).alias("tf"), _fulfils(F.col("w"), clauses).alias("match"))
     sums = Observation()
     observed = measured.observe(sums, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases))))
     matching = written(observed.where("match").drop("match"))
@@ -182,33 +183,69 @@ def rerank(hits: DataFrame, as_of: Column, boosts: Boosts = Boosts()) -> DataFra
     return ranks(hits.withColumn("score", score).drop("rank"), "score", descending=True)
 
 
-def enrich(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with their chunk's and document's columns; hits are few, so the tables are filtered by them."""
+def enrich(hits: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], documents: DataFrame, chunk_entities: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Hits with their chunk's text, their document's path, domains, flags and times, and their chunk's entities (id, type, name).
+
+    Hits are few, so the tables are filtered by them. chunks: a table, or what gives the chunks of hits. A document that says in its
+    metadata until when it holds has that as valid_to; what is no time is none.
+    """
     few = F.broadcast(hits)
-    texts = chunks.join(few.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "document_id", "chunk_text")
-    rows = hits.join(texts, "chunk_id", "left")
-    about = documents.join(F.broadcast(rows.select(F.col("document_id").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("document_id"), "source_type", "is_deprecated", "is_official", "updated_at")
-    return rows.join(about, "document_id", "left").withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("found_in", merged_source(F.col("origin"), F.col("source_type")))
+    texts = (chunks(hits) if callable(chunks) else chunks).join(few.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "document_id", "chunk_text")
+    rows = hits.drop("document_id").join(texts, "chunk_id", "left")
+    known = documents.join(F.broadcast(rows.select(F.col("document_id").alias("id")).distinct()), "id", "left_semi")
+    until = timestamp(F.get_json_object("metadata", "$.valid_to")) if "metadata" in documents.columns else F.lit(None).cast("timestamp")
+    own = [c for c in ("original_path", "domains") if c in documents.columns]
+    about = known.select(F.col("id").alias("document_id"), "source_type", "is_deprecated", "is_official", "updated_at", until.alias("valid_to"), *own)
+    out = rows.join(about, "document_id", "left").withColumn("found_in", merged_source(F.col("origin"), F.col("source_type")))
+    if chunk_entities is None or entities is None:
+        return out
+    mine = chunk_entities.join(few.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.col("entity_id").alias("id")).distinct()
+    # the lists of a few chunks, each no longer than what one chunk names
+    named = mine.join(entities.select("id", "type", "name"), "id").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("id", "type", "name"))).alias("entities"))
+    return out.join(named, "chunk_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<struct<id: long, type: string, name: string>>")))
+
+
+def _best_by_words(chunks: DataFrame, index: object | None, query: str, limit: int, domain: str | None) -> DataFrame:
+    from tessera.operators.index import bm25 as stored  # which reads this module
+
+    return bm25(chunks, query, limit, domain) if index is None else stored(index, query, limit, domain)
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, query: str, vector: list[float], top_k: int, as_of: Column, domain: str | None = None, boosts: Boosts = Boosts()) -> DataFrame:
-    """Both searches, fused, enriched and reranked, and cut to ``top_k`` after that."""
+def _pool(branch: Callable[[], DataFrame], score: str) -> tuple[list, str | None]:
+    """A branch's ranked hits, 100 at most, or none and why it failed."""
+    try:
+        return [(r["chunk_id"], r["rank"], r[score]) for r in ranks(branch(), score).collect()], None
+    except Exception as error:  # whatever a branch fails with, the other's hits are good
+        return [], f"{type(error).__name__}: {error}"[:REASON]
+
+
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, query: str, vector: list[float], top_k: int, as_of: Column, domain: str | None = None, boosts: Boosts = Boosts(), index: object | None = None, chunks_of: Callable[[DataFrame], DataFrame] | None = None, chunk_entities: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Both searches, fused, enriched and reranked, and cut to ``top_k`` after that.
+
+    With a stored index of the chunks, and chunks_of for the hits' own, no other text is read. If one of the searches
+    fails, hits are the other's, and ``failed`` says so and why; if both do, the search raises.
+    """
     if not query.strip():
         raise ValueError("a query is needed")
     if not 1 <= top_k <= MOST:
         raise ValueError("top_k is 1 to 100")
     pool = max(POOL, top_k)
-    lexical = ranks(bm25(chunks, query, pool, domain), "bm25")
-    semantic = ranks(knn(vectors, vector, pool, domain), "distance")
-    fused = fuse(lexical, semantic)
+    lexical, no_words = _pool(lambda: _best_by_words(chunks, index, query, pool, domain), "bm25")
+    semantic, no_vectors = _pool(lambda: knn(vectors, vector, pool, domain), "distance")
+    if no_words and no_vectors:
+        raise RuntimeError(f"both searches failed: {no_words}; {no_vectors}")
+    spark = vectors.sparkSession
+    fused = fuse(spark.createDataFrame(lexical, "chunk_id long, rank int, bm25 double"), spark.createDataFrame(semantic, "chunk_id long, rank int, distance double"))
     # 200 rows at most, which several joins need
-    hits = chunks.sparkSession.createDataFrame(fused.collect(), fused.schema)
-    return rerank(enrich(hits, chunks, documents), as_of, boosts).where(F.col("rank") <= top_k)
+    hits = spark.createDataFrame(fused.collect(), fused.schema)
+    whole = rerank(enrich(hits, chunks_of or chunks, documents, chunk_entities, entities), as_of, boosts).where(F.col("rank") <= top_k)
+    failed = f"lexical: {no_words}" if no_words else f"semantic: {no_vectors}" if no_vectors else None
+    return whole.withColumn("failed", F.lit(failed).cast("string"))
 
 
-def lexical_search(chunks: DataFrame, query: str, top_k: int, domain: str | None = None) -> DataFrame:
-    """Hits by BM25 alone, scored so that higher is better."""
-    return ranks(bm25(chunks, query, top_k, domain).withColumn("score", -F.col("bm25")), "score", descending=True)
+def lexical_search(chunks: DataFrame, query: str, top_k: int, domain: str | None = None, index: object | None = None) -> DataFrame:
+    """Hits by BM25 alone, scored so that higher is better; from a stored index of the chunks if there is one."""
+    return ranks(_best_by_words(chunks, index, query, top_k, domain).withColumn("score", -F.col("bm25")), "score", descending=True)
 
 
 def semantic_search(vectors: DataFrame, vector: list[float], top_k: int, domain: str | None = None) -> DataFrame:
@@ -232,7 +269,7 @@ def bm25_batch(chunks: DataFrame, queries: DataFrame, limit: int = POOL) -> Data
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     # words are cut once: the sums are observed while the postings of asked terms are written
     sums = Observation()
-    seen = chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("w")).withColumn("dl", F.size("w"))
+    seen = chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("w")).withColumn("dl", F.coalesce(F.size("w"), F.lit(0)))
     observed = seen.observe(sums, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = observed.select("chunk_id", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     held = written(asked.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))

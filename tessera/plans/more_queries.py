@@ -16,10 +16,10 @@ from tessera.functions import metadata as meta
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.model import CUSTOMERS, NATIONS, REGIONS, Tables, oracle
-from tessera.operators import catalog, chunking, extraction, graph, linking, maintenance
+from tessera.operators import catalog, chunking, extraction, graph, index, linking, maintenance
 from tessera.operators import search as se
 from tessera.plans import ingest, providers, tools
-from tessera.plans.queries import _bm25, _graph, query
+from tessera.plans.queries import _bm25, _graph, chunk_index, query
 from tessera.session import shared_dir, written
 from tessera.sources import files, ontology, synthetic
 from tessera.sources.store import KeyValues, Store
@@ -88,10 +88,25 @@ def _(t):
     return files.unstructured(t.spark, folder_of(t, named)).select("source_path", "source_type", F.col("metadata")["images"].alias("images"))
 
 
-@query("src10_src12_chunkers_of_sources", "SELECT DISTINCT source_type, CASE WHEN source_type = 'json' THEN 'json' ELSE 'markdown' END AS chunker FROM (SELECT unnest(['markdown', 'json', 'wiki', 'webpage', 'unstructured']) AS source_type)")
+@query("src10_src12_chunkers_of_sources", "SELECT CASE doc_id % 3 WHEN 0 THEN 'wiki' WHEN 1 THEN 'webpage' ELSE 'unstructured' END AS source_type, 'markdown' AS chunker, count(*) AS n FROM documents GROUP BY 1")
 def _(t):
-    rows = t.spark.createDataFrame([(x,) for x in ("markdown", "json", "wiki", "webpage", "unstructured")], "source_type string")
-    return rows.select("source_type", files.chunker_for(F.col("source_type")).alias("chunker"))
+    kind = F.element_at(F.array(F.lit("Wiki"), F.lit("web pages"), F.lit("files")), (F.col("doc_id") % 3 + 1).cast("int"))
+    folders = t.raw("documents").select(files.detected_type(F.concat_ws("/", F.lit("/data"), "lang", F.concat_ws("-", "source", kind), F.lit(""))).alias("source_type"))
+    return folders.select("source_type", files.chunker_for(F.col("source_type")).alias("chunker")).groupBy("source_type", "chunker").agg(F.count("*").alias("n"))
+
+
+@query(
+    "ex16_owning_sources",
+    "SELECT doc_id AS id, CASE WHEN CAST(substr(source, 4) AS INTEGER) % 2 = 0 THEN lang || ' ' || source ELSE lang END AS owner FROM documents",
+)
+def _(t):
+    # every language has a source for its folder, and every even source one below it; a file is its deepest folder's
+    d = t.raw("documents")
+    folders = d.select(F.col("lang").alias("source"), F.concat(F.lit("/"), "lang", F.lit("/")).alias("folder")).union(
+        d.where(F.substring("source", 4, 9).cast("int") % 2 == 0).select(F.concat_ws(" ", "lang", "source"), F.concat_ws("/", F.lit(""), "lang", "source"))
+    )
+    paths = d.select(F.concat_ws("/", F.lit(""), "lang", "source", F.col("doc_id").cast("string")).alias("path"))
+    return files.owning_source(paths, folders.distinct()).select(F.element_at(F.split("path", "/"), -1).cast("long").alias("id"), F.col("source").alias("owner"))
 
 
 @query("src8_sc14_sc15_ch1_win5_sections", "SELECT doc_id, unnest([0, 1, 2]) AS sequence_num, unnest(['> ' || doc_id || '.md' || chr(10) || chr(10) || 'intro ' || source, '> ' || lang || chr(10) || chr(10) || source, '> ' || lang || chr(10) || ' > part' || chr(10) || chr(10) || 'end ' || doc_id]) AS chunk_text FROM documents")
@@ -126,19 +141,21 @@ def _(t):
     return t.spark.createDataFrame(rows, "domain string, id string, name string, place long")
 
 
-@query("src18_settings", "SELECT * FROM (VALUES ('chunk_chars', '500'), ('chunk_strategy', 'fixed'), ('link_methods', 'equals,model'), ('rrf_k', '20'), ('similarity', '0.9')) v(name, value)")
+@query("src18_settings", "SELECT doc_id AS document_id, 1 + greatest(0, CAST(ceil((length(text) - 500) / 450e0) AS BIGINT)) AS n FROM documents WHERE length(text) > 0")
 def _(t):
-    found = ontology.settings_from_yaml("chunk_strategy: fixed\nchunk_chars: 500\nlink_methods: [equals, model]\n")
-    rows = [(k, ",".join(v) if isinstance(v, tuple) else str(v)) for k, v in vars(found).items() if k in ("chunk_chars", "chunk_strategy", "link_methods", "rrf_k", "similarity")]
-    return t.spark.createDataFrame(rows, "name string, value string")
+    own = ontology.settings_from_yaml("chunk_strategy: fixed\nchunk_chars: 500\nchunk_overlap: 50\nlink_methods: [equals, model]\n")
+    d = t.raw("documents").select(F.col("doc_id").alias("document_id"), "text")
+    return catalog.counts_by(chunking.chunk(d, own.chunk_strategy, size=own.chunk_chars, overlap=own.chunk_overlap), "document_id")
 
 
-@query("src19_snk13_generated_tables", "SELECT * FROM (VALUES ('documents', 500), ('chunks', 10000), ('entities', 2000), ('facts', 5000)) v(name, n)")
+@query("src19_snk13_generated_tables", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'chunks', 4 * count(*) FROM documents UNION ALL SELECT 'entities', count(*) FROM part UNION ALL SELECT 'facts', count(*) FROM customer")
 def _(t):
+    # a knowledge base as large as the given tables
+    n = {name: t.raw(name).count() for name in ("documents", "part", "customer")}
     store = Store(t.spark, f"{shared_dir(t.spark)}/tessera/store-{uuid.uuid4().hex}")
-    store.write(synthetic.generate(t.spark))
+    store.write(synthetic.generate(t.spark, (n["documents"], 4 * n["documents"], n["part"], n["customer"])))
     held = store.read()
-    return catalog.table_counts({k: held[k] for k in ("documents", "chunks", "entities", "facts")})
+    return catalog.table_counts({k: held[k].select("chunk_id" if k == "chunks" else "id").distinct() for k in ("documents", "chunks", "entities", "facts")})
 
 
 # sinks
@@ -257,14 +274,14 @@ def _(t):
 
 @query("jn1_jn13_hits_with_documents", oracle("SELECT h.chunk_id, d.original_path, md5(c.chunk_text) AS digest FROM (SELECT * FROM hits ORDER BY bm25, chunk_id LIMIT 20) h JOIN m_chunks c ON c.chunk_id = h.chunk_id JOIN m_documents d ON d.id = h.document_id", extra=_bm25(["the", "of"])))
 def _(t):
-    hits = se.bm25(t.chunks(), "the of", 20)
+    hits = index.bm25(chunk_index(t), "the of", 20)
     rows = t.chunks().join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "document_id", F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
     return rows.join(t.documents().select(F.col("id").alias("document_id"), "original_path"), "document_id").select("chunk_id", "original_path", "digest")
 
 
 @query("se5_top3_lexical_only_of_domain", oracle("SELECT row_number() OVER (ORDER BY bm25, chunk_id) AS rank, chunk_id FROM hits ORDER BY bm25, chunk_id LIMIT 5", extra=_bm25(["was"]).replace("FROM m_chunks)", "FROM m_chunks WHERE domain = 'en')")))
 def _(t):
-    return se.lexical_search(t.chunks(), "was", 5, "EN").select("rank", "chunk_id")
+    return se.lexical_search(t.chunks(), "was", 5, "EN", chunk_index(t)).select("rank", "chunk_id")
 
 
 @query("se5_win1_win2_win3_semantic_only", oracle("SELECT row_number() OVER (ORDER BY distance, chunk_id) AS rank, chunk_id FROM (SELECT vec_id AS chunk_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) - 2 * embedding[1] + 1) AS distance FROM embeddings) ORDER BY distance, chunk_id LIMIT 15"))
@@ -310,6 +327,25 @@ def _(t):
     return graph.expand(_graph(t), bridges.where("chunk_id % 3 = 0"), bridges, 2, 8).where("depth = 1")
 
 
+@query(
+    "gr8_se8_related_entities",
+    oracle(
+        """SELECT chunk_id, s.source AS entity_id, name, coalesce(n, 0) AS n_edges, coalesce(n, 0) AS n_facts, coalesce(first_fact, 0) AS newest FROM (SELECT DISTINCT chunk_id, """
+        + str(NATIONS)
+        + """ + entity_id % 25 AS source FROM m_chunk_entities WHERE chunk_id < 60000000) s JOIN m_entities e ON e.id = s.source
+LEFT JOIN (SELECT source, count(*) AS n FROM around GROUP BY source) k ON k.source = s.source LEFT JOIN (SELECT source, arg_min(id, (-epoch_us(created_at), id)) AS first_fact FROM around GROUP BY source) o ON o.source = s.source""",
+        extra=f"around AS (SELECT n_nationkey + {NATIONS} AS source, f.id, f.created_at FROM nation JOIN m_facts f ON f.status = 'approved' AND n_nationkey + {NATIONS} IN (f.subject_entity_id, f.object_entity_id))",
+    ),
+)
+def _(t):
+    # the entities of the hits' chunks, with parts standing for nations as above; a page of hits
+    bridges = t.chunk_entities().where("chunk_id < 60000000").select("chunk_id", (F.lit(NATIONS) + F.col("entity_id") % 25).alias("id")).distinct()
+    hits = bridges.join(t.entities().select("id", "type", "name"), "id").groupBy("chunk_id").agg(F.collect_list(F.struct("id", "type", "name")).alias("entities"))
+    whole = graph.related(_graph(t), hits, t.facts(), max_nodes=1_000_000, most_facts=1_000_000)
+    each = whole.select("chunk_id", F.explode("related_entities").alias("e"))
+    return each.select("chunk_id", "e.entity_id", "e.name", F.coalesce(F.size("e.edges"), F.lit(0)).cast("long").alias("n_edges"), F.coalesce(F.size("e.facts"), F.lit(0)).cast("long").alias("n_facts"), F.coalesce(F.get("e.facts", F.lit(0))["fact_id"], F.lit(0)).alias("newest"))
+
+
 @query("gr10_nodes_within_two_hops", oracle(f"SELECT DISTINCT {REGIONS} + r AS source, f.subject_entity_id AS node, 2 AS depth FROM (SELECT subject_entity_id AS n, object_entity_id - {REGIONS} AS r FROM m_facts WHERE predicate = 'belongs_to' AND status = 'approved') JOIN m_facts f ON f.object_entity_id = n AND f.status = 'approved'"))
 def _(t):
     starts = t.raw("region").select((F.col("r_regionkey") + F.lit(REGIONS)).alias("source"))
@@ -449,10 +485,32 @@ def _(t):
 
 @query("lk3_ud3_ud6_linking_functions", oracle("SELECT a_id AS subject_entity_id, b_id AS target_entity_id, CASE WHEN EXISTS (SELECT 1 FROM m_chunk_entities c JOIN m_chunks k ON k.chunk_id = c.chunk_id WHERE c.entity_id = a_id AND contains(k.chunk_text, 'the')) THEN 'texts' ELSE 'names' END AS relation_type FROM m_pairs JOIN m_entities a ON a.id = a_id WHERE EXISTS (SELECT 1 FROM m_chunk_entities c JOIN m_chunks k ON k.chunk_id = c.chunk_id WHERE c.entity_id = a_id AND contains(k.chunk_text, 'the')) OR starts_with(lower(a.name), 'a')"))
 def _(t):
-    texts = linking.chunk_index(t.chunk_entities(), t.chunks())
-    e = t.entities().join(texts, "id", "left")
-    conditions = [linking.Condition("exists(A.texts, t -> contains(t, 'the'))", "texts", 2), linking.Condition("startswith(lower(A.name), 'a')", "names", 1)]
-    return linking.expression_links(linking.cross_domain_pairs(e), conditions).select("subject_entity_id", "target_entity_id", "relation_type")
+    texts = t.chunk_entities().join(t.chunks().select("chunk_id", "chunk_text"), "chunk_id")
+    conditions = [linking.Condition("chunk_contains(A.id, 'the')", "texts", 2), linking.Condition("startswith(lower(A.name), 'a')", "names", 1)]
+    return linking.expression_links(linking.cross_domain_pairs(t.entities()), conditions, texts=texts).select("subject_entity_id", "target_entity_id", "relation_type")
+
+
+@query(
+    "ud3_gr10_conditions_on_paths",
+    oracle(
+        f"""SELECT a AS subject_entity_id, b AS target_entity_id, CASE WHEN located THEN 'located' WHEN d = 3 AND n > 40 THEN 'third' ELSE 'near' END AS relation_type FROM (
+  SELECT a, p.b, d, n, EXISTS (SELECT 1 FROM m_facts f WHERE f.subject_entity_id = a AND f.object_entity_id = p.b AND predicate = 'located_in' AND status = 'approved') AS located
+  FROM (SELECT id AS a, {NATIONS} + id % 25 AS b FROM m_entities WHERE type = 'customer') p JOIN (SELECT start, id, min(depth) AS d FROM walk GROUP BY start, id) w ON w.start = a AND w.id = p.b LEFT JOIN (SELECT a AS node, count(DISTINCT b) AS n FROM edges GROUP BY a) k ON k.node = p.b)""",
+        True,
+        """edges AS (SELECT subject_entity_id AS a, object_entity_id AS b FROM m_facts WHERE status = 'approved' UNION ALL SELECT object_entity_id, subject_entity_id FROM m_facts WHERE status = 'approved'),
+walk(start, id, depth) AS (SELECT id, id, 0 FROM m_entities WHERE type = 'customer' UNION ALL SELECT DISTINCT start, b, depth + 1 FROM walk JOIN edges ON a = walk.id WHERE depth < 3)""",
+    ),
+)
+def _(t):
+    nations = t.entities().where("type = 'nation'")
+    customers = t.entities().where("type = 'customer'")
+    pairs = customers.select(F.struct(*customers.columns).alias("A"), (F.col("id") % 25 + F.lit(NATIONS)).alias("b_id")).join(nations.select(F.struct(*nations.columns).alias("B"), F.col("id").alias("b_id")), "b_id").select("A", "B")
+    conditions = [
+        linking.Condition("path_exists(A.id, B.id, 1, 'located_in')", "located", 3),
+        linking.Condition("array_contains(neighbors(A.id, 3), B.id) AND size(neighbors(B.id, 1)) > 40", "third", 2),
+        linking.Condition("path_exists(A.id, B.id, 3)", "near", 1),
+    ]
+    return linking.expression_links(pairs, conditions, _graph(t).edges).select("subject_entity_id", "target_entity_id", "relation_type")
 
 
 @query("ud3_path_between_entities", f"SELECT n_nationkey AS nation, n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 6) AND ({NATIONS} + n_nationkey) % 20 > 5 AND ({NATIONS} + 6) % 20 > 5 OR n_nationkey = 6 AS linked FROM nation")

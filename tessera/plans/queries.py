@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.functions.similarity import jaro_winkler_column
 from tessera.model import CUSTOMERS, NATIONS, REGIONS, Tables, oracle
-from tessera.operators import catalog, chunking, extraction, graph, index, linking, maintenance, resolution
+from tessera.operators import catalog, chunking, extraction, graph, index, linking, maintenance, resolution, substrings
 from tessera.operators import search as se
 from tessera.plans import tools
 from tessera.sources import files
@@ -39,17 +40,31 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 #: Stored indexes by application and folder: written by the first search, read by all others.
-_INDEXES: dict[tuple[str, str], index.Index] = {}
+_INDEXES: dict[tuple[str, str, str], index.Index | substrings.NameIndex] = {}
 
 
-def document_index(t: Tables) -> index.Index:
-    """The stored index of whole documents."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+def _stored(t: Tables, what: str, make: Callable):
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, what)
     if key not in _INDEXES:
-        _INDEXES[key] = index.build(t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")))
+        _INDEXES[key] = make()
     return _INDEXES[key]
 
 
+def document_index(t: Tables) -> index.Index:
+    """The stored index of whole documents."""
+    return _stored(t, "documents", lambda: index.build(t.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))))
+
+
+def name_index(t: Tables) -> substrings.NameIndex:
+    """The stored index of entities' names."""
+    return _stored(t, "names", lambda: substrings.build(t.entities()))
+
+
+def chunk_index(t: Tables) -> index.Index:
+    """The stored index of the chunks."""
+    return _stored(t, "chunks", lambda: index.build(t.chunks()))
+
+
 # counts and groups
 
 
@@ -208,6 +223,12 @@ def _(t):
     return rows.select("entity_id", F.array_join(F.col("contexts").cast("array<string>"), ",").alias("contexts"))
 
 
+@query("fil2_gr6_names_by_substring", oracle("SELECT part, id FROM m_entities, (SELECT unnest(['i', 'IA', 'er#', 'er#000000', 'almond', 'nothing at all']) AS part) WHERE contains(lower(name), lower(part))"))
+def _(t):
+    parts = ["i", "IA", "er#", "er#000000", "almond", "nothing at all"]
+    return reduce(DataFrame.unionByName, [substrings.containing(name_index(t), p).select(F.lit(p).alias("part"), "id") for p in parts])
+
+
 @query("jn6_facts_by_entity_name", oracle("SELECT DISTINCT f.id, f.predicate FROM m_facts f JOIN m_entities e ON e.id = f.subject_entity_id OR e.id = f.object_entity_id WHERE contains(lower(e.name), 'ia')"))
 def _(t):
     return catalog.facts_by_entity_name(t.facts(), t.entities(), "ia").select("id", "predicate")
@@ -391,12 +412,12 @@ def _bm25(terms: list[str], how: str = "AND") -> str:
 
 @query("se1_top1_lexical_search", oracle("SELECT row_number() OVER (ORDER BY bm25, chunk_id) AS rank, chunk_id, round(-bm25, 6) AS score FROM hits ORDER BY bm25, chunk_id LIMIT 20", extra=_bm25(["the", "of"])))
 def _(t):
-    return se.lexical_search(t.chunks(), ASKED, 20).select("rank", "chunk_id", F.round("score", 6).alias("score"))
+    return se.lexical_search(t.chunks(), ASKED, 20, index=chunk_index(t)).select("rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("se1_lexical_search_any_term", oracle("SELECT chunk_id, round(-bm25, 6) AS score FROM hits ORDER BY bm25, chunk_id LIMIT 10", extra=_bm25(["was", "with"], "OR")))
 def _(t):
-    return se.lexical_search(t.chunks(), "was OR with", 10).select("chunk_id", F.round("score", 6).alias("score"))
+    return se.lexical_search(t.chunks(), "was OR with", 10, index=chunk_index(t)).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def _vector(t: Tables) -> list[float]:
@@ -425,7 +446,7 @@ fused AS (SELECT chunk_id, rrf, CASE WHEN lr IS NOT NULL AND sr IS NOT NULL THEN
 
 
 def _pools(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return se.ranks(se.bm25(t.chunks(), ASKED), "bm25"), se.ranks(se.knn(t.vectors(), _vector(t)), "distance")
+    return se.ranks(index.bm25(chunk_index(t), ASKED), "bm25"), se.ranks(se.knn(t.vectors(), _vector(t)), "distance")
 
 
 @query("se3_jn12_agg12_fused_search", oracle("SELECT chunk_id, origin, round(score, 6) AS score, round(rrf, 6) AS rrf, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM fused", extra=", ".join((_bm25(["the", "of"]), KNN, FUSE))))
@@ -434,15 +455,15 @@ def _(t):
     return fused.select("chunk_id", "origin", F.round("score", 6).alias("score"), F.round("rrf", 6).alias("rrf"), "rank")
 
 
-RERANK = f"""whole AS (SELECT fused.chunk_id, score * CASE WHEN is_deprecated THEN 0.2e0 ELSE 1e0 END * CASE WHEN is_official THEN 1.5e0 ELSE 1e0 END * CASE WHEN updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY THEN 1.2e0 ELSE 1e0 END * CASE WHEN source_type = 'src1' THEN 1.3e0 ELSE 1e0 END AS boosted, c.document_id, source_type
+RERANK = f"""whole AS (SELECT fused.chunk_id, score * CASE WHEN is_deprecated THEN 0.2e0 ELSE 1e0 END * CASE WHEN is_official THEN 1.5e0 ELSE 1e0 END * CASE WHEN valid_to < TIMESTAMP '{AS_OF}' THEN 0.1e0 ELSE 1e0 END * CASE WHEN updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY THEN 1.2e0 ELSE 1e0 END * CASE WHEN source_type = 'src1' THEN 1.3e0 ELSE 1e0 END AS boosted, c.document_id, source_type, original_path, valid_to, coalesce((SELECT string_agg(name, ',' ORDER BY e.id) FROM m_chunk_entities b JOIN m_entities e ON e.id = b.entity_id WHERE b.chunk_id = fused.chunk_id), '') AS names
 FROM fused LEFT JOIN m_chunks c ON c.chunk_id = fused.chunk_id LEFT JOIN m_documents d ON d.id = c.document_id)"""
 
 
-@query("se4_se6_se7_se8_hybrid_search", oracle("SELECT chunk_id, document_id, source_type, round(boosted, 6) AS score, row_number() OVER (ORDER BY boosted DESC, chunk_id) AS rank FROM whole ORDER BY boosted DESC, chunk_id LIMIT 10", extra=", ".join((_bm25(["the", "of"]), KNN, FUSE, RERANK))))
+@query("se4_se6_se7_se8_hybrid_search", oracle("SELECT chunk_id, document_id, source_type, original_path, valid_to, names, round(boosted, 6) AS score, row_number() OVER (ORDER BY boosted DESC, chunk_id) AS rank FROM whole ORDER BY boosted DESC, chunk_id LIMIT 10", extra=", ".join((_bm25(["the", "of"]), KNN, FUSE, RERANK))))
 def flagship(t):
     """Hybrid search: both rankings, fused, enriched, reranked, and cut."""
-    found = tools.search(t, ASKED, _vector(t), AS_OF, 10, boosts=se.Boosts(authority={"src1": 1.3}))
-    return found.select("chunk_id", "document_id", "source_type", F.round("score", 6).alias("score"), "rank")
+    found = tools.search(t, ASKED, _vector(t), AS_OF, 10, boosts=se.Boosts(authority={"src1": 1.3}), index=chunk_index(t))
+    return found.select("chunk_id", "document_id", "source_type", "original_path", "valid_to", F.array_join("entities.name", ",").alias("names"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -530,6 +551,30 @@ def _(t):
     return nodes.select("id")
 
 
+@query(
+    "gr2_jn17_walks_of_many_starts",
+    oracle(
+        "SELECT request, id, min(depth) AS depth FROM walk GROUP BY request, id",
+        True,
+        """edges AS (SELECT subject_entity_id AS a, object_entity_id AS b FROM m_facts WHERE status = 'approved' UNION ALL SELECT object_entity_id, subject_entity_id FROM m_facts WHERE status = 'approved'),
+walk(request, id, depth) AS (SELECT id, id, 0 FROM m_entities WHERE type IN ('nation', 'region') UNION ALL SELECT DISTINCT request, b, depth + 1 FROM walk JOIN edges ON a = walk.id JOIN m_norm n ON n.id = b WHERE depth < 2 AND n.norm_domain = 'geography')""",
+    ),
+)
+def _(t):
+    starts = t.entities().where("type IN ('nation', 'region')").select(F.col("id").alias("request"), F.col("id").alias("start"))
+    return graph.walks(_graph(t), starts, 2, max_nodes=1_000_000)[0]
+
+
+@query(
+    "gr2_walks_outward_of_customers",
+    oracle("""SELECT c.id AS request, c.id AS id, 0 AS depth FROM m_entities c WHERE type = 'customer' UNION ALL SELECT subject_entity_id, object_entity_id, 1 FROM m_facts WHERE predicate = 'located_in' AND status = 'approved'
+UNION ALL SELECT f.subject_entity_id, g.object_entity_id, 2 FROM m_facts f JOIN m_facts g ON g.subject_entity_id = f.object_entity_id WHERE f.predicate = 'located_in' AND f.status = 'approved' AND g.status = 'approved'"""),
+)
+def _(t):
+    starts = t.entities().where("type = 'customer'").select(F.col("id").alias("request"), F.col("id").alias("start"))
+    return graph.walks(_graph(t), starts, 5, "out")[0]
+
+
 @query("gr3_id_by_name", oracle("SELECT min(id) AS id FROM m_entities WHERE lower(name) = (SELECT lower(min(r_name)) FROM region)"))
 def _(t):
     return graph.find_by_name(_graph(t), t.raw("region").agg(F.min("r_name")).first()[0].lower())
@@ -545,9 +590,9 @@ def _(t):
     return graph.neighbours(_graph(t), NATIONS + 6).select("kind", "direction", "other")
 
 
-@query("gr6_partial_names", oracle("SELECT id, name FROM m_entities WHERE contains(lower(name), 'io') AND lower(name) <> 'io' AND type IN ('nation', 'region')"))
+@query("gr6_partial_names", oracle("SELECT id, name FROM m_entities WHERE contains(lower(name), 'io') AND lower(name) <> 'io'"))
 def _(t):
-    return graph.find_partial(_graph(t), "IO").where("type IN ('nation', 'region')").select("id", "name")
+    return graph.find_partial(_graph(t), "IO", name_index(t)).select("id", "name")
 
 
 @query("gr8_gr10_nodes_around_regions", oracle(f"SELECT DISTINCT object_entity_id AS source, subject_entity_id AS node FROM m_facts WHERE predicate = 'belongs_to' AND status = 'approved' AND object_entity_id >= {REGIONS}"))
@@ -704,7 +749,7 @@ def _(t):
 
 @query("tool_search_facts", oracle("SELECT f.id, s.name AS subject_name, o.name AS object_name FROM m_facts f JOIN m_entities s ON s.id = f.subject_entity_id JOIN m_entities o ON o.id = f.object_entity_id WHERE status = 'approved' AND contains(predicate, 'located') AND (contains(lower(s.name), 'a') OR contains(lower(o.name), 'a')) ORDER BY f.id LIMIT 20"))
 def _(t):
-    return tools.search_facts(t, predicate="LOCATED", entity_name="A").rows.select("id", "subject_name", "object_name")
+    return tools.search_facts(t, predicate="LOCATED", entity_name="A", names=name_index(t)).rows.select("id", "subject_name", "object_name")
 
 
 @query("tool_get_document_context", oracle("SELECT 'document' AS part, id, original_path AS text FROM m_documents WHERE id = 12 UNION ALL SELECT 'chunk', chunk_id, chunk_text FROM m_chunks WHERE document_id = 12 UNION ALL SELECT DISTINCT 'entity', e.id, e.name FROM m_chunk_entities b JOIN m_chunks c ON c.chunk_id = b.chunk_id JOIN m_entities e ON e.id = b.entity_id WHERE document_id = 12 UNION ALL SELECT DISTINCT 'fact', f.id, predicate FROM m_fact_sources s JOIN m_facts f ON f.id = s.fact_id WHERE document_id = 12"))

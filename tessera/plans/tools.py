@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from tessera.model import CHUNKS_OF_A_DOCUMENT
 from tessera.operators import catalog, graph
 from tessera.operators.catalog import Page
+from tessera.operators.index import Index
 from tessera.operators.linking import first_links
 from tessera.operators.resolution import first_by_name
 from tessera.operators.search import Boosts, hybrid_search
+from tessera.operators.substrings import NameIndex
+from tessera.session import checkpoint
 
 #: Facts in a dossier, and nodes of its neighbourhood.
 DOSSIER_FACTS, DOSSIER_NODES = 100, 100
@@ -32,9 +35,15 @@ def _paged(rows: DataFrame, page: Page, *order: str) -> Result:
     return Result(page.of_rows(rows, *order), total, page.next(total))
 
 
-def search(t, query: str, vector: list[float], as_of: str, top_k: int = 10, domain: str | None = None, boosts: Boosts = Boosts()) -> DataFrame:
-    """Hybrid search over chunks; see ``hybrid_search``."""
-    return hybrid_search(t.chunks(), t.vectors(), t.documents(), query, vector, top_k, F.to_timestamp(F.lit(as_of)), domain, boosts)
+def search(t, query: str, vector: list[float], as_of: str, top_k: int = 10, domain: str | None = None, boosts: Boosts = Boosts(), index: Index | None = None, related: bool = False) -> DataFrame:
+    """Hybrid search over chunks, with each hit's entities; see ``hybrid_search``. index: the stored index of the chunks. related: also what ``graph.related`` adds."""
+
+    def chunks_of(hits: DataFrame) -> DataFrame:
+        # a chunk's id tells its document
+        return t.chunks(hits.select(F.floor(F.col("chunk_id") / CHUNKS_OF_A_DOCUMENT).alias("document_id")))
+
+    hits = hybrid_search(t.chunks(), t.vectors(), t.documents(), query, vector, top_k, F.to_timestamp(F.lit(as_of)), domain, boosts, index, chunks_of, t.chunk_entities(), t.entities())
+    return graph.related(graph.load(t.entities(), t.facts(), t.entity_links()), checkpoint(hits), t.facts()) if related else hits
 
 
 def catalog_overview(t) -> DataFrame:
@@ -75,11 +84,11 @@ def search_entities_by_type(t, entity_type: str, page: Page = Page(), domain: st
     return _paged(catalog.matching(t.entities(), type=entity_type, domain=domain).select("id", "type", "name", "domain"), page, "name", "id")
 
 
-def search_facts(t, page: Page = Page(), predicate: str = "", entity_name: str = "", status: str = "approved", domain: str = "") -> Result:
-    """Facts by part of the predicate or of an end's name, status (empty: any) and domain, with both names, ordered by id."""
+def search_facts(t, page: Page = Page(), predicate: str = "", entity_name: str = "", status: str = "approved", domain: str = "", names: NameIndex | None = None) -> Result:
+    """Facts by part of the predicate or of an end's name, status (empty: any) and domain, with both names, ordered by id. names: the stored index of entities' names."""
     rows = catalog.matching(t.facts(), status=status, domain=domain)
     rows = rows.where(catalog.contains_fold(F.col("predicate"), predicate)) if predicate else rows
-    rows = catalog.facts_by_entity_name(rows, t.entities(), entity_name) if entity_name else rows
+    rows = catalog.facts_by_entity_name(rows, t.entities(), entity_name, names) if entity_name else rows
     total = rows.count()
     few = catalog.with_names(page.of_rows(rows, "id"), t.entities())
     return Result(few.select("id", "subject_name", "predicate", "object_name", "status", "domain"), total, page.next(total))

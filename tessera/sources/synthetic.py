@@ -23,9 +23,9 @@ def _one_of(values: tuple[str, ...], seed: int, what: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (_drawn(seed, what, len(values)) + 1).cast("int"))
 
 
-def generate(spark: SparkSession, scale: str = "small", seed: int = 42) -> dict[str, DataFrame]:
-    """documents, chunks, entities, facts, chunk_entities, entity_links of a scale."""
-    n_documents, n_chunks, n_entities, n_facts = SCALES[scale]
+def generate(spark: SparkSession, scale: str | tuple[int, int, int, int] = "small", seed: int = 42) -> dict[str, DataFrame]:
+    """documents, chunks, entities, facts, chunk_entities, entity_links of a scale, or of so many documents, chunks, entities and facts."""
+    n_documents, n_chunks, n_entities, n_facts = SCALES[scale] if isinstance(scale, str) else scale
     documents = spark.range(n_documents).select("id", F.lit("markdown").alias("source_type"), F.format_string("/docs/%06d.md", "id").alias("original_path"), F.array(_one_of(DOMAINS, seed, "domain")).alias("domains"))
     words = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("word"), F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(2000)).cast("string")))
     chunks = spark.range(n_chunks).select(F.col("id").alias("chunk_id"), F.pmod(F.col("id"), F.lit(n_documents)).alias("document_id"), (F.col("id") / n_documents).cast("int").alias("sequence_num"), F.array_join(words, " ").alias("chunk_text"))

@@ -197,3 +197,23 @@ def test_models_and_their_answers(spark, tmp_path):
     assert sorted(r.answer for r in out.collect()) == ["P", "P", "Q"] and cache.count() == 2
     again, _ = pv.answered(prompts, cache, lambda p: 1 / 0)
     assert again.count() == 3
+
+
+def test_functions_in_conditions(spark):
+    entities = spark.createDataFrame([(i, "t", f"n{i}", "d") for i in range(1, 6)] + [(None, "t", "nobody", "d")], ENTITY)
+    row = F.struct(*entities.columns)
+    pairs = entities.select(row.alias("A"), F.lit(1).alias("k")).join(entities.select(row.alias("B"), F.lit(1).alias("k")), "k").drop("k")
+    edges = spark.createDataFrame([(1, 2, "x"), (2, 3, "y"), (4, 2, "x")], "src long, dst long, relation string")
+    texts = spark.createDataFrame([(1, "some text"), (1, "other"), (2, None)], "entity_id long, chunk_text string")
+
+    def linked(sql):
+        return {(r.subject_entity_id, r.target_entity_id) for r in lk.expression_links(pairs, [lk.Condition(sql)], edges, texts).collect()}
+
+    far = {(1, 3), (3, 1), (1, 4), (4, 1), (3, 4), (4, 3)}
+    assert linked("path_exists(A.id, B.id, 1)") == {(1, 2), (2, 1), (2, 3), (3, 2), (2, 4), (4, 2)} | {(i, i) for i in range(1, 6)}
+    assert linked("array_contains(neighbors(A.id, 2), B.id)") == far
+    assert linked("path_exists(A.id, B.id, 2, 'x') AND A.id < B.id") == {(1, 2), (1, 4), (2, 4)}
+    assert linked("NOT path_exists(A.id,B.id,9) AND A.id < B.id") == {(i, 5) for i in range(1, 5)}
+    assert linked("size(neighbors(A.id, 1)) = 3 AND B.id = A.id") == {(2, 2)}
+    assert linked("chunk_contains(A.id, 'text') AND path_exists(A.id, B.id, 1) AND A.id <> B.id") == {(1, 2)}
+    assert linked("size(neighbors(B.id, 0)) = 1 AND A.id = 1") == {(1, i) for i in range(1, 6)}

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.model import Tables
+from tessera.operators import graph
 from tessera.operators import graph as g
 
 NODES = [(1, "person", "Alice", "hr"), (2, "person", "Bob", "hr"), (3, "team", "Engineering", "hr"), (4, "document", "NDA", "hr"), (5, "document", "Security Policy", "hr"), (6, "person", "Alice", "policy")]
@@ -83,3 +85,48 @@ def test_expansion_of_hits(spark):
     rows = g.expand(graph, hits, bridges, 1, 2).collect()
     assert {r.entity_id for r in rows} == {1} and len(rows) == 2 and not rows[0].depth > 1
     assert F is not None
+
+
+def test_walks_of_many_starts_are_single_ones(spark, data):
+    t = Tables(spark, data)
+    whole = graph.load(t.entities(), t.facts(), t.entity_links())
+    ids = [r.id for r in t.entities().where("type = 'nation' AND id % 5 = 0 OR type = 'part' AND id < 4 OR type = 'region'").collect()]
+    starts = spark.createDataFrame([(k, i) for k, i in enumerate(ids)] + [(0, ids[0]), (900, -5)], "request long, start long")
+    for options in ({"depth": 2}, {"depth": 3, "max_nodes": 7}, {"depth": 2, "follow_links": True}, {"depth": 2, "direction": "in", "relations": ["belongs_to"]}, {"depth": 1, "max_nodes": 1}):
+        nodes, edges = graph.walks(whole, starts, **options)
+        found, tree = {}, {}
+        for r in nodes.collect():
+            found.setdefault(r.request, set()).add((r.id, r.depth))
+        for r in edges.collect():
+            tree.setdefault(r.request, []).append((r.src, r.dst, r.relation, r.depth, r.kind, r.parent, r.child))
+        assert set(found) == set(range(len(ids)))
+        for k, i in enumerate(ids[:4] + ids[-3:]):
+            k = ids.index(i)
+            one, own = graph.traverse(whole, i, **options)
+            assert found[k] == {(r.id, r.depth) for r in one.collect()}, (options, i)
+            assert sorted(tree.get(k, [])) == sorted(map(tuple, own.collect())), (options, i)
+
+
+def test_paths_of_many_pairs(spark):
+    import random
+
+    draw = random.Random(9)
+    edges = [(draw.randrange(40), draw.randrange(40), draw.choice(["x", "y"])) for _ in range(45)] + [(100, k, "x") for k in range(0, 40, 3)]
+    pairs = [(draw.randrange(42), draw.randrange(42)) for _ in range(60)] + [(3, 3), (None, 2), (2, None), (100, 5)]
+    e = spark.createDataFrame(edges, "src long, dst long, relation string")
+    p = spark.createDataFrame(pairs, "a long, b long")
+
+    def distance(a, b, relation):
+        far, seen, depth = {a}, {a}, 0
+        while far and b not in seen:
+            far = {y for s, d, r in edges for x, y in ((s, d), (d, s)) if x in far and relation in (None, r)} - seen
+            seen |= far
+            depth += 1
+        return depth if b in seen else 99
+
+    for hops in range(5):
+        for relation in (None, "x"):
+            got = {(r.a, r.b) for r in graph.connected_pairs(e, p, hops, relation).collect()}
+            assert got == {(a, b) for a, b in pairs if a is not None and b is not None and distance(a, b, relation) <= hops}, (hops, relation)
+    with pytest.raises(ValueError):
+        graph.connected_pairs(e, p, -1)

@@ -94,3 +94,43 @@ def test_batches_are_what_single_queries_give(spark, data):
         single = se.ranks(se.knn(t.vectors(), list(row.vector), 7), "distance").collect()
         assert sorted(batch[row.query_id]) == [(r.rank, r.chunk_id, round(r.distance, 9)) for r in single]
     assert se.knn_batch(t.vectors(), v.limit(0)).count() == 0 and se.knn_batch(t.vectors().limit(0), v).count() == 0
+
+
+def test_hits_are_whole(spark, data):
+    from tessera.operators import index
+    from tessera.plans import tools
+
+    t = Tables(spark, data)
+    vector = [1.0] + [0.0] * 63
+    plain = tools.search(t, "the of", vector, "2025-06-01 00:00:00", 30).orderBy("rank").collect()
+    stored = tools.search(t, "the of", vector, "2025-06-01 00:00:00", 30, index=index.build(t.chunks()), related=True).orderBy("rank").collect()
+    assert [(r.chunk_id, round(r.score, 9)) for r in stored] == [(r.chunk_id, round(r.score, 9)) for r in plain]
+    known = {r.chunk_id: sorted(r.names) for r in t.chunk_entities().join(t.entities().select(F.col("id").alias("entity_id"), "name"), "entity_id").groupBy("chunk_id").agg(F.collect_list("name").alias("names")).collect()}
+    for r in stored:
+        assert sorted(e.name for e in r.entities) == known.get(r.chunk_id, []) and r.failed is None
+        assert sorted(e.entity_id for e in r.related_entities or []) == sorted(e.id for e in r.entities)
+        if r.document_id is not None:
+            assert (r.valid_to is None) == (r.document_id % 6 != 0) and r.original_path.endswith(f"/{r.document_id}.md") and len(r.domains) == 1
+
+
+def test_expired_documents_sink(spark):
+    hits = spark.createDataFrame([(1, 1.0, "lexical"), (2, 1.0, "lexical"), (3, 1.0, "lexical"), (4, 1.0, "lexical")], "chunk_id long, score double, origin string")
+    chunks = spark.createDataFrame([(i, i, "t") for i in range(1, 5)], "chunk_id long, document_id long, chunk_text string")
+    metadata = ['{"valid_to": "2020-01-01T00:00:00Z"}', '{"valid_to": 7}', '{"valid_to": "2030-01-01 00:00:00"}', None]
+    documents = spark.createDataFrame([(i + 1, "a", None, None, None, m) for i, m in enumerate(metadata)], "id long, source_type string, is_deprecated boolean, is_official boolean, updated_at timestamp, metadata string")
+    out = se.rerank(se.enrich(hits, chunks, documents), F.to_timestamp(F.lit("2025-06-01"))).collect()
+    assert {r.chunk_id: round(r.score, 6) for r in out} == {1: 0.1, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def test_one_search_may_fail(spark, data):
+    t = Tables(spark, data)
+
+    def asked(query, vector):
+        return se.hybrid_search(t.chunks(), t.vectors(), t.documents(), query, vector, 5, F.current_timestamp()).collect()
+
+    rows = asked("(the", [0.0] * 64)
+    assert len(rows) == 5 and {r.origin for r in rows} == {"semantic"} and all(r.failed.startswith("lexical: ValueError") for r in rows)
+    with pytest.raises(RuntimeError):
+        se.hybrid_search(t.chunks(), t.vectors().drop("vector"), t.documents(), "(the", [0.0], 5, F.current_timestamp())
+    rows = se.hybrid_search(t.chunks(), t.vectors().drop("vector"), t.documents(), "the", [0.0], 5, F.current_timestamp()).collect()
+    assert len(rows) == 5 and all(r.failed.startswith("semantic") for r in rows)
