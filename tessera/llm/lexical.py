@@ -43,6 +43,8 @@ BLOCK_COST = 8
 STRETCHES_AT_ONCE, FIRST_SCORED = 2048, 128
 #: Queries that are searched at once, and bytes of their texts.
 ITEMS_AT_ONCE, PART_BYTES = 2_000, 2 << 20
+#: One of so many shards is searched before the others.
+LEADING = 16
 BEST = 10
 LISTS = "shard long, term string, n int, docs binary, impacts binary, ends binary, maxima binary"
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -227,10 +229,23 @@ class TermList:
         return cls(own, np.frombuffer(impacts, np.int32).astype(np.int64), own[np.concatenate(([0], end[:-1]))], own[end - 1] + 1, np.frombuffer(maxima, np.int32).astype(np.int64))
 
 
-def best_of_shard(lists: dict[str, TermList], order: np.ndarray, wanted: list[tuple[str, int]], k: int = BEST) -> tuple[np.ndarray, np.ndarray, int]:
+def _scores(held: list[tuple[TermList, int]], docs: np.ndarray, size: int) -> np.ndarray:
+    """Exact scores of some documents, in ascending order, of a shard of ``size``."""
+    score, whole = np.zeros(len(docs), np.int64), None
+    for own, w in held:
+        if len(own.docs) < 8 * len(docs):  # to add up the list costs less than to look the documents up in it
+            whole = np.zeros(size, np.int64) if whole is None else whole
+            whole[own.docs] += own.impacts * w
+        else:
+            at = np.minimum(np.searchsorted(own.docs, docs), len(own.docs) - 1)
+            score += np.where(own.docs[at] == docs, own.impacts[at] * w, 0)
+    return score if whole is None else score + whole[docs]
+
+
+def best_of_shard(lists: dict[str, TermList], order: np.ndarray, wanted: list[tuple[str, int]], k: int = BEST, least: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
     """The shard's k best documents for weighted terms, their scores, and how many documents were scored.
 
-    order: the documents' places among equal scores.
+    order: the documents' places among equal scores. least: a score below which no document counts.
     """
     held = [(lists[t], w) for t, w in wanted if t in lists]
     bound = np.zeros(len(order) + 1, np.int64)
@@ -239,19 +254,16 @@ def best_of_shard(lists: dict[str, TermList], order: np.ndarray, wanted: list[tu
         bound[own.after] -= own.maxima * w
     bound = np.cumsum(bound)[:-1]
     docs, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-    floor, take, seen = 1, max(FIRST_SCORED, k), 0
+    floor, take, seen = least, max(FIRST_SCORED, k), 0
     pending = np.flatnonzero(bound >= floor)
     while len(pending):
         rest = pending[:0]
         if len(pending) > take:
             by_promise = np.argpartition(-bound[pending], take - 1)
             pending, rest = np.sort(pending[by_promise[:take]]), pending[by_promise[take:]]
-        score = np.zeros(len(pending), np.int64)
-        for own, w in held:
-            at = np.minimum(np.searchsorted(own.docs, pending), len(own.docs) - 1)
-            score += np.where(own.docs[at] == pending, own.impacts[at] * w, 0)
+        score = _scores(held, pending, len(order))
         seen += len(pending)
-        docs, scores = np.concatenate((docs, pending[score > 0])), np.concatenate((scores, score[score > 0]))
+        docs, scores = np.concatenate((docs, pending[score >= floor])), np.concatenate((scores, score[score >= floor]))
         kept = np.lexsort((order[docs], -scores))[:k]
         docs, scores = docs[kept], scores[kept]
         if len(docs) == k:
@@ -273,8 +285,8 @@ def _searcher(shared, k: int) -> Callable:
         order = np.empty(len(ids), np.int64)
         order[np.lexsort((ids, ~known))] = np.arange(len(ids))
         out = [(np.empty(0, np.int64),) * 3]
-        for number, wanted in shared.value:
-            docs, scores, _ = best_of_shard(held, order, wanted, k)
+        for number, wanted, least in shared.value:
+            docs, scores, _ = best_of_shard(held, order, wanted, k, least)
             out.append((np.full(len(docs), number), docs, scores))
         number, docs, scores = (np.concatenate(c) for c in zip(*out))
         return pa.table({"number": pa.array(number), "doc_id": pa.array(ids[docs], mask=~known[docs]), "score": pa.array(scores)})
@@ -313,6 +325,12 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = BEST, item_id: str
     return reduce(DataFrame.unionByName, found if len(found) == 1 else [written(f) for f in found])
 
 
+def _floors(hits: DataFrame, k: int) -> dict[int, int]:
+    """The k-th best score of each query that has so many hits; a row for each query of a part."""
+    place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score")))
+    return {r.number: r.score for r in hits.select("number", "score", place.alias("place")).where(F.col("place") == k).collect()}
+
+
 def _searched(index: LexicalIndex, part: list[tuple[object, Counter]], kind: StructType, k: int) -> DataFrame:
     spark = index.lists.sparkSession
     # a part's own terms, ids and counts: PART_BYTES of text at most
@@ -320,9 +338,16 @@ def _searched(index: LexicalIndex, part: list[tuple[object, Counter]], kind: Str
     lists = index.lists.join(asked, "term", "left_semi")
     df = {r.term: r.df for r in lists.groupBy("term").agg(F.sum("n").alias("df")).collect()}
     wanted = [(number, [(t, weight(df[t], index.documents) * n) for t, n in sorted(terms.items()) if t in df]) for number, (_, terms) in enumerate(part)]
-    shared = spark.sparkContext.broadcast(wanted)
-    documents = index.lists.where("term IS NULL")
-    hits = lists.unionByName(documents).groupBy("shard").applyInArrow(_searcher(shared, k), "number long, doc_id long, score long")
+    rows = lists.unionByName(index.lists.where("term IS NULL"))
+    leads = F.pmod(F.xxhash64("shard"), F.lit(LEADING)) == 0
+
+    def hits_of(some: DataFrame, least: dict[int, int]) -> DataFrame:
+        shared = spark.sparkContext.broadcast([(number, terms, least.get(number, 1)) for number, terms in wanted])
+        return some.groupBy("shard").applyInArrow(_searcher(shared, k), "number long, doc_id long, score long")
+
+    # what some shards have found tells the others from which score a document counts at all
+    first = written(hits_of(rows.where(leads), {}))
+    hits = first.unionByName(hits_of(rows.where(~leads), _floors(first, k)))
     place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     names = F.broadcast(spark.createDataFrame([(number, item) for number, (item, _) in enumerate(part)], kind))
     return hits.withColumn("rank", place).where(F.col("rank") <= k).join(names, "number").select("item_id", "rank", "doc_id", "score")
