@@ -330,11 +330,11 @@ def _(t):
 @query(
     "gr8_se8_related_entities",
     oracle(
-        """SELECT chunk_id, s.source AS entity_id, name, coalesce(n, 0) AS n_edges, coalesce(n, 0) AS n_facts, coalesce(first_fact, 0) AS newest FROM (SELECT DISTINCT chunk_id, """
+        """SELECT chunk_id, s.source AS entity_id, name, coalesce(near, 0) AS n_edges, coalesce(n, 0) AS n_facts, coalesce(first_fact, 0) AS newest FROM (SELECT DISTINCT chunk_id, """
         + str(NATIONS)
         + """ + entity_id % 25 AS source FROM m_chunk_entities WHERE chunk_id < 60000000) s JOIN m_entities e ON e.id = s.source
-LEFT JOIN (SELECT source, count(*) AS n FROM around GROUP BY source) k ON k.source = s.source LEFT JOIN (SELECT source, arg_min(id, (-epoch_us(created_at), id)) AS first_fact FROM around GROUP BY source) o ON o.source = s.source""",
-        extra=f"around AS (SELECT n_nationkey + {NATIONS} AS source, f.id, f.created_at FROM nation JOIN m_facts f ON f.status = 'approved' AND n_nationkey + {NATIONS} IN (f.subject_entity_id, f.object_entity_id))",
+LEFT JOIN (SELECT source, count(*) AS n, count(*) FILTER (WHERE domain = 'geography') AS near FROM around GROUP BY source) k ON k.source = s.source LEFT JOIN (SELECT source, arg_min(id, (-epoch_us(created_at), id)) AS first_fact FROM around GROUP BY source) o ON o.source = s.source""",
+        extra=f"around AS (SELECT n_nationkey + {NATIONS} AS source, f.id, f.created_at, f.domain FROM nation JOIN m_facts f ON f.status = 'approved' AND n_nationkey + {NATIONS} IN (f.subject_entity_id, f.object_entity_id))",
     ),
 )
 def _(t):
