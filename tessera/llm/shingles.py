@@ -39,8 +39,8 @@ SETS_KEPT, PAIRS_AT_ONCE, MARKS = 1 << 18, 1 << 20, 1 << 25
 BATCH_BYTES = 8 << 20
 #: Prefix rows that meet in one task, on average.
 ROWS_IN_TASK = 400_000
-#: Neighbours in a meeting that are confirmed first.
-FIRST = 2
+#: Neighbours in a meeting that are confirmed first, and how many of them of each set.
+FIRST, PARTNERS = 2, 3
 #: Shingles that the prefixes of a pair must share, or all that the pair must, if these are fewer.
 COMMON = 4
 #: Bytes of text whose words are hashed at once, and of texts whose shingles are.
@@ -447,7 +447,11 @@ def _components(texts: DataFrame, propose: Callable[[DataFrame], DataFrame], siz
     def links(roots: DataFrame, most: int | None, more: DataFrame | None) -> DataFrame:
         placed = met.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("shingle", "key", "n", "place", F.coalesce("root", "key").alias("root"))
         meetings = placed.repartition(tasks, "shingle").mapInArrow(released(_meet(similarity, most)), "a long, b long, needed int")
-        found = meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("a", "b")
+        found = meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed")
+        if most is not None:
+            # a set of a large group has many such neighbours; those that it meets most often are enough to tie the group together, and the last round has the rest
+            found = found.withColumn("turn", F.expr("row_number() OVER (PARTITION BY b ORDER BY n DESC, a)")).where(F.col("turn") <= PARTNERS)
+        found = found.select("a", "b")
         pairs = checkpoint(found.unionByName(more).distinct() if more is not None else found)
         shown = _marks(pairs.select(F.explode(F.array("a", "b")).alias("key")))
         held = own.mapInArrow(released(_marked(shown)), own.schema).groupBy("key").agg(F.first("shingles").alias("shingles"))
