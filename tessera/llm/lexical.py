@@ -8,7 +8,8 @@ what it has not looked at, exceed the impacts in them by as little as possible.
 A search takes one shard at a time. What the blocks that cover a document promise together is its
 bound, made for all documents of the shard at once; a document is scored only if its bound reaches
 the worst of the best scores so far, those of greatest promise first. What is left has been skipped
-with its blocks, and no skipped document can be among the best.
+with its blocks, and no skipped document can be among the best. A few shards are searched before the
+others, which then start from the scores that these have found.
 """
 
 from __future__ import annotations
