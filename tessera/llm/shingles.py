@@ -3,11 +3,13 @@
 All pairs that reach the similarity are found: in any one order of all shingles, such a pair has
 its first COMMON common shingles among the first few of both sets (the prefix), and can have them
 there only if its sizes are near and enough shingles follow. Sets meet by the shingles of their
-prefixes; those that meet COMMON times are candidates, confirmed by their whole sets. Shingles that are frequent in a sample come last in
-the order, so that few sets meet by them; the sample decides on cost only, never on the result.
+prefixes. Those that meet often enough are candidates, confirmed by their whole sets: COMMON times, and
+the nearer their sizes, the more often, as what follows the prefix that ends first can add only the
+rest of its set. Shingles that are frequent in a sample come last in the order, so that few sets meet
+by them; the sample decides on cost only, never on the result.
 
-Equal sets are compared once. Pairs that another method proposes, and neighbours in a meeting, are
-confirmed first; then only pairs that these have not yet brought into one component, so that a large
+Equal sets are compared once. Pairs that another method proposes, neighbours in a meeting, and each
+meeting's leader with all others are confirmed first; then only pairs that these have not yet brought into one component, so that a large
 cluster costs no square of its size.
 """
 
@@ -39,9 +41,9 @@ SETS_KEPT, PAIRS_AT_ONCE, MARKS = 1 << 18, 1 << 20, 1 << 25
 BATCH_BYTES = 8 << 20
 #: Prefix rows that meet in one task, on average.
 ROWS_IN_TASK = 400_000
-#: Neighbours in a meeting that are confirmed first, and how many of them of each set.
-FIRST, PARTNERS = 2, 3
-#: Shingles that the prefixes of a pair must share, or all that the pair must, if these are fewer.
+#: Of the sets that are next to a set in a meeting or lead it, how many are confirmed first.
+PARTNERS = 3
+#: Shingles that the prefixes of a pair of very unlike sizes must share, or all that the pair must, if these are fewer; of like sizes, more.
 COMMON = 4
 #: Bytes of text whose words are hashed at once, and of texts whose shingles are.
 HASHED, HELD = PIECE_BYTES >> 2, PIECE_BYTES << 1
@@ -313,29 +315,68 @@ def _partners(similarity: float) -> Callable:
     return meet
 
 
-def _meet(similarity: float, most: int | None) -> Callable:
-    """Meetings (a, b, needed: how often a candidate meets) of different roots from a partition of rows (shingle, key, n, place, root); only of ``most`` neighbours, if given."""
+def _pairs(a: np.ndarray, b: np.ndarray, columns: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, ...]:
+    """Those of the meetings of rows ``a`` and ``b`` that a similar pair of different roots can have, and how often such a pair meets at least."""
+    _, _, n, place, root = columns
+    least = np.ceil(similarity * (n[a] + n[b]) / (1 + similarity) - ROOM).astype(np.int64)
+    # where the prefix that ends first in the order of shingles ends, only the rest of its set can follow
+    rest = np.maximum(np.ceil(similarity * np.maximum(n[a], n[b]) - ROOM).astype(np.int64) - COMMON, 0)
+    needed = least - rest
+    # the last of as many common shingles follows all others of these
+    wanted = (np.minimum(n[a] - place[a], n[b] - place[b]) + needed - 1 >= least) & (root[a] != root[b])
+    return a[wanted], b[wanted], needed[wanted]
+
+
+def _met(key: np.ndarray, a: np.ndarray, b: np.ndarray, needed: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.array(needed.astype(np.int32))], names=["a", "b", "needed"])
+
+
+def _first_meetings(similarity: float) -> Callable:
+    """Meetings (a, b, needed) of each set with its neighbour in size and with its shingle's leader, from a partition of rows (shingle, key, n, place, root).
+
+    The leader has the fewest shingles before the one they share. In a group of edited copies that is the least edited one, which is
+    nearest to all others, and the same one leads most of the group's shingles.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _gathered(batches)
+        if columns is None:
+            return
+        shingle, key, n, place, _ = columns = (*columns[:2], *(c.astype(np.int64) for c in columns[2:4]), columns[4])
+        every = np.arange(len(shingle))
+        begins = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        leaders = np.lexsort((key, n, place, shingle))[begins]
+        leader = np.repeat(leaders, np.diff(np.append(begins, len(shingle))))
+        next_to = every[:-1][shingle[1:] == shingle[:-1]]
+        apart = (leader != every) & (leader != every - 1)
+        for a, b in ((next_to + 1, next_to), (every[apart], leader[apart])):
+            for at in range(0, len(a), PAIRS_AT_ONCE):
+                x, y = a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]
+                near = _near_sizes(np.minimum(n[x], n[y]), np.maximum(n[x], n[y]), similarity)
+                yield _met(key, *_pairs(x[near], y[near], columns, similarity))
+
+    return meet
+
+
+def _all_meetings(similarity: float) -> Callable:
+    """All meetings (a, b, needed: how often a candidate meets) of different roots from a partition of rows (shingle, key, n, place, root)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _gathered(batches)
         if columns is None:
             return
-        shingle, key, n, place, root = columns
-        n, place = n.astype(np.int64), place.astype(np.int64)
+        shingle, key, n, _, _ = columns = (*columns[:2], *(c.astype(np.int64) for c in columns[2:4]), columns[4])
         active, apart = np.arange(len(shingle)), 1
-        while len(active) and (most is None or apart <= most):
+        while len(active):
             active, going = active[active + apart < len(shingle)], []
             for at in range(0, len(active), PAIRS_AT_ONCE):
                 a = active[at : at + PAIRS_AT_ONCE]
                 a = a[(shingle[a] == shingle[a + apart]) & _near_sizes(n[a], n[a + apart], similarity)]
                 going.append(a)
-                b = a + apart
-                least = np.ceil(similarity * (n[a] + n[b]) / (1 + similarity) - ROOM).astype(np.int64)
-                # the last of the COMMON first shingles follows COMMON - 1 others
-                wanted = (np.minimum(n[a] - place[a], n[b] - place[b]) + COMMON - 1 >= least) & (root[a] != root[b])
-                a, b, least = a[wanted], b[wanted], least[wanted]
+                a, b, needed = _pairs(a, a + apart, columns, similarity)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(np.minimum(least, COMMON).astype(np.int32))], names=["a", "b", "needed"])
+                    swap = key[a] > key[b]
+                    yield _met(key, np.where(swap, b, a), np.where(swap, a, b), needed)
             active, apart = np.concatenate(going) if going else active[:0], apart + 1
 
     return meet
@@ -444,22 +485,22 @@ def _components(texts: DataFrame, propose: Callable[[DataFrame], DataFrame], siz
     # a stage has one function in Python, as each takes a worker of its own
     own = written(texts.select("text").mapInArrow(released(_sets(_marks(wanted), size)), "key long, shingles binary"))
 
-    def links(roots: DataFrame, most: int | None, more: DataFrame | None) -> DataFrame:
+    def meetings(roots: DataFrame, meet: Callable) -> DataFrame:
         placed = met.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("shingle", "key", "n", "place", F.coalesce("root", "key").alias("root"))
-        meetings = placed.repartition(tasks, "shingle").mapInArrow(released(_meet(similarity, most)), "a long, b long, needed int")
-        found = meetings.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed")
-        if most is not None:
-            # a set of a large group has many such neighbours; those that it meets most often are enough to tie the group together, and the last round has the rest
-            found = found.withColumn("turn", F.expr("row_number() OVER (PARTITION BY b ORDER BY n DESC, a)")).where(F.col("turn") <= PARTNERS)
-        found = found.select("a", "b")
-        pairs = checkpoint(found.unionByName(more).distinct() if more is not None else found)
+        return placed.repartition(tasks, "shingle").mapInArrow(released(meet), "a long, b long, needed int").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
+
+    def links(found: DataFrame) -> DataFrame:
+        pairs = checkpoint(found)
         shown = _marks(pairs.select(F.explode(F.array("a", "b")).alias("key")))
         held = own.mapInArrow(released(_marked(shown)), own.schema).groupBy("key").agg(F.first("shingles").alias("shingles"))
         a, b = (held.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
         return checkpoint(pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set").mapInArrow(released(_confirm(similarity)), "u long, v long"))
 
-    near = links(spark.createDataFrame([], "node long, root long"), FIRST, proposed)
-    far = links(connected_components(near), None, None)
+    # a set has neighbours and leaders in each of its meetings: those that it meets most often are enough to tie a large group together, and the last round has the rest
+    first = meetings(spark.createDataFrame([], "node long, root long"), _first_meetings(similarity)).where(F.col("n") >= F.least("needed", F.lit(COMMON)))
+    best = first.withColumn("turn", F.expr("row_number() OVER (PARTITION BY a ORDER BY n DESC, b)")).where(F.col("turn") <= PARTNERS)
+    near = links(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(proposed).distinct())
+    far = links(meetings(connected_components(near), _all_meetings(similarity)).where("n >= needed").select("a", "b"))
     stars = checkpoint(connected_components(near.unionByName(far)))
     dropped(read, met, own)
     return sets, stars

@@ -65,5 +65,30 @@ def test_edited_copies_go_like_brute_force(spark, data):
 def test_all_pairs_of_a_meeting_are_candidates():
     n = 50
     batch = pa.RecordBatch.from_pydict({"shingle": np.full(n, 7), "key": np.arange(n), "n": np.full(n, 100, np.int32), "place": np.zeros(n, np.int32), "root": np.arange(n) % 10})
-    pairs = {(x["a"], x["b"]) for b in shingles._meet(0.8, None)(iter([batch])) for x in b.to_pylist()}
+    pairs = {(x["a"], x["b"]) for b in shingles._all_meetings(0.8)(iter([batch])) for x in b.to_pylist()}
     assert pairs == {(a, b) for b in range(n) for a in range(b) if a % 10 != b % 10}
+
+
+def test_a_group_is_tied_by_the_least_edited_set():
+    n = 50
+    place = np.where(np.arange(n) == 31, 0, 5).astype(np.int32)
+    batch = pa.RecordBatch.from_pydict({"shingle": np.full(n, 7), "key": np.arange(n), "n": np.full(n, 100, np.int32), "place": place, "root": np.arange(n)})
+    pairs = [(x["a"], x["b"]) for b in shingles._first_meetings(0.8)(iter([batch])) for x in b.to_pylist()]
+    assert len(pairs) < 2 * n
+    assert {a for a, b in pairs if b == 31} >= set(range(n)) - {30, 31}
+
+
+def test_similar_sets_meet_as_often_as_their_sizes_ask():
+    """Pairs at the edge of the similarity, of all sizes: the meetings of their prefixes, in any order of shingles, reach the bound."""
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        common, one, other = rng.integers(0, 120), rng.integers(0, 16), rng.integers(0, 16)
+        if not common or common < 0.8 * (common + one + other):
+            continue
+        order = rng.permutation(common + one + other)
+        sets = [np.sort(np.concatenate((order[:common], x))) for x in (order[common : common + one], order[common + one :])]
+        heads = [x[: shingles.prefix_length(len(x), 0.8)] for x in sets]
+        rows = [(s, key, len(sets[key]), at, key) for key in (0, 1) for at, s in enumerate(heads[key].tolist())]
+        batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["shingle", "key", "n", "place", "root"])
+        met = [x for b in shingles._all_meetings(0.8)(iter([batch])) for x in b.to_pylist()]
+        assert met and len(met) >= met[0]["needed"]
