@@ -4,7 +4,7 @@ All pairs that reach the similarity are found: in any one order of all shingles,
 its first COMMON common shingles among the first few of both sets (the prefix), and can have them
 there only if its sizes are near and enough shingles follow. Sets meet by the shingles of their
 prefixes. Those that meet often enough are candidates, confirmed by their whole sets: COMMON times, and
-the nearer their sizes, the more often, as what follows the prefix that ends first can add only the
+up to MOST_ASKED times for near sizes, as what follows the prefix that ends first can add only the
 rest of its set. Shingles that are frequent in a sample come last in the order, so that few sets meet
 by them; the sample decides on cost only, never on the result.
 
@@ -45,6 +45,8 @@ ROWS_IN_TASK = 400_000
 PARTNERS = 3
 #: Shingles that the prefixes of a pair of very unlike sizes must share, or all that the pair must, if these are fewer; of like sizes, more.
 COMMON = 4
+#: Most shingles that are asked of a pair: more leave fewer pairs, but count shingles further on, by which more sets meet.
+MOST_ASKED = 5
 #: Bytes of text whose words are hashed at once, and of texts whose shingles are.
 HASHED, HELD = PIECE_BYTES >> 2, PIECE_BYTES << 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -321,7 +323,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, columns: tuple[np.ndarray, ...], simila
     least = np.ceil(similarity * (n[a] + n[b]) / (1 + similarity) - ROOM).astype(np.int64)
     # where the prefix that ends first in the order of shingles ends, only the rest of its set can follow
     rest = np.maximum(np.ceil(similarity * np.maximum(n[a], n[b]) - ROOM).astype(np.int64) - COMMON, 0)
-    needed = least - rest
+    needed = np.minimum(least - rest, MOST_ASKED)
     # the last of as many common shingles follows all others of these
     wanted = (np.minimum(n[a] - place[a], n[b] - place[b]) + needed - 1 >= least) & (root[a] != root[b])
     return a[wanted], b[wanted], needed[wanted]
