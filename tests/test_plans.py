@@ -59,3 +59,14 @@ def test_expressions_stay_in_generated_code(spark, data):
     t = Tables(spark, data)
     for df in (t.chunks(), t.documents(), se.bm25(t.chunks(), "the of"), t.vectors().select(F.size("vector"))):
         assert not re.search("Python|Arrow|Pandas", plan(df))
+
+
+def test_serial_numbers_with_carries_meet_no_square(spark, monkeypatch):
+    # 19999 is not similar to 20000, but both are to others, by which all are one cluster
+    met = []
+    real = resolution._met
+    monkeypatch.setattr(resolution, "_met", lambda left, right, threshold: met.append((left.count(), right.count())) or real(left, right, threshold))
+    numbers = [10_000 * k + j for k in range(2, 7) for j in range(-10, 10)]
+    rows = spark.createDataFrame([(n, "customer", f"Customer#{n:09}", "geography") for n in numbers], "id long, type string, name string, domain string")
+    assert {r.entity_id for r in resolution.resolve(rows).collect()} == {min(numbers)}
+    assert met == [(0, 0)]
