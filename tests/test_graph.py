@@ -130,3 +130,29 @@ def test_paths_of_many_pairs(spark):
             assert got == {(a, b) for a, b in pairs if a is not None and b is not None and distance(a, b, relation) <= hops}, (hops, relation)
     with pytest.raises(ValueError):
         graph.connected_pairs(e, p, -1)
+
+
+def test_relations_of_a_hub_are_whole(spark):
+    from tessera.plans import queries, tools
+
+    class Hub:
+        """A nation with more customers than a walk takes by default."""
+
+        spark = None
+
+        def entities(self):
+            ids = self.spark.range(1, g.NODES + 501).select((F.col("id") + queries.CUSTOMERS).alias("id"))
+            return ids.union(self.spark.createDataFrame([(queries.NATIONS + 6,)], "id long")).select("id", F.lit("t").alias("type"), F.col("id").cast("string").alias("name"), F.lit("geography").alias("domain"))
+
+        def facts(self):
+            return self.entities().where(f"id > {queries.CUSTOMERS}").select("id", F.col("id").alias("subject_entity_id"), F.lit("located_in").alias("predicate"), F.lit(queries.NATIONS + 6).alias("object_entity_id"), F.lit("approved").alias("status"))
+
+        def entity_links(self):
+            return self.spark.createDataFrame([], "subject_entity_id long, target_entity_id long, relation_type string")
+
+    hub = Hub()
+    hub.spark = spark
+    nodes, edges = tools.get_entity_relations(hub, queries.NATIONS + 6, depth=2, max_nodes=None)
+    assert nodes.count() == g.NODES + 501 and edges.count() == g.NODES + 500
+    # without being asked for more, a request stays bounded
+    assert tools.get_entity_relations(hub, queries.NATIONS + 6, depth=2)[0].count() == g.NODES
