@@ -98,3 +98,17 @@ def test_an_index_of_nothing(spark):
     assert nothing.chunks == 0 and index.bm25_batch(nothing, queries).count() == 0 and index.bm25(nothing, "word").count() == 0
     odd = index.build(spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a")], "chunk_id long, chunk_text string"))
     assert odd.chunks == 4 and {r.chunk_id for r in index.bm25_batch(odd, queries).collect()} == {3}
+
+
+def test_shards_are_bounded_by_words(spark, monkeypatch):
+    # texts of very unlike lengths; one is longer than a shard may be
+    monkeypatch.setattr(index, "SHARD_WORDS", 100)
+    rows = spark.createDataFrame([(i, "a few words " * (i % 7)) for i in range(600)] + [(900, "long " * 250)], "chunk_id long, chunk_text string").coalesce(1)
+    stored = index.build(rows)
+    shrunk = index.synced(stored, rows.where("chunk_id % 3 <> 0 AND chunk_id <> 900"), rows.limit(0))
+    assert len(shrunk.segments) == 2 and shrunk.chunks == 201
+    for one in (stored, shrunk):
+        held = [(r.n, r.words) for r in one.members.collect()]
+        assert all(words <= 100 or n == 1 for n, words in held)
+        assert {r.chunk_id for r in index.bm25(one, "long").collect()} == {900}
+    assert shrunk.average == sum(3 * (i % 7) for i in range(0, 600, 3)) / 201 + 250 / 201
