@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tessera.llm.tables import quoted
 from tessera.llm.words import PIECE_BYTES, SPACE, lowered, released
 from tessera.operators.components import connected_components
-from tessera.session import checkpoint, dropped, written
+from tessera.session import checkpoint, collected, dropped, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Documents in the sample, in how many of them a shingle is frequent, and how many such are known at most.
@@ -482,6 +482,9 @@ def _components(texts: DataFrame, propose: Callable[[DataFrame], DataFrame], siz
     tasks = max(8, (read.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8 // ROWS_IN_TASK)
     heads = read.select("key", "n", "prefix").mapInArrow(released(_prefixes), "shingle long, key long, n int, place int")
     met = written(heads.repartition(tasks, "shingle").mapInArrow(released(_partners(similarity)), heads.schema))
+    # the prefixes and their exchange go before sets are exchanged
+    del heads
+    dropped(read)
     proposed = checkpoint(propose(sets.select("key", "fp")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     wanted = met.select("key").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("key")))
     # a stage has one function in Python, as each takes a worker of its own
@@ -502,7 +505,10 @@ def _components(texts: DataFrame, propose: Callable[[DataFrame], DataFrame], siz
     first = meetings(spark.createDataFrame([], "node long, root long"), _first_meetings(similarity)).where(F.col("n") >= F.least("needed", F.lit(COMMON)))
     best = first.withColumn("turn", F.expr("row_number() OVER (PARTITION BY a ORDER BY n DESC, b)")).where(F.col("turn") <= PARTNERS)
     near = links(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(proposed).distinct())
+    # so do the first round's meetings and sets
+    del first, best
+    collected(spark)
     far = links(meetings(connected_components(near), _all_meetings(similarity)).where("n >= needed").select("a", "b"))
     stars = checkpoint(connected_components(near.unionByName(far)))
-    dropped(read, met, own)
+    dropped(met, own)
     return sets, stars
